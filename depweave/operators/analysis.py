@@ -17,6 +17,24 @@ from depweave.operators.walks import Walks, build_walks
 from depweave.session import cut, cut_counted
 
 
+# Members that no setting changes.
+CONFIG_FREE = (
+    "files",
+    "_counted_edges",
+    "edge_paths",
+    "degrees",
+    "walks",
+    "pagerank",
+    "closure",
+    "scores",
+    "hotspots",
+    "components",
+    "cycles",
+    "cycle_members",
+    "node_metrics",
+)
+
+
 class Analysis:
     """The full analysis of a graph of one or more revisions.
 
@@ -34,6 +52,14 @@ class Analysis:
         self.governance = governance
         self.source = graph
 
+    def configured(self, config: AnalysisConfig, governance: GovernanceConfig) -> Analysis:
+        """The same graph under other settings; what does not depend on them is shared."""
+        other = Analysis(self.source, config, governance)
+        for name in CONFIG_FREE:
+            if name in self.__dict__:
+                other.__dict__[name] = self.__dict__[name]
+        return other
+
     @cached_property
     def files(self) -> DataFrame:
         return cut(self.source.files)

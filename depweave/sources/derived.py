@@ -61,17 +61,17 @@ public class C{key} extends C{prior} {
 
 
 def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(rev, path, language, size, text, key)``; each part imports its folder's previous file."""
+    """``(rev, path, language, size, text, key)``; each part imports its folder's next file."""
     files = part_files(spark, sf_dir).select("rev", "id", "path", F.col("lang").alias("language"))
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand")
     rows = files.join(parts, "id")
     number = F.col("id") - F.col("id") % 8
     values = {
         "name": F.col("p_name"),
-        "near": (number - 8).cast("string"),
+        "near": (number + 8).cast("string"),
         "brand": F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", ""),
         "key": F.col("id").cast("string"),
-        "prior": (F.col("id") - 8).cast("string"),
+        "prior": (F.col("id") + 8).cast("string"),
         "kind": F.substring_index("path", "/", 1),
         "folder": F.substring_index(F.substring_index("path", "/", 2), "/", -1),
     }
