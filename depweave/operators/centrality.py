@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from depweave.operators.skew import HotKeys, hot_join
 from depweave.operators.walks import Walks, build_walks
-from depweave.session import cut_counted
+from depweave.session import cut_counted, small
 
 
 def pagerank(
@@ -40,7 +40,7 @@ def pagerank(
         take = min(walks.steps, iterations - done)
         usable = steps.where(F.col("steps") <= take)
         if base is not None:
-            usable = hot_join(base, usable, "id", none, walks.hot_src)
+            usable = hot_join(small(base, fresh), usable, "id", none, walks.hot_src)
             usable = usable.withColumn("w", F.col("w") * F.col("x"))
         block = usable.groupBy(F.col("dst").alias("id"), (F.col("steps") + F.lit(done)).alias("k")).agg(
             F.sum("w").alias("x")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from depweave.functions.exprs import basename, dirname
 from depweave.model import DepGraph
+from depweave.operators.skew import lookup
 from depweave.schema import GRAPH_NODE
 
 # Symbol kind to node type.
@@ -178,14 +179,14 @@ def inheritance_edges(symbols: DataFrame) -> DataFrame:
     parts = []
     for kind, allowed in INHERITABLE.items():
         written = symbols.select("rev", F.col("id").alias("source"), F.explode(kind.lower()).alias("ref"))
-        written = written.select("rev", "source", F.substring_index("ref", ".", -1).alias("name"))
+        written = written.select("source", F.struct("rev", F.substring_index("ref", ".", -1).alias("name")).alias("name"))
         unique = (
             symbols.where(F.col("kind").isin(*allowed))
-            .groupBy("rev", "name")
+            .groupBy(F.struct("rev", "name").alias("name"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("target"))
             .where("n = 1")
         )
-        linked = written.join(unique.drop("n"), ["rev", "name"])
+        linked = lookup(written, unique.drop("n"), "name").withColumn("rev", F.col("name.rev"))
         parts.append(_edge(linked, kind, F.col("source"), F.col("target")))
     return reduce(DataFrame.unionByName, parts)
 

@@ -35,27 +35,20 @@ def _trim(walks: Walks) -> Walks:
 
 def _lowest_reaching(walks: Walks) -> DataFrame:
     """``(id, colour)``: the smallest node from which each node can be reached."""
-    nodes = walks.table.select(F.col("src").alias("id")).union(walks.table.select("dst")).distinct()
-    labels = cut(nodes.select("id", F.col("id").alias("colour")))
-    step = walks.table.select(F.col("src").alias("id"), "dst").distinct()
+    nodes = walks.table.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    labels = nodes.select("id", F.col("id").alias("colour"), F.lit(True).alias("better"))
+    step = walks.sized(walks.table.select(F.col("src").alias("id"), "dst").distinct())
     none = HotKeys(walks.hot_src.key_type)
-    changed, fresh = labels, 1
+    fresh = 1
     while fresh:
-        offers = hot_join(changed.select("id", "colour"), step, "id", none, walks.hot_src)
+        changed = labels.where("better").select("id", "colour")
+        offers = hot_join(changed, step, "id", none, walks.hot_src)
         offers = offers.groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("_offer"))
-        merged = labels.join(offers, "id", "left")
+        merged = labels.drop("better").join(walks.sized(offers), "id", "left")
         better = F.coalesce(F.col("_offer") < F.col("colour"), F.lit(False))
-        labels = cut(
-            merged.select(
-                "id",
-                F.when(better, F.col("_offer")).otherwise(F.col("colour")).alias("colour"),
-                better.alias("_better"),
-            )
-        )
-        changed = labels.where("_better")
-        fresh = 0 if changed.isEmpty() else 1
-        labels = labels.select("id", "colour")
-    return labels
+        colour = F.when(better, F.col("_offer")).otherwise(F.col("colour")).alias("colour")
+        labels, fresh = cut_counted(merged.select("id", colour, better.alias("better")), F.col("better"))
+    return labels.drop("better")
 
 
 def strongly_connected(edges: DataFrame, walks: Walks | None = None) -> DataFrame:
@@ -69,7 +62,8 @@ def strongly_connected(edges: DataFrame, walks: Walks | None = None) -> DataFram
     found = []
     while not walks.empty:
         labels = _lowest_reaching(walks)
-        inside = walks.table.join(labels.toDF("src", "_c"), "src").join(labels.toDF("dst", "_d"), "dst")
+        coloured = walks.sized(labels)
+        inside = walks.table.join(coloured.toDF("src", "_c"), "src").join(coloured.toDF("dst", "_d"), "dst")
         inside = inside.where(F.col("_c") == F.col("_d")).select("src", "dst", "steps", "weight")
         inside, rows = cut_counted(inside)
         backward = reversed_walks(Walks(inside, walks.steps, rows, walks.hot_src, walks.hot_dst))

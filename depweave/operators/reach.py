@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depweave.operators.skew import HotKeys, hot_join
-from depweave.operators.walks import Walks, reversed_walks, single_steps
-from depweave.session import cut_counted
+from depweave.operators.skew import HotKeys, hot_join, hot_keys
+from depweave.operators.walks import Walks, build_walks, reversed_walks, single_steps
+from depweave.session import cut_counted, small
 
 
 def reach_pairs(
@@ -29,7 +29,7 @@ def reach_pairs(
     walks = walks or single_steps(edges)
     if direction == "in":
         walks = reversed_walks(walks)
-    ball = walks.ball()
+    ball = walks.ball
     step = walks.steps
     first = ball
     if sources is not None:
@@ -37,20 +37,20 @@ def reach_pairs(
     if max_hops is not None:
         first = first.where(F.col("hop") <= max_hops)
     known, fresh = cut_counted(first)
-    levels, newest, depth = [known], known, step
-    onward = ball.select(F.col("src").alias("mid"), "dst", F.col("hop").alias("_h"))
-    none = HotKeys(walks.hot_src.key_type)
+    levels, newest, depth, total = [known], known, step, fresh
+    onward = walks.sized(ball.select(F.col("src").alias("mid"), "dst", F.col("hop").alias("_h")))
     while fresh and (max_hops is None or depth < max_hops):
         rim = newest.where(F.col("hop") == depth).select("src", F.col("dst").alias("mid"))
-        found = hot_join(rim, onward, "mid", none, walks.hot_src)
+        found = hot_join(rim, onward, "mid", hot_keys(rim, "mid", fresh), walks.hot_src)
         found = found.where(F.col("src") != F.col("dst"))
         found = found.groupBy("src", "dst").agg((F.min("_h") + F.lit(depth)).alias("hop"))
         if max_hops is not None:
             found = found.where(F.col("hop") <= max_hops)
         seen = reduce(DataFrame.unionByName, levels)
-        newest, fresh = cut_counted(found.join(seen, ["src", "dst"], "left_anti"))
+        newest, fresh = cut_counted(found.join(small(seen, total), ["src", "dst"], "left_anti"))
         levels.append(newest)
         depth += step
+        total += fresh
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -80,27 +80,20 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def shortest_path(edges: DataFrame, start: DataFrame, goal: DataFrame, walks: Walks | None = None) -> DataFrame:
     """One shortest path from the start node to the goal node as rows ``(hop, id)``.
 
-    No rows when the goal cannot be reached. Where several shortest paths exist the smallest id
-    is taken at every hop, counted from the goal back.
+    No rows when the goal cannot be reached; one row when it is the start. Every reached node
+    points to its smallest predecessor one hop nearer to the start, and the path is the chain of
+    pointers from the goal, followed several at a time.
     """
-    hops = reach_pairs(edges, start, walks).select(F.col("dst").alias("id"), "hop")
-    hops = hops.unionByName(start.select("id", F.lit(0).alias("hop")))
-    goal_hop = hops.join(goal.select("id"), "id", "left_semi").first()
-    if goal_hop is None:
-        return hops.where(F.lit(False)).select("hop", "id")
-    rows = [(goal_hop["hop"], goal_hop["id"])]
-    for hop in range(goal_hop["hop"] - 1, -1, -1):
-        into = edges.where(F.col("dst") == _literal(rows[-1][1])).select(F.col("src").alias("id"))
-        level = hops.where(F.col("hop") == hop).join(into, "id", "left_semi")
-        rows.append((hop, level.agg(F.min("id")).first()[0]))
-    schema = hops.select("hop", "id").schema
-    return edges.sparkSession.createDataFrame(rows, schema)
-
-
-def _literal(value):
-    if isinstance(value, tuple):
-        return F.struct(*[F.lit(v).alias(n) for n, v in zip(value.__fields__, value)])
-    return F.lit(value)
+    begin = start.select("id", F.lit(0).alias("hop"))
+    reached = reach_pairs(edges, start, walks).select(F.col("dst").alias("id"), "hop")
+    hops, _ = cut_counted(reached.unionByName(begin))
+    nearer = hops.select(F.col("id").alias("src"), (F.col("hop") + 1).alias("hop"))
+    into = edges.select("src", "dst").join(nearer, "src").join(hops.toDF("dst", "hop"), ["dst", "hop"])
+    pointers = into.groupBy(F.col("dst").alias("src")).agg(F.min("src").alias("dst"))
+    pointers, _ = cut_counted(pointers)
+    chain = reach_pairs(pointers, goal, build_walks(pointers)).select(F.col("dst").alias("id"))
+    found = hops.join(goal.select("id"), "id", "left_semi")
+    return found.unionByName(hops.join(chain, "id", "left_semi")).select("hop", "id")
 
 
 def dependency_depth(pairs: DataFrame) -> DataFrame:
@@ -126,12 +119,13 @@ def reachable_from(edges: DataFrame, roots: DataFrame, walks: Walks | None = Non
     """
     walks = walks or single_steps(edges)
     seen, fresh = cut_counted(roots.select("id").distinct())
-    levels, newest = [seen], seen
-    step = walks.table.select(F.col("src").alias("id"), F.col("dst"))
+    levels, newest, total = [seen], seen, fresh
+    step = walks.sized(walks.table.select(F.col("src").alias("id"), F.col("dst")))
     none = HotKeys(walks.hot_src.key_type)
     while fresh:
         ahead = hot_join(newest, step, "id", none, walks.hot_src).select(F.col("dst").alias("id"))
         known = reduce(DataFrame.unionByName, levels)
-        newest, fresh = cut_counted(ahead.distinct().join(known, "id", "left_anti"))
+        newest, fresh = cut_counted(ahead.distinct().join(small(known, total), "id", "left_anti"))
         levels.append(newest)
+        total += fresh
     return reduce(DataFrame.unionByName, levels)

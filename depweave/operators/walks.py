@@ -7,12 +7,13 @@ the passes over the graph) that stepping along single edges would take.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depweave.operators.skew import HOT_FLOOR, HotKeys, hot_join, hot_keys
-from depweave.session import cut, cut_counted
+from depweave.session import cut, cut_counted, small
 
 
 @dataclass
@@ -29,10 +30,15 @@ class Walks:
     def empty(self) -> bool:
         return self.rows == 0
 
+    @cached_property
     def ball(self) -> DataFrame:
         """Shortest distance ``hop`` of every pair at most ``steps`` apart, loops left out."""
         pairs = self.table.where(F.col("src") != F.col("dst"))
-        return pairs.groupBy("src", "dst").agg(F.min("steps").alias("hop"))
+        return cut(pairs.groupBy("src", "dst").agg(F.min("steps").alias("hop")))
+
+    def sized(self, df: DataFrame) -> DataFrame:
+        """Mark a table that cannot have more rows than the walk table as small, if that is."""
+        return small(df, self.rows)
 
 
 def build_walks(
@@ -44,21 +50,22 @@ def build_walks(
     aggregates. A hub that would blow the table up therefore stops the doubling before it runs,
     and the operators take more, shorter, rounds instead.
     """
+    edges, first = cut_counted(edges.select("src", "dst"))
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_d"))
-    steps, table = 1, None
-    one = edges.select("src", "dst").join(out, "src")
-    table, first = cut_counted(
-        one.select("src", "dst", F.lit(1).alias("steps"), (F.lit(1.0) / F.col("_d")).alias("weight"))
-    )
-    rows = first
+    weight = (F.lit(1.0) / F.col("_d")).alias("weight")
+    table = edges.join(small(out, first), "src").select("src", "dst", F.lit(1).alias("steps"), weight)
+    steps, rows = 1, first
     while rows and steps < max_steps:
         longest = table.where(F.col("steps") == steps)
-        ends = longest.groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("_a"))
-        starts = table.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("_b"))
-        size = ends.join(starts, "v").agg(
-            F.sum(F.col("_a").cast("double") * F.col("_b")).alias("n")
+        # Rows of the doubling: over all nodes, longest walks into it times walks out of it.
+        ends = F.explode(
+            F.array(
+                F.struct(F.col("dst").alias("v"), (F.col("steps") == steps).cast("int").alias("a"), F.lit(0).alias("b")),
+                F.struct(F.col("src").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")),
+            )
         )
-        joined = size.first()["n"] or 0
+        meets = table.select(ends.alias("x")).select("x.*").groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        joined = meets.agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0
         if joined > growth * first:
             break
         left = longest.select(
@@ -66,7 +73,7 @@ def build_walks(
         )
         right = table.select(F.col("src").alias("mid"), "dst", "steps", "weight")
         longer = hot_join(
-            left, right, "mid", hot_keys(left, "mid", rows, floor), hot_keys(right, "mid", rows, floor)
+            left, small(right, rows), "mid", hot_keys(left, "mid", rows, floor), hot_keys(right, "mid", rows, floor)
         )
         longer = longer.groupBy("src", "dst", (F.col("_s") + F.col("steps")).alias("steps")).agg(
             F.sum(F.col("_w") * F.col("weight")).alias("weight")
@@ -92,12 +99,10 @@ def reversed_walks(walks: Walks) -> Walks:
 
 
 def restricted(walks: Walks, nodes: DataFrame) -> Walks:
-    """Walks whose two ends are both among ``nodes(id)``."""
+    """Walks whose two ends are both among ``nodes(id)``, of which no walk has more than two."""
+    nodes = walks.sized(nodes)
     table = walks.table.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(
         nodes.withColumnRenamed("id", "dst"), "dst", "left_semi"
     )
     table, rows = cut_counted(table.select("src", "dst", "steps", "weight"))
     return Walks(table, walks.steps, rows, walks.hot_src, walks.hot_dst)
-
-
-__all__ = ["Walks", "build_walks", "single_steps", "reversed_walks", "restricted", "cut"]

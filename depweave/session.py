@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,8 +62,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """As :func:`cut`, and the number of rows, counted in the same job."""
+def cut_counted(df: DataFrame, where: Column | None = None) -> tuple[DataFrame, int]:
+    """As :func:`cut`, and the number of rows (that hold ``where``), counted in the same job."""
     seen = Observation()
-    done = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    counted = F.count(F.lit(1)) if where is None else F.count_if(where)
+    done = cut(df.observe(seen, counted.alias("n")))
     return done, int(seen.get.get("n", 0))
+
+
+# Rows of a narrow table (two keys and two numbers) that are safe to send to every executor.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Mark a table whose counted size allows a broadcast; larger tables are left to the planner."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

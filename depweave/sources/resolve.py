@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depweave.functions.exprs import dirname, line_count, normalize_path
-from depweave.operators.skew import hot_join, hot_keys, HotKeys
+from depweave.operators.skew import lookup
 from depweave.schema import IMPORT_REF
 from depweave.session import cut_counted
 
@@ -79,16 +79,14 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, 100_000), "/"))
     java = files.where(F.col("path").endswith(".java") & F.contains("path", F.lit("/")))
     ends = java.select("rev", "path", F.explode(tails).alias("tail"))
-    ends = ends.select(F.struct("rev", F.col("tail").alias("path")).alias("at"), F.col("path").alias("resolved"))
+    ends = ends.groupBy(F.struct("rev", F.col("tail").alias("path")).alias("at")).agg(F.min("path").alias("resolved"))
     asked = wanted.where(spec["language"] == "java")
     suffix = asked.join(ends, "at").select("_spec", (F.col("rank") + 1).alias("rank"), "resolved")
 
     best = direct.unionByName(suffix).groupBy("_spec").agg(
         F.min_by("resolved", F.struct("rank", "resolved")).alias("resolved")
     )
-    keyed, rows = cut_counted(keyed)
-    none = HotKeys(keyed.schema["_spec"].dataType)
-    return hot_join(keyed, best, "_spec", hot_keys(keyed, "_spec", rows), none, how="left").drop("_spec")
+    return lookup(keyed, best, "_spec", how="left").drop("_spec")
 
 
 def assemble(files: DataFrame, facts: DataFrame) -> DataFrame:
