@@ -1,5 +1,7 @@
 """Dependency-graph analytics expressed as Spark DataFrame jobs."""
 
 from depweave.model import DepGraph, stack_revisions
+from depweave.operators.analysis import Analysis
+from depweave.repository import TOOLS, Repository
 
-__all__ = ["DepGraph", "stack_revisions"]
+__all__ = ["TOOLS", "Analysis", "DepGraph", "Repository", "stack_revisions"]

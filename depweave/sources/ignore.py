@@ -52,7 +52,8 @@ def _translate(text: str) -> str:
             out, i = out + "/.+", i + 3
         elif text[i] == "*":
             run = len(text[i:]) - len(text[i:].lstrip("*"))
-            out, i = out + "[^/]*", i + run
+            whole = (i == 0 or text[i - 1] == "/") and text[i + run : i + run + 1] in ("", "/")
+            out, i = out + ("[^/]+" if whole else "[^/]*"), i + run
         elif text[i] == "?":
             out, i = out + "[^/]", i + 1
         elif text[i] == "[" and "]" in text[i + 2 :]:

@@ -10,46 +10,40 @@ from depweave.operators.skew import lookup
 from depweave.schema import IMPORT_REF
 from depweave.session import cut_counted
 
+SCRIPTS = ("javascript", "typescript")
+
 # Suffixes tried for a script import, in order.
 SCRIPT_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 
 
-def _joined(*parts: Column) -> Column:
-    return normalize_path(F.concat_ws("/", *parts))
-
-
-def _script_candidates(raw: Column, folder: Column) -> Column:
-    """Exact name, then suffixes, then the TypeScript twin of a script name, then index files."""
-    target = _joined(folder, raw)
-    twin = F.regexp_replace(target, r"\.(js|jsx|mjs|cjs)$", "")
-    has_twin = target != twin
-    listed = [target]
-    listed += [F.concat(target, F.lit(s)) for s in SCRIPT_SUFFIXES]
-    listed += [F.when(has_twin, F.concat(twin, F.lit(s))) for s in (".ts", ".tsx")]
-    listed += [_joined(target, F.lit(f"index{s}")) for s in SCRIPT_SUFFIXES]
-    return F.when(raw.startswith("."), F.array(*listed))
-
-
-def _python_candidates(raw: Column, folder: Column) -> Column:
-    """Module file, then package; each leading dot after the first climbs one folder."""
+def _based(language: Column, raw: Column, folder: Column) -> Column:
+    """Path an import points at, before any suffix; null when it cannot mean a file."""
     dots = F.length(F.regexp_extract(raw, r"^\.*", 0))
-    rest = F.replace(F.regexp_replace(raw, r"^\.+", ""), F.lit("."), F.lit("/"))
+    module = F.replace(F.regexp_replace(raw, r"^\.+", ""), F.lit("."), F.lit("/"))
     up = F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0)))
-    climbed = F.regexp_replace(_joined(folder, up), r"^(\.\./?)+", "")
-    base = F.when(dots > 0, _joined(climbed, rest)).otherwise(normalize_path(rest))
-    return F.array(F.concat(base, F.lit(".py")), _joined(base, F.lit("__init__.py")))
-
-
-def _java_candidates(raw: Column) -> Column:
-    return F.when(~raw.endswith(".*"), F.array(F.concat(F.replace(raw, F.lit("."), F.lit("/")), F.lit(".java"))))
+    climbed = normalize_path(F.concat(folder, F.lit("/"), up, module))
+    return (
+        F.when(language.isin(*SCRIPTS) & raw.startswith("."), normalize_path(F.concat(folder, F.lit("/"), raw)))
+        # Each dot after the first climbs one folder, and stops at the root.
+        .when((language == "python") & (dots > 0), F.regexp_replace(climbed, r"^(\.\.(/|$))+", ""))
+        .when(language == "python", module)
+        .when((language == "java") & ~raw.endswith(".*"), F.replace(raw, F.lit("."), F.lit("/")))
+    )
 
 
-def candidates(language: Column, raw: Column, folder: Column) -> Column:
-    """Paths an import may mean, best first; null when it cannot mean a file."""
+def candidates(language: Column, base: Column) -> Column:
+    """Paths an import may mean, best first."""
+    twin = F.regexp_replace(base, r"\.(js|jsx|mjs|cjs)$", "")
+    below = F.when(base == "", "").otherwise(F.concat(base, F.lit("/")))
+    script = [base]
+    script += [F.concat(base, F.lit(s)) for s in SCRIPT_SUFFIXES]
+    script += [F.when(base != twin, F.concat(twin, F.lit(s))) for s in (".ts", ".tsx")]
+    script += [F.concat(below, F.lit(f"index{s}")) for s in SCRIPT_SUFFIXES]
+    python = [F.concat(base, F.lit(".py")), F.concat(below, F.lit("__init__.py"))]
     return (
-        F.when(language.isin("javascript", "typescript"), _script_candidates(raw, folder))
-        .when(language == "python", _python_candidates(raw, folder))
-        .when(language == "java", _java_candidates(raw))
+        F.when(language.isin(*SCRIPTS), F.array(*script))
+        .when(language == "python", F.array(*python))
+        .when(language == "java", F.array(F.concat(base, F.lit(".java"))))
     )
 
 
@@ -60,15 +54,16 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     so a package that a third of all files import is looked up once and not once per file. A Java
     name also matches any file whose path ends in it, the smallest path first.
     """
-    relative = F.col("language").isin("javascript", "typescript") | F.col("raw").startswith(".")
+    relative = F.col("language").isin(*SCRIPTS) | F.col("raw").startswith(".")
     folder = F.when(relative, dirname(F.col("path"))).otherwise("")
     keyed = imports.withColumn("_spec", F.struct("rev", "language", folder.alias("folder"), "raw"))
     spec = F.col("_spec")
     wanted = (
         keyed.select("_spec")
         .distinct()
-        .select("_spec", candidates(spec["language"], spec["raw"], spec["folder"]).alias("c"))
-        .select("_spec", F.posexplode("c").alias("rank", "path"))
+        .select("_spec", _based(spec["language"], spec["raw"], spec["folder"]).alias("base"))
+        .where("base is not null")
+        .select("_spec", F.posexplode(candidates(spec["language"], F.col("base"))).alias("rank", "path"))
         .where("path is not null")
         .select("_spec", "rank", F.struct(spec["rev"].alias("rev"), F.col("path").alias("path")).alias("at"))
     )
