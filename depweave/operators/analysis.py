@@ -93,7 +93,7 @@ class Analysis:
 
     @cached_property
     def pagerank(self) -> DataFrame:
-        return cut(pagerank(self.files, self.edges, walks=self.walks))
+        return pagerank(self.files, self.edges, walks=self.walks)
 
     @cached_property
     def closure(self) -> DataFrame:

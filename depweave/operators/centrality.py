@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from depweave.operators.skew import HotKeys, hot_join
 from depweave.operators.walks import Walks, build_walks
-from depweave.session import cut_counted, small
+from depweave.session import cut, cut_counted, small
 
 
 def pagerank(
@@ -34,7 +34,7 @@ def pagerank(
     steps = walks.table.select(F.col("src").alias("id"), "dst", "steps", (F.col("weight") * power).alias("w"))
     none = HotKeys(walks.hot_src.key_type)
 
-    terms = [files.select("id", F.lit(0).alias("k"), F.lit(1.0).alias("x"))]
+    terms: list[DataFrame] = []
     base, done, fresh = None, 0, walks.rows
     while done < iterations and fresh:
         take = min(walks.steps, iterations - done)
@@ -49,25 +49,37 @@ def pagerank(
         terms.append(block)
         done += take
         base = block.where(F.col("k") == done).select("id", "x")
-    series = reduce(DataFrame.unionByName, terms).join(files.select("id", "rev"), "id")
 
-    leaf = edges.select(F.col("src").alias("id")).distinct()
-    lost = series.join(leaf, "id", "left_anti").groupBy("rev", "k").agg(F.sum("x").alias("s"))
-    sizes = {r["rev"]: r["n"] for r in files.groupBy("rev").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # One row per file with its terms, at most one per round; x(0) is 1 everywhere.
+    start = F.array(F.struct(F.lit(0).alias("k"), F.lit(1.0).alias("x")))
+    nodes = files.select("rev", "id")
+    if terms:
+        listed = reduce(DataFrame.unionByName, terms).groupBy("id").agg(
+            F.sort_array(F.collect_list(F.struct("k", "x"))).alias("terms")
+        )
+        importing = edges.select(F.col("src").alias("id")).distinct().withColumn("imports", F.lit(True))
+        nodes = nodes.join(listed, "id", "left").join(importing, "id", "left")
+        nodes = nodes.select("rev", "id", F.concat(start, F.coalesce("terms", F.slice(start, 1, 0))).alias("terms"), "imports")
+    else:
+        nodes = nodes.select("rev", "id", start.alias("terms"), F.lit(None).cast("boolean").alias("imports"))
+    nodes = cut(nodes)
+
+    sizes = {r["rev"]: r["n"] for r in nodes.groupBy("rev").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lost = nodes.where("imports is null").select("rev", F.explode("terms").alias("t"))
     dangling: dict = defaultdict(dict)
-    for row in lost.collect():  # at most iterations + 1 numbers per revision
+    for row in lost.groupBy("rev", "t.k").agg(F.sum("t.x").alias("s")).collect():  # one number per round
         dangling[row["rev"]][row["k"]] = row["s"] / sizes[row["rev"]]
+    weights = [(rev, _weights(dangling[rev], damping, iterations, count)) for rev, count in sizes.items()]
+    table = files.sparkSession.createDataFrame(weights, "rev string, c array<double>")
+    rank = F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["x"] * F.get("c", t["k"]))
+    return nodes.join(F.broadcast(table), "rev").select("rev", "id", rank.alias("pagerank"))
+
 
-    weights = []
-    for rev, count in sizes.items():
-        share: list[float] = []
-        for step in range(iterations):
-            mass = dangling[rev].get(step, 0.0)
-            mass += sum(share[step - 1 - j] * dangling[rev].get(j, 0.0) for j in range(step))
-            share.append((1.0 - damping) + damping * mass)
-        for k in range(iterations + 1):
-            weight = 1.0 if k == iterations else share[iterations - 1 - k]
-            weights.append((rev, k, weight / count))
-    table = files.sparkSession.createDataFrame(weights, "rev string, k int, c double")
-    ranks = series.join(F.broadcast(table), ["rev", "k"])
-    return ranks.groupBy("rev", "id").agg(F.sum(F.col("x") * F.col("c")).alias("pagerank"))
+def _weights(dangling: dict[int, float], damping: float, iterations: int, count: int) -> list[float]:
+    """Weight of every term in the last round, given the dangling part of each term."""
+    share: list[float] = []
+    for step in range(iterations):
+        mass = dangling.get(step, 0.0)
+        mass += sum(share[step - 1 - j] * dangling.get(j, 0.0) for j in range(step))
+        share.append((1.0 - damping) + damping * mass)
+    return [share[iterations - 1 - k] / count for k in range(iterations)] + [1.0 / count]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depweave.functions.exprs import dirname
+from depweave.operators.skew import lookup
 
 NO_PACKAGE = "(root)"
 
@@ -21,16 +22,15 @@ def package_of(files: DataFrame, packages: DataFrame) -> DataFrame:
     folders = files.select(folder.alias("folder")).distinct()
     found = folders.select("folder", F.explode(chain).alias("package")).join(packages, "package")
     longest = found.groupBy("folder").agg(F.max_by("package", F.length("package")).alias("package"))
-    placed = files.withColumn("folder", folder).join(longest, "folder", "left").drop("folder")
+    placed = lookup(files.withColumn("folder", folder), longest, "folder", how="left").drop("folder")
     return placed.withColumn("package", F.coalesce("package", F.lit(NO_PACKAGE)))
 
 
 def package_dependencies(placed: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct ``(rev, package, depends_on)`` over imports that cross packages."""
     ends = placed.select("id", "rev", "package")
-    crossed = edges.join(ends.toDF("src", "rev", "package"), "src").join(
-        ends.drop("rev").toDF("dst", "depends_on"), "dst"
-    )
+    crossed = lookup(edges, ends.toDF("src", "rev", "package"), "src")
+    crossed = lookup(crossed, ends.drop("rev").toDF("dst", "depends_on"), "dst")
     return crossed.where(F.col("package") != F.col("depends_on")).select("rev", "package", "depends_on").distinct()
 
 

@@ -14,6 +14,8 @@ from depweave.session import cut, cut_counted
 # table. At most ``HOT_SHARE`` keys can do so, which bounds the list that is broadcast.
 HOT_SHARE = 1000
 HOT_FLOOR = 2_000_000
+# Buckets of the first count; far more than hot keys can exist.
+HASH_BUCKETS = 1 << 20
 # Rows of one key that a single task may hold.
 SLICE_ROWS = 1_000_000
 
@@ -33,12 +35,22 @@ class HotKeys:
 
 
 def hot_keys(df: DataFrame, key: str, rows: int, floor: int = HOT_FLOOR) -> HotKeys:
-    """Keys of ``df`` that need slicing; no job is run when ``rows`` rules them out."""
+    """Keys of ``df`` that need slicing; no job is run when ``rows`` rules them out.
+
+    Rows are first counted by hash bucket, which every task does in bounded memory and almost
+    without a shuffle. A hot key makes its bucket hot, so only the rows of hot buckets, usually
+    none, are counted by key.
+    """
     key_type = df.schema[key].dataType
     if rows <= floor:
         return HotKeys(key_type)
     limit = max(floor, rows // HOT_SHARE)
-    found = df.groupBy(key).count().where(F.col("count") > limit).collect()
+    bucket = F.pmod(F.xxhash64(key), F.lit(HASH_BUCKETS))
+    full = df.groupBy(bucket.alias("b")).count().where(F.col("count") > limit).collect()
+    if not full:
+        return HotKeys(key_type)
+    suspects = df.where(bucket.isin([r["b"] for r in full]))
+    found = suspects.groupBy(key).count().where(F.col("count") > limit).collect()
     per_slice = min(SLICE_ROWS, limit)
     return HotKeys(key_type, [(r[key], -(-r["count"] // per_slice)) for r in found])
 

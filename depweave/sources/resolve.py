@@ -92,7 +92,7 @@ def assemble(files: DataFrame, facts: DataFrame) -> DataFrame:
     measured = files.select(
         "rev", "path", "language", "size", "key", line_count(F.col("text")).cast("int").alias("loc")
     )
-    known = measured.join(facts, "key", "left")
+    known = lookup(measured, facts, "key", how="left")
     missing = F.col("exports").isNull()
     rows = known.select(
         "rev",
