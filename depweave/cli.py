@@ -34,6 +34,7 @@ def _report_data(repo: Repository, save: bool) -> dict:
 
 def scan(repo: Repository, args) -> int:
     export.save_code_graph(repo.code_nodes, repo.code_edges, str(repo.output / "graph"))
+    export.save_store(repo.analysis.files, repo.analysis.edges, str(repo.output / "store"))
     export.save_result(repo.analysis.summary, str(repo.output / "summary"))
     repo.record_health(datetime.now(UTC).isoformat())
     return _show(repo.repository_summary(), 10)
@@ -49,15 +50,17 @@ def export_graph(repo: Repository, args) -> int:
 
 
 def insights(repo: Repository, args) -> int:
-    a = repo.analysis
     return _show({
-        "hotspots": repo.hotspots(), "cycles": repo.cycles(), "god modules": a.god_modules.drop("rev", "id"),
-        "unused": repo.find_unused(), "layer violations": repo.layer_violations(),
+        "hotspots": repo.remembered("hotspots", repo.hotspots), "cycles": repo.remembered("cycles", repo.cycles),
+        "god modules": repo.god_modules(), "unused": repo.find_unused(), "layer violations": repo.layer_violations(),
     })
 
 
 def impact(repo: Repository, args) -> int:
-    return _show(repo.impact(args.target))
+    parts = repo.impact(args.target)
+    for name, df in (parts or {}).items():
+        export.save_result(df, str(repo.output / "impact" / name))
+    return _show(parts)
 
 
 def history(repo: Repository, args) -> int:

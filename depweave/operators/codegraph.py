@@ -257,6 +257,21 @@ def map_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
     return shown, linked.select("rev", "id", "type", "source", "target")
 
 
+def map_facets(map_nodes: DataFrame) -> DataFrame:
+    """``(rev, facet, value, nodes)``: map nodes per type and per language."""
+    types = map_nodes.select("rev", F.lit("type").alias("facet"), F.col("type").alias("value"))
+    spoken = map_nodes.where("language is not null")
+    languages = spoken.select("rev", F.lit("language").alias("facet"), F.col("language").alias("value"))
+    return types.unionByName(languages).groupBy("rev", "facet", "value").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def map_extent(map_nodes: DataFrame) -> DataFrame:
+    """Greatest degree and number of folders of the map."""
+    return map_nodes.groupBy("rev").agg(
+        F.max("degree").alias("max_degree"), F.count_if(F.col("type") == "Directory").alias("directories")
+    )
+
+
 def derived_symbols(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Functions, then classes, of file nodes as symbols, and the edges from their files."""
     rows = nodes.select("rev", F.col("id").alias("file"), "path", "lang", F.explode(F.concat("functions", "classes")).alias("d"))

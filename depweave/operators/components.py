@@ -63,7 +63,9 @@ def strongly_connected(edges: DataFrame, walks: Walks | None = None) -> DataFram
     while not walks.empty:
         labels = _lowest_reaching(walks)
         coloured = walks.sized(labels)
-        inside = walks.table.join(coloured.toDF("src", "_c"), "src").join(coloured.toDF("dst", "_d"), "dst")
+        none = HotKeys(walks.hot_src.key_type)
+        inside = hot_join(walks.table, coloured.toDF("src", "_c"), "src", walks.hot_src, none)
+        inside = hot_join(inside, coloured.toDF("dst", "_d"), "dst", walks.hot_dst, none)
         inside = inside.where(F.col("_c") == F.col("_d")).select("src", "dst", "steps", "weight")
         inside, rows = cut_counted(inside)
         backward = reversed_walks(Walks(inside, walks.steps, rows, walks.hot_src, walks.hot_dst))

@@ -150,3 +150,10 @@ def trend(snapshots: DataFrame) -> DataFrame:
 def retained(snapshots: DataFrame, keep: int = KEPT_SNAPSHOTS) -> DataFrame:
     """The newest ``keep`` snapshots."""
     return snapshots.orderBy(F.desc("timestamp")).limit(keep)
+
+
+def series_range(snapshots: DataFrame) -> DataFrame:
+    """``(measure, low, high)`` of every score over a series of snapshots."""
+    names = ("overall", "maintainability", "stability", "modularity", "coupling", "complexity")
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("v")) for n in names]))
+    return snapshots.select(pairs.alias("m")).groupBy("m.measure").agg(F.min("m.v").alias("low"), F.max("m.v").alias("high"))

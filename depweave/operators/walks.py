@@ -53,7 +53,9 @@ def build_walks(
     edges, first = cut_counted(edges.select("src", "dst"))
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_d"))
     weight = (F.lit(1.0) / F.col("_d")).alias("weight")
-    table = edges.join(small(out, first), "src").select("src", "dst", F.lit(1).alias("steps"), weight)
+    none = HotKeys(edges.schema["src"].dataType)
+    table = hot_join(edges, small(out, first), "src", hot_keys(edges, "src", first, floor), none)
+    table = table.select("src", "dst", F.lit(1).alias("steps"), weight)
     steps, rows = 1, first
     while rows and steps < max_steps:
         longest = table.where(F.col("steps") == steps)

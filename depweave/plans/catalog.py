@@ -212,12 +212,11 @@ def node_metrics(w):
 
 @query
 def shortest_path(w):
-    """Length of the path from the deepest file to the nearest of the files farthest from it."""
-    far = w.analysis.closure.orderBy(F.desc("hop"), "src", "dst").limit(1).first()
+    """Length of the path to the top hub from the file farthest from it."""
     a = w.analysis
-    start = a.files.where(F.col("id") == far["src"]).select("id")
-    goal = a.files.where(F.col("id") == far["dst"]).select("id")
-    steps = reach.shortest_path(a.edges, start, goal, a.walks)
+    farthest = F.min_by("id", F.struct(-F.col("hop"), F.col("id"))).alias("id")
+    start = _affected(w).agg(farthest).where("id is not null")
+    steps = reach.shortest_path(a.edges, start, w.top_hub, a.walks)
     return steps.agg(
         F.min_by("id", "hop").alias("source"), F.max_by("id", "hop").alias("target"), F.max("hop").alias("length")
     )
@@ -476,6 +475,11 @@ def health_trend(w):
     )
 
 
+@query
+def health_range(w):
+    return health.series_range(w.compared.health)
+
+
 # --- texts and the property graph ------------------------------------------------------------
 
 
@@ -565,6 +569,16 @@ def map_graph_edges(w):
     return edges.select("id", "type", "source", "target")
 
 
+@query
+def map_facets(w):
+    return codegraph.map_facets(codegraph.map_graph(w.code_nodes, w.code_edges)[0]).drop("rev")
+
+
+@query
+def map_extent(w):
+    return codegraph.map_extent(codegraph.map_graph(w.code_nodes, w.code_edges)[0]).drop("rev")
+
+
 @query
 def derived_symbols(w):
     symbols, _ = codegraph.derived_symbols(codegraph.file_nodes(w.records))

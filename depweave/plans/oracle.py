@@ -556,7 +556,7 @@ SQL: dict[str, str] = {
         coalesce(b.n, 0) AS transitive_dependents, coalesce(a.depth, 0) AS depth, round(h.r, 9) AS centrality, h.score AS hotspot_score
         FROM hot h LEFT JOIN (SELECT s, count(*) AS n, max(hop) AS depth FROM pairs GROUP BY s) a ON a.s = h.id
         LEFT JOIN (SELECT t, count(*) AS n FROM pairs GROUP BY t) b ON b.t = h.id""",
-    "shortest_path": "SELECT s AS source, t AS target, hop AS length FROM pairs ORDER BY hop DESC, s, t LIMIT 1",
+    "shortest_path": "SELECT s AS source, t AS target, hop AS length FROM pairs JOIN hub ON hub.id = t ORDER BY hop DESC, s LIMIT 1",
     "reachable_from_entries": """SELECT path FROM f WHERE contains(path, '/tests/')
         OR id IN (SELECT t FROM pairs JOIN f r ON r.id = pairs.s WHERE contains(r.path, '/tests/'))""",
     "cycles": """SELECT c.first_file, c.length, c.severity, b.from_path AS break_from, b.to_path AS break_to FROM cyc c JOIN (
@@ -641,6 +641,9 @@ SQL: dict[str, str] = {
         coalesce(CAST(floor(round(h.hotspot_mean, 9) + 0.5) - floor(round(p.hotspot_mean, 9) + 0.5) AS BIGINT), 0) AS hotspots_delta,
         coalesce(h.god_modules - p.god_modules, 0) AS god_modules_delta
         FROM rhealth h LEFT JOIN rhealth p ON p.rev = 'base' AND h.rev = 'head'""",
+    "health_range": """SELECT measure, min(v) AS low, max(v) AS high FROM
+        (SELECT overall, maintainability, stability, modularity, coupling, complexity FROM rhealth)
+        UNPIVOT (v FOR measure IN (overall, maintainability, stability, modularity, coupling, complexity)) GROUP BY measure""",
     "line_count": r"""SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split_regex(text, '\r\n|\r|\n')) END::INT AS loc FROM documents""",
     "keyword_counts": f"""SELECT keyword, count(*) AS turns FROM (SELECT DISTINCT conv_id, turn, rowid_, keyword FROM (
         SELECT conv_id, turn, row_number() OVER () AS rowid_, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS keyword FROM conversations))
@@ -661,6 +664,9 @@ SQL: dict[str, str] = {
     "map_graph_nodes": "SELECT id, type, path, language, degree FROM mn",
     "map_graph_edges": """SELECT id, type, source, target FROM ce WHERE type IN ('IMPORTS', 'CONTAINS')
         AND source IN (SELECT id FROM mn) AND target IN (SELECT id FROM mn)""",
+    "map_facets": """SELECT 'type' AS facet, type AS value, count(*) AS nodes FROM mn GROUP BY type
+        UNION ALL SELECT 'language', language, count(*) FROM mn WHERE language IS NOT NULL GROUP BY language""",
+    "map_extent": "SELECT max(degree) AS max_degree, count(*) FILTER (type = 'Directory') AS directories FROM mn",
     "derived_symbols": "SELECT id, name, kind, path, line, exported FROM sy WHERE parent IS NULL AND kind IN ('function', 'class')",
     "derived_contains": """SELECT 'file:' || path || '=>' || id AS id, 'file:' || path AS source, id AS target
         FROM sy WHERE parent IS NULL AND kind IN ('function', 'class')""",

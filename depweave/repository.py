@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
 from functools import cached_property
 from pathlib import Path
 
@@ -14,8 +15,9 @@ from depweave.config import load_analysis_config, load_governance_config
 from depweave.model import DepGraph
 from depweave.operators import codegraph, compare, context, health, history, impact, packages
 from depweave.operators import reach, store, summary
-from depweave.operators.analysis import Analysis
 from depweave.functions import classify
+from depweave.operators.analysis import Analysis
+from depweave.operators.fingerprint import graph_fingerprint, stored_result
 from depweave.session import cut, ensure_checkpoint_dir
 from depweave.sources import git, tree
 from depweave.sources.workspaces import detect_workspaces, package_frame
@@ -73,6 +75,16 @@ class Repository:
     def symbols(self) -> DataFrame:
         return codegraph.symbol_rows(self.records)
 
+    @cached_property
+    def fingerprint(self) -> str:
+        """Changes with the graph and with the settings of the analysis."""
+        a = self.analysis
+        return graph_fingerprint(a.files, a.edges, (a.config, a.governance))
+
+    def remembered(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A result of the analysis, read from disk when the same graph was analysed before."""
+        return stored_result(self.spark, str(self.output / "analysis" / self.fingerprint / name), build)
+
     def resolve(self, target: str) -> DataFrame:
         """At most one row ``(id, path)``."""
         named = self.analysis.files.withColumn("key", F.col("id")).withColumn("id", F.col("id.node"))
@@ -143,6 +155,9 @@ class Repository:
     def cycles(self) -> DataFrame:
         return self.analysis.cycles.drop("rev", "comp").orderBy(F.desc("length"), "first_file")
 
+    def god_modules(self) -> DataFrame:
+        return self.analysis.god_modules.drop("rev", "id")
+
     def layer_violations(self) -> DataFrame:
         return self.analysis.layer_violations.drop("rev")
 
@@ -286,6 +301,11 @@ class Repository:
     def snapshot(self, rev: str) -> DepGraph:
         return codegraph.dependency_graph(cut(git.scan_revisions(self.spark, self.root, [rev], self.cache)))
 
+    def snapshot_map(self, rev: str) -> tuple[DataFrame, DataFrame]:
+        """The map of one revision."""
+        records = cut(git.scan_revisions(self.spark, self.root, [rev], self.cache))
+        return codegraph.map_graph(codegraph.code_nodes(records, self.root), codegraph.code_edges(records, self.root))
+
     def replay(self, steps: int = 16) -> DataFrame:
         """Files and imports of evenly spaced commits."""
         picked = [r["hash"] for r in self.timeline(steps).collect()]

@@ -65,3 +65,16 @@ def load_code_graph(spark, target: str) -> tuple[DataFrame, DataFrame]:
 def save_result(df: DataFrame, target: str, form: str = "json") -> None:
     """Write any result in a format Spark writes."""
     df.write.mode("overwrite").format(form).save(target)
+
+
+def save_store(files: DataFrame, edges: DataFrame, target: str) -> None:
+    """Store a graph for queries by other sessions: files with their degrees, and the edges."""
+    from depweave.operators.degrees import with_degrees
+
+    with_degrees(files, edges).write.mode("overwrite").partitionBy("rev").parquet(f"{target}/files")
+    edges.write.mode("overwrite").parquet(f"{target}/edges")
+
+
+def load_store(spark, target: str) -> tuple[DataFrame, DataFrame]:
+    """Files with degrees, and edges; a filter on ``rev`` reads only that revision's files."""
+    return spark.read.parquet(f"{target}/files"), spark.read.parquet(f"{target}/edges")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depweave.config import AnalysisConfig, GovernanceConfig, Layer, LayerRule
-from depweave.operators import impact, reach, rules, store
+from depweave.operators import health, impact, reach, rules, store
 from depweave.operators.analysis import Analysis
 from graphs import graph, stacked
 
@@ -92,6 +92,14 @@ def test_health(analysis):
             assert tuple(row[n] for n in names) == HEALTH[row["rev"]], row["rev"]
 
 
+def test_health_from_volatile_files(analysis, spark):
+    steady = spark.createDataFrame([("a.ts", 10), ("b.ts", 90), ("zz.ts", 0)], "path string, stability long")
+    share = health.volatile_share(analysis.files, steady)
+    inputs = health.health_inputs(analysis, analysis.violations)
+    rows = {r["rev"]: r["stability"] for r in health.health_scores(inputs, share).collect()}
+    assert rows["chain"] == 40 and rows["layers"] == 100
+
+
 def test_cycles(analysis):
     rows = {r["rev"]: r for r in analysis.cycles.collect()}
     assert set(rows) == {"ring", "twocycle"}

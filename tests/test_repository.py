@@ -168,6 +168,39 @@ def test_reports_and_export(repo, spark, tmp_path):
     assert loaded.count() == repo.code_nodes.count()
 
 
+def test_endpoints(repo):
+    from depweave.endpoints import answer, whole
+
+    paths = lambda df: {r["path"] for r in df.collect()}
+    assert paths(answer(repo, "/api/search", {"q": "SRC/", "limit": "2"})) == {"src/a.ts", "src/animal.ts"}
+    assert paths(answer(repo, "/api/neighbors", {"id": "src/a.ts"})["nodes"]) == {"index.ts", "src/a.ts", "src/b.ts"}
+    assert paths(answer(repo, "/api/subgraph", {"folder": "pkg", "minDegree": "1"})["nodes"]) == {
+        "pkg/main.py", "pkg/models.py", "pkg/utils.py",
+    }
+    assert answer(repo, "/api/stats").first()["edges"] == 5
+    assert answer(repo, "/api/impact", {"id": "nope"}) is None and answer(repo, "/nothing") is None
+    assert answer(repo, "/graph.json")["edges"].count() > 0
+    assert whole({"k": "x"}, "k", 7) == 7 and whole({"k": "3"}, "k", 7) == 3
+
+
+def test_results_are_remembered_per_graph_and_settings(repo, spark, tmp_path):
+    from depweave.config import AnalysisConfig, GovernanceConfig
+    from depweave.operators.fingerprint import graph_fingerprint, stored_result
+
+    a = repo.analysis
+    key = graph_fingerprint(a.files, a.edges, (a.config, a.governance))
+    assert key == graph_fingerprint(a.files.repartition(3), a.edges, (a.config, a.governance)) == repo.fingerprint
+    assert key != graph_fingerprint(a.files, a.edges, (AnalysisConfig(entry_points=()), GovernanceConfig()))
+    assert key != graph_fingerprint(a.files, a.edges.limit(1), (a.config, a.governance))
+    built = []
+    make = lambda: built.append(1) or repo.hotspots()
+    first = stored_result(spark, str(tmp_path / "hot"), make).count()
+    assert stored_result(spark, str(tmp_path / "hot"), make).count() == first and built == [1]
+    export.save_store(a.files, a.edges, str(tmp_path / "store"))
+    files, edges = export.load_store(spark, str(tmp_path / "store"))
+    assert files.where("path = 'src/b.ts'").first()["in_degree"] == 1 and edges.count() == 5
+
+
 def test_health_series(repo):
     first = repo.record_health("2024-01-01").collect()
     assert [r["direction"] for r in first] == ["first-scan"]
