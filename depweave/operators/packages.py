@@ -29,8 +29,9 @@ def package_of(files: DataFrame, packages: DataFrame) -> DataFrame:
 def package_dependencies(placed: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct ``(rev, package, depends_on)`` over imports that cross packages."""
     ends = placed.select("id", "rev", "package")
-    crossed = lookup(edges, ends.toDF("src", "rev", "package"), "src")
-    crossed = lookup(crossed, ends.drop("rev").toDF("dst", "depends_on"), "dst")
+    rows = edges.count()
+    crossed = lookup(edges, ends.toDF("src", "rev", "package"), "src", rows=rows)
+    crossed = lookup(crossed, ends.drop("rev").toDF("dst", "depends_on"), "dst", rows=rows)
     return crossed.where(F.col("package") != F.col("depends_on")).select("rev", "package", "depends_on").distinct()
 
 

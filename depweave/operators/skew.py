@@ -97,9 +97,20 @@ def hot_join(
     return a.join(b, [key, "_sl", "_sr"], how).drop("_sl", "_sr")
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner", floor: int = HOT_FLOOR) -> DataFrame:
-    """Join a large table to one with unique keys; keys that are hot on the left are spread."""
-    return hot_join(left, right, key, hot_keys(left, key, left.count(), floor), HotKeys(left.schema[key].dataType), how)
+def lookup(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str = "inner",
+    rows: int | None = None,
+    floor: int = HOT_FLOOR,
+) -> DataFrame:
+    """Join a large table to one with unique keys; keys that are hot on the left are spread.
+
+    ``rows`` is the size of the left side, counted here when it is not given.
+    """
+    rows = left.count() if rows is None else rows
+    return hot_join(left, right, key, hot_keys(left, key, rows, floor), HotKeys(left.schema[key].dataType), how)
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> tuple[DataFrame, int]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 from functools import cached_property
 from pathlib import Path
@@ -18,7 +16,7 @@ from depweave.operators import reach, store, summary
 from depweave.functions import classify
 from depweave.operators.analysis import Analysis
 from depweave.operators.fingerprint import graph_fingerprint, stored_result
-from depweave.session import cut, ensure_checkpoint_dir
+from depweave.session import cut
 from depweave.sources import git, tree
 from depweave.sources.workspaces import detect_workspaces, package_frame
 
@@ -253,9 +251,8 @@ class Repository:
 
     @cached_property
     def changes(self) -> DataFrame:
-        folder = ensure_checkpoint_dir(self.spark)
-        local = folder.removeprefix("file:") if folder.startswith(("file:", "/")) else tempfile.mkdtemp()
-        log = os.path.join(tempfile.mkdtemp(prefix="log-", dir=local), "changes.log")
+        self.output.mkdir(exist_ok=True)
+        log = str(self.output / "changes.log")
         git.export_log(self.root, log)
         return cut(git.changes(self.spark, "file:" + log))
 

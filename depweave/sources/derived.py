@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from depweave.sources.cache import extract_cached
 from depweave.sources.resolve import assemble
-from depweave.sources.tables import part_files, read
+from depweave.sources.tables import part_files
 
 ROOT = "parts"
 
@@ -62,9 +62,7 @@ public class C{key} extends C{prior} {
 
 def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(rev, path, language, size, text, key)``; each part imports its folder's next file."""
-    files = part_files(spark, sf_dir).select("rev", "id", "path", F.col("lang").alias("language"))
-    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand")
-    rows = files.join(parts, "id")
+    rows = part_files(spark, sf_dir, "p_name", "p_brand").withColumnRenamed("lang", "language")
     number = F.col("id") - F.col("id") % 8
     values = {
         "name": F.col("p_name"),

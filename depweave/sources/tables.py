@@ -16,8 +16,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per part; the key decides its folder, suffix and language."""
+def part_files(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """One file per part; the key decides its folder, suffix and language.
+
+    ``more`` names further columns of the part table to carry along.
+    """
     key = F.col("p_partkey")
     folder = (
         F.when(key % 8 == 0, "api").when(key % 8 == 1, "models").when(key % 8 == 2, "tests")
@@ -42,6 +45,7 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key % 18).cast("int").alias("n_exports"),
         (F.col("p_size") % 45).cast("int").alias("n_functions"),
         (key % 8).cast("int").alias("n_classes"),
+        *more,
     )
 
 

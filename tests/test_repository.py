@@ -201,6 +201,17 @@ def test_results_are_remembered_per_graph_and_settings(repo, spark, tmp_path):
     assert files.where("path = 'src/b.ts'").first()["in_degree"] == 1 and edges.count() == 5
 
 
+def test_commands(repo, tmp_path, capsys):
+    from depweave import cli
+
+    args = cli.parser().parse_args(["report", repo.root, "--format", "html", "--out", str(tmp_path / "r.html")])
+    assert cli.COMMANDS["report"](repo, args) == 0 and "grade" in (tmp_path / "r.html").read_text()
+    args = cli.parser().parse_args(["impact", repo.root, "no/such/file"])
+    assert cli.COMMANDS["impact"](repo, args) == 1 and "no match" in capsys.readouterr().out
+    args = cli.parser().parse_args(["insights", repo.root])
+    assert cli.COMMANDS["insights"](repo, args) == 0 and "src/b.ts" in capsys.readouterr().out
+
+
 def test_health_series(repo):
     first = repo.record_health("2024-01-01").collect()
     assert [r["direction"] for r in first] == ["first-scan"]

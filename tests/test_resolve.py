@@ -49,7 +49,7 @@ def test_every_case(spark):
 def test_a_package_all_files_import_is_spread(spark, monkeypatch, copies):
     monkeypatch.setattr("depweave.operators.skew.HOT_FLOOR", 4)
     monkeypatch.setattr("depweave.operators.skew.SLICE_ROWS", 2)
-    monkeypatch.setattr("depweave.operators.skew.lookup.__defaults__", ("inner", 4))
+    monkeypatch.setattr("depweave.operators.skew.lookup.__defaults__", ("inner", None, 4))
     imports = [("r", f"m{i}.py", "python", "util") for i in range(copies)]
     found = resolve_imports(
         spark.createDataFrame(imports, "rev string, path string, language string, raw string"),
