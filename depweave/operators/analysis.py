@@ -14,7 +14,7 @@ from depweave.operators.centrality import pagerank
 from depweave.operators.degrees import with_degrees
 from depweave.operators.skew import HotKeys, hot_join, hot_keys
 from depweave.operators.walks import Walks, build_walks
-from depweave.session import cut, cut_counted
+from depweave.session import cut, keep, keep_counted
 
 
 # Members that no setting changes.
@@ -62,11 +62,11 @@ class Analysis:
 
     @cached_property
     def files(self) -> DataFrame:
-        return cut(self.source.files)
+        return keep(self.source.files)
 
     @cached_property
     def _counted_edges(self) -> tuple[DataFrame, int]:
-        return cut_counted(self.source.edges)
+        return keep_counted(self.source.edges)
 
     @property
     def edges(self) -> DataFrame:
@@ -85,7 +85,7 @@ class Analysis:
 
     @cached_property
     def degrees(self) -> DataFrame:
-        return cut(with_degrees(self.files, self.edges))
+        return keep(with_degrees(self.files, self.edges))
 
     @cached_property
     def walks(self) -> Walks:
@@ -102,7 +102,7 @@ class Analysis:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return cut(scores.hotspot_scores(self.degrees, self.pagerank))
+        return keep(scores.hotspot_scores(self.degrees, self.pagerank))
 
     @cached_property
     def hotspots(self) -> DataFrame:

@@ -683,6 +683,12 @@ def derived_root(w):
     return derived.ROOT
 
 
+@query
+def export_sections(w):
+    lines = export.export_lines(w.records, derived_root(w))
+    return lines.groupBy("section").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query
 def health_report(w):
     from depweave.sinks import reports

@@ -682,6 +682,10 @@ SQL: dict[str, str] = {
         regexp_matches(path, '(^|/)(models?|entities|entity|schema|schemas|repositor(y|ies)|migrations|dao|orm|db)/|\\.(model|entity|schema|repository|dao)\\.[^.]+$', 'i')""",
     "find_config": """SELECT path, lang, n_exports FROM f WHERE
         regexp_matches(path, '(^|/)(config|configs|settings)/|(^|/)(config|configuration|settings|constants)\\.[^.]+$|\\.config\\.[^.]+$', 'i')""",
+    "export_sections": """SELECT 'header' AS section, 1::BIGINT AS lines UNION ALL SELECT 'nodes', count(*) FROM p
+        UNION ALL SELECT 'edges', count(DISTINCT path || resolved) FROM im WHERE resolved IS NOT NULL
+        UNION ALL SELECT 'symbols', count(*) FROM sy WHERE parent IS NULL AND kind IN ('function', 'class')
+        UNION ALL SELECT 'contains', count(*) FROM sy WHERE parent IS NULL AND kind IN ('function', 'class')""",
     "symbol_search": "SELECT id, name, kind, line, exported FROM sym_hits",
     "symbol_references": """SELECT s.id, a.path AS reference FROM sym_hits s JOIN f b ON b.path = s.path JOIN e ON e.dst = b.id JOIN f a ON a.id = e.src""",
     "context_related": """SELECT path, lang, loc, match, score AS hotspot_score, in_degree AS dependents, out_degree AS imports FROM related""",

@@ -11,7 +11,7 @@ from depweave.config import AnalysisConfig, ForbiddenImport, GovernanceConfig, L
 from depweave.model import stack_revisions
 from depweave.operators import codegraph, history
 from depweave.operators.analysis import Analysis
-from depweave.session import cut
+from depweave.session import cut, keep
 from depweave.sources import derived, tables
 
 # Rules of the example project that the part table stands for.
@@ -54,7 +54,7 @@ class TableWorkspace:
 
     @cached_property
     def file_stats(self) -> DataFrame:
-        return cut(history.file_history(self.changes))
+        return keep(history.file_history(self.changes))
 
     @cached_property
     def links(self) -> DataFrame:
@@ -62,15 +62,15 @@ class TableWorkspace:
 
     @cached_property
     def records(self) -> DataFrame:
-        return cut(derived.part_records(self.spark, self.sf_dir))
+        return keep(derived.part_records(self.spark, self.sf_dir))
 
     @cached_property
     def code_nodes(self) -> DataFrame:
-        return cut(codegraph.code_nodes(self.records, derived.ROOT))
+        return keep(codegraph.code_nodes(self.records, derived.ROOT))
 
     @cached_property
     def code_edges(self) -> DataFrame:
-        return cut(codegraph.code_edges(self.records, derived.ROOT))
+        return keep(codegraph.code_edges(self.records, derived.ROOT))
 
     @cached_property
     def top_hub(self) -> DataFrame:

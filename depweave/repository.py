@@ -16,7 +16,7 @@ from depweave.operators import reach, store, summary
 from depweave.functions import classify
 from depweave.operators.analysis import Analysis
 from depweave.operators.fingerprint import graph_fingerprint, stored_result
-from depweave.session import cut
+from depweave.session import cut, keep
 from depweave.sources import git, tree
 from depweave.sources.workspaces import detect_workspaces, package_frame
 
@@ -47,7 +47,7 @@ class Repository:
 
     @cached_property
     def records(self) -> DataFrame:
-        return cut(tree.scan(self.spark, self.root, cache=self.cache))
+        return keep(tree.scan(self.spark, self.root, cache=self.cache))
 
     @cached_property
     def analysis(self) -> Analysis:
@@ -63,11 +63,11 @@ class Repository:
 
     @cached_property
     def code_nodes(self) -> DataFrame:
-        return cut(codegraph.code_nodes(self.records, self.root))
+        return keep(codegraph.code_nodes(self.records, self.root))
 
     @cached_property
     def code_edges(self) -> DataFrame:
-        return cut(codegraph.code_edges(self.records, self.root))
+        return keep(codegraph.code_edges(self.records, self.root))
 
     @cached_property
     def symbols(self) -> DataFrame:
@@ -254,11 +254,11 @@ class Repository:
         self.output.mkdir(exist_ok=True)
         log = str(self.output / "changes.log")
         git.export_log(self.root, log)
-        return cut(git.changes(self.spark, "file:" + log))
+        return keep(git.changes(self.spark, "file:" + log))
 
     @cached_property
     def file_stats(self) -> DataFrame:
-        return cut(history.file_history(self.changes, "date_iso"))
+        return keep(history.file_history(self.changes, "date_iso"))
 
     def commits(self, limit: int | None = 500) -> DataFrame:
         return git.commits(self.spark, self.root, limit)
@@ -293,14 +293,14 @@ class Repository:
 
     def revisions(self, revs: list[str]) -> Analysis:
         """Several revisions analysed at once, told apart by ``rev``."""
-        return self._analysed(cut(git.scan_revisions(self.spark, self.root, revs, self.cache)))
+        return self._analysed(keep(git.scan_revisions(self.spark, self.root, revs, self.cache)))
 
     def snapshot(self, rev: str) -> DepGraph:
-        return codegraph.dependency_graph(cut(git.scan_revisions(self.spark, self.root, [rev], self.cache)))
+        return codegraph.dependency_graph(keep(git.scan_revisions(self.spark, self.root, [rev], self.cache)))
 
     def snapshot_map(self, rev: str) -> tuple[DataFrame, DataFrame]:
         """The map of one revision."""
-        records = cut(git.scan_revisions(self.spark, self.root, [rev], self.cache))
+        records = keep(git.scan_revisions(self.spark, self.root, [rev], self.cache))
         return codegraph.map_graph(codegraph.code_nodes(records, self.root), codegraph.code_edges(records, self.root))
 
     def replay(self, steps: int = 16) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -70,6 +71,23 @@ def cut_counted(df: DataFrame, where: Column | None = None) -> tuple[DataFrame,
     return done, int(seen.get.get("n", 0))
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table beside the checkpoints and read it back.
+
+    For wide results that later questions read a few columns of; it drops the lineage as well.
+    """
+    target = f"{ensure_checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
+def keep_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """As :func:`keep`, and the number of rows, counted in the same job."""
+    seen = Observation()
+    kept = keep(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return kept, int(seen.get.get("n", 0))
+
+
 # Rows of a narrow table (two keys and two numbers) that are safe to send to every executor.
 BROADCAST_ROWS = 100_000
 

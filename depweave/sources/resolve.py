@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from depweave.functions.exprs import dirname, line_count, normalize_path
 from depweave.operators.skew import lookup
 from depweave.schema import IMPORT_REF
-from depweave.session import cut_counted
+from depweave.session import keep
 
 SCRIPTS = ("javascript", "typescript")
 
@@ -105,7 +105,7 @@ def assemble(files: DataFrame, facts: DataFrame) -> DataFrame:
         F.coalesce("comments", F.array().cast("array<string>")).alias("comments"),
         "imports",
     )
-    rows, _ = cut_counted(rows)
+    rows = keep(rows)
     stated = rows.select("rev", "path", "language", F.posexplode("imports").alias("pos", "i")).select(
         "rev", "path", "language", "pos", "i.raw", "i.line"
     )

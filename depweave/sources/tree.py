@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from depweave.config import ScanConfig, load_scan_config
 from depweave.functions.classify import language_of
-from depweave.session import cut_counted, ship_package
+from depweave.session import cut_counted, keep, ship_package
 from depweave.sources.cache import extract_cached
 from depweave.sources.ignore import IGNORED_FOLDERS, READ_HIDDEN, compile_rules, ignored
 from depweave.sources.resolve import assemble
@@ -113,5 +113,5 @@ def read_sources(spark: SparkSession, root: str, config: ScanConfig | None = Non
 
 def scan(spark: SparkSession, root: str, config: ScanConfig | None = None, cache: str | None = None) -> DataFrame:
     """Parse a tree into per-file records, re-using cached facts of unchanged contents."""
-    sources, _ = cut_counted(read_sources(spark, root, config))
+    sources = keep(read_sources(spark, root, config))
     return assemble(sources, extract_cached(sources, cache))
