@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,23 +55,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered; emptied when it holds ``limit`` words."""
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = mix(np.arange(256, dtype=np.uint64))
+_SPACE = re.compile(rb"[ \t-\r]")
+# Bytes that are hashed at once; longer texts are cut at blanks.
+PIECE = 1 << 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+@functools.lru_cache(maxsize=2)
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(int(_BASE), n), _powers(pow(int(_BASE), -1, 1 << 64), n)
 
-    def __init__(self, limit: int = 500_000):
-        super().__init__()
-        self.limit = limit
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _piece(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values = np.frombuffer(raw, np.uint8)
+    blank = _BLANK[values]
+    edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _tables(max(PIECE, 1 << (len(raw)).bit_length()))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(_BYTES[values] * up[: len(values)], out=sums[1:])
+    found = (sums[ends] - sums[starts]) * down[starts]
+    return mix(found ^ (ends - starts).astype(np.uint64)), starts, ends
 
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
-    def of(self, items: list[bytes]) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, items), np.uint64, len(items))
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word of a text: polynomials of its bytes, from running sums."""
+    parts, at = [], 0
+    while at < len(raw):
+        stop = len(raw)
+        if stop - at > PIECE:
+            cut = _SPACE.search(raw, at + PIECE)
+            stop = cut.start() if cut else stop
+        hashes, starts, ends = _piece(raw[at:stop])
+        parts.append((hashes, starts + at, ends + at))
+        at = stop
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
+
+
+def slices(batches: Iterator, rows: int = 500) -> Iterator:
+    """Record batches in pieces, so that what a task makes of them stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
 
 
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -81,12 +120,6 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """As :func:`ngram_hashes` for long windows: two passes whatever ``n`` is."""
     size = len(h) - n + 1

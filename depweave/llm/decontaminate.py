@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depweave.llm.common import WordHashes, ngram_hashes
+from depweave.llm.common import ngram_hashes, slices, word_hashes
 from depweave.session import keep, ship_package
 
 WINDOW = 10
@@ -23,12 +23,10 @@ ITEM_BYTES = 32 << 20
 # ASCII characters that are no letters or digits part words.
 _GAPS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
-_hashes = WordHashes()
 
-
-def item_words(text: str | None) -> list[bytes]:
-    """Words in small letters (A-Z only); other scripts keep their form."""
-    return (text or "").encode().lower().translate(_GAPS).split()
+def plain(text: str | None) -> bytes:
+    """Small letters (A-Z only), digits and other scripts; blanks for all other characters."""
+    return (text or "").encode().lower().translate(_GAPS)
 
 
 class Tables:
@@ -39,7 +37,7 @@ class Tables:
         self.block = min(BLOCK, length)
         self.patterns = patterns
         names = list(patterns)
-        hashes = np.array([_hashes.of(list(p)) for p in names])
+        hashes = np.array([word_hashes(b" ".join(p))[0] for p in names])
         # From a block of text, how far the end of the search window may move at least.
         self.shift = np.full(SLOTS, length - self.block + 1, np.int64)
         grams = np.array([ngram_hashes(h, self.block) for h in hashes])
@@ -51,8 +49,8 @@ class Tables:
         for name, row in zip(names, grams):
             self.buckets.setdefault(int(row[-1]), []).append((int(row[0]), name))
 
-    def find(self, items: list[bytes], hashes: np.ndarray) -> list[tuple[int, tuple[bytes, ...]]]:
-        """Start and pattern of each occurrence."""
+    def find(self, raw: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, tuple[bytes, ...]]]:
+        """First word and pattern of each occurrence."""
         grams = ngram_hashes(hashes, self.block)
         shifts = self.shift[(grams % np.uint64(SLOTS)).astype(np.int64)].tolist()
         first = self.length - self.block
@@ -67,7 +65,9 @@ class Tables:
             if bucket:
                 head = int(grams[start])
                 for prefix, name in bucket:
-                    if prefix == head and tuple(items[start : start + self.length]) == name:
+                    if prefix != head:
+                        continue
+                    if tuple(raw[starts[start] : ends[start + self.length - 1]].split()) == name:
                         out.append((start, name))
             at += 1
         return out
@@ -79,7 +79,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int | None, str | None]]):
         by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
         for item_id, text in items:
-            found = item_words(text)
+            found = plain(text).split()
             size = min(WINDOW, len(found))
             for at in range(len(found) - size + 1 if size else 0):
                 owners = by_length.setdefault(size, {}).setdefault(tuple(found[at : at + size]), set())
@@ -87,15 +87,16 @@ class Matcher:
                     owners.add(item_id)
         self.tables = [Tables(n, patterns) for n, patterns in sorted(by_length.items())]
 
-    def search(self, items: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Ranges of words that occurrences cover, in order, and the ids of their items."""
-        hashes = _hashes.of(items)
+    def search(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
+        """Number of words, ranges of words that occurrences cover, in order, and ids of their items."""
+        raw = plain(text)
+        hashes, starts, ends = word_hashes(raw)
         ranges, owners = [], set()
         for table in self.tables:
-            for start, name in table.find(items, hashes):
+            for start, name in table.find(raw, hashes, starts, ends):
                 ranges.append((start, start + table.length))
                 owners |= table.patterns[name]
-        return sorted(ranges), owners
+        return len(hashes), sorted(ranges), owners
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
@@ -115,16 +116,15 @@ FOUND = "struct<n_words:long,ranges:array<array<int>>,items:array<long>>"
 def _search(packed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(packed.value)
-        for batch in batches:
+        for batch in slices(batches, 2000):
             found = []
             before = batch.column("before").to_pylist()
             for text, old in zip(batch.column("text").to_pylist(), before):
-                items = item_words(text)
-                ranges, owners = matcher.search(items)
+                n_words, ranges, owners = matcher.search(text)
                 if old:
                     ranges = sorted(ranges + [tuple(r) for r in old["ranges"]])
                     owners |= set(old["items"])
-                found.append({"n_words": len(items), "ranges": merged(ranges), "items": sorted(owners)})
+                found.append({"n_words": n_words, "ranges": merged(ranges), "items": sorted(owners)})
             columns = [batch.column(c) for c in batch.schema.names if c != "before"]
             names = [c for c in batch.schema.names if c != "before"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _FOUND)], names=[*names, "before"])

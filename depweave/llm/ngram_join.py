@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depweave.llm import bloom
-from depweave.llm.common import WordHashes, mix, ngram_hashes, some_id
+from depweave.llm.common import mix, ngram_hashes, slices, some_id, word_hashes
 from depweave.llm.components import connected
 from depweave.session import keep, keep_counted, ship_package
 
@@ -26,15 +26,13 @@ CELL_SHARE = 0.3
 SAMPLE_ROWS = 20_000
 FREQUENT = 200_000
 
-_hashes = WordHashes()
-
 
 def shingles(text: str) -> np.ndarray:
     """Sorted hashes of the distinct runs of five words; of all words if there are fewer."""
-    items = text.encode().lower().split()
-    if not items:
-        return np.empty(0, np.uint64)
-    return np.unique(ngram_hashes(_hashes.of(items), min(SHINGLE, len(items))))
+    hashes = word_hashes(text.encode().lower())[0]
+    if not len(hashes):
+        return hashes
+    return np.unique(ngram_hashes(hashes, min(SHINGLE, len(hashes))))
 
 
 def _uppers() -> np.ndarray:
@@ -108,7 +106,7 @@ def signatures(values: np.ndarray, frequent: np.ndarray, whole: frozenset[int])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sizes, names, bits = [], [], []
         for text in batch.column("text").to_pylist():
             values = shingles(text)
@@ -122,7 +120,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         values = [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("nid"), pa.array(values, pa.list_(pa.int64()))], names=["nid", "values"]
@@ -132,14 +130,14 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keyed(frequent, whole: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = frequent.value, set()
-        for batch in batches:
+        for batch in slices(batches):
             keys, ids, flags = [np.empty(0, np.uint64)], [], []
             for nid, text in zip(batch.column("nid").to_pylist(), batch.column("text").to_pylist()):
                 values = shingles(text)
                 name = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
                 if not len(values) or name in seen:  # copies in a task send their keys once
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(name)
                 own, short = signatures(values, often, whole)
                 keys += [own, np.zeros(len(short), np.uint64)]

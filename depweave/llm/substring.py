@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depweave.llm import bloom
-from depweave.llm.common import WordHashes, ngram_hashes, some_id, window_hashes, words
+from depweave.llm.common import ngram_hashes, slices, some_id, window_hashes, word_hashes, words
 from depweave.session import keep, keep_counted, ship_package
 
 WINDOW = 50
@@ -22,8 +22,6 @@ SPAN = WINDOW - PHRASE + 1
 BLOCK_BYTES = 8 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-_hashes = WordHashes()
-
 
 def _anchors(grams: np.ndarray) -> np.ndarray:
     """In each window the first position of the smallest value."""
@@ -33,15 +31,16 @@ def _anchors(grams: np.ndarray) -> np.ndarray:
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The phrase with the smallest hash of each window: hash, phrase, block, and range of ids."""
-    for batch in batches:
+    for batch in slices(batches, 2000):
         found: dict[tuple[int, bytes], list[int]] = {}
         for block, nid, text in zip(*(batch.column(c).to_pylist() for c in ("block", "nid", "text"))):
-            items = text.encode().split()
-            if len(items) < WINDOW:
+            raw = text.encode()
+            hashes, starts, ends = word_hashes(raw)
+            if len(hashes) < WINDOW:
                 continue
-            grams = ngram_hashes(_hashes.of(items), PHRASE)
+            grams = ngram_hashes(hashes, PHRASE)
             for at in np.unique(_anchors(grams)).tolist():
-                key = (block, b" ".join(items[at : at + PHRASE]))
+                key = (block, b" ".join(raw[starts[at] : ends[at + PHRASE - 1]].split()))
                 seen = found.get(key)
                 if seen is None:
                     found[key] = [nid, nid, int(grams[at])]
@@ -85,19 +84,20 @@ def _located(docs: pa.Table, patterns: pa.Table) -> pa.Table:
             automaton.add_word(" " + phrase.decode() + " ", gram)
         automaton.make_automaton()
         for nid, row, text in zip(*(docs.column(c).to_pylist() for c in ("nid", "row", "text"))):
-            items = text.encode().split()
-            if len(items) < WINDOW:
+            raw = b" ".join(text.encode().split())
+            n_words = raw.count(b" ") + 1
+            if n_words < WINDOW:
                 continue
-            plain = b" ".join(items).decode()
+            plain = raw.decode()
             hits = list(automaton.iter(" " + plain + " "))
             if not hits:
                 continue
-            ends = np.cumsum(np.fromiter(map(len, plain.split(" ")), np.int64, len(items)) + 1)
+            ends = np.cumsum(np.fromiter(map(len, plain.split(" ")), np.int64, n_words) + 1)
             at = np.searchsorted(ends, np.array([e for e, _ in hits])) - (PHRASE - 1)
-            grams = np.full(len(items) - PHRASE + 1, NONE, np.uint64)
+            grams = np.full(n_words - PHRASE + 1, NONE, np.uint64)
             grams[at] = np.array([g for _, g in hits], np.int64).view(np.uint64)
             anchor = _anchors(grams)
-            windows = window_hashes(_hashes.of(items), WINDOW).view(np.int64)
+            windows = window_hashes(word_hashes(raw)[0], WINDOW).view(np.int64)
             starts = np.flatnonzero(np.diff(anchor, prepend=-1))
             stops = np.append(starts[1:], len(anchor))
             for lo, hi in zip(starts.tolist(), stops.tolist()):

@@ -21,7 +21,7 @@ END = 2
 LENGTH = 1024
 BATCH = 512
 # Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _TAIL = ".,!?;:%$*&#"
 
 
