@@ -6,11 +6,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from depweave.llm import bloom
 from depweave.llm.common import mix, ngram_hashes, slices, some_id, word_hashes
@@ -112,9 +110,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = shingles(text)
             sizes.append(len(values))
             names.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
-            bits.append(sketch(values))
+            bits.append(np.frombuffer(sketch(values), np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("nid"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bits, pa.binary())],
+            [batch.column("nid"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
             names=["nid", "row", "n", "name", "bits"],
         )
 
@@ -167,9 +165,21 @@ def _frequent(spark: SparkSession, slim: DataFrame, rows: int):
     return spark.sparkContext.broadcast(np.sort(top.view(np.uint64)))
 
 
-@F.pandas_udf(T.BooleanType())
-def _near(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([hamming(x, y) <= m for x, y, m in zip(a, b, most)], dtype=bool)
+def _distance(a: str, b: str) -> Column:
+    """:func:`hamming` of two columns of sketches whose sizes differ by one doubling at most."""
+
+    def fold(x: Column, n: Column) -> Column:
+        halves = F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > n, halves).otherwise(x)
+
+    n = F.least(F.size(a), F.size(b))
+    differ = F.zip_with(fold(F.col(a), n), fold(F.col(b), n), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(differ, F.lit(0), lambda total, x: total + x)
+
+
+def _fits(a: str, b: str) -> Column:
+    """Sizes that allow a link."""
+    return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
 class _Verifier:
@@ -187,9 +197,9 @@ class _Verifier:
             pairs = pairs.join(
                 self.sets.select(F.col("nid").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side
             )
-        sizes = F.col("n_a") + F.col("n_b")
-        fit = pairs.where((F.col("n_a") * 5 >= F.col("n_b") * 4) & (F.col("n_b") * 5 >= F.col("n_a") * 4))
-        near = fit.where(_near("bits_a", "bits_b", F.floor(sizes / 9).cast("long")))
+        near = pairs.where(_fits("n_a", "n_b")).where(
+            _distance("bits_a", "bits_b") * 9 <= F.col("n_a") + F.col("n_b")
+        )
         pairs, n = keep_counted(near.select("a", "b").distinct())
         if not n:
             return pairs
@@ -211,14 +221,43 @@ class _Verifier:
         return keep(both.where(common * 100 >= total * 80).select("a", "b").distinct())
 
 
+def _central(split: DataFrame) -> DataFrame:
+    """Each key's holders paired with the one whose keys have the most holders.
+
+    Of copies with different edits that is the text they stem from, or one close to it, so a large
+    group joins up through one star before any pairs across components are made.
+    """
+    counts = split.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    scores = split.join(counts, "key").groupBy("rep").agg(F.avg("k").alias("score"))
+    best = split.join(scores, "rep").groupBy("key").agg(
+        F.max(F.struct("score", (-F.col("rep")).alias("minus"))).alias("best")
+    ).select("key", (-F.col("best")["minus"]).alias("a"))
+    return split.join(best, "key").select("a", F.col("rep").alias("b")).distinct()
+
+
+def _across(split: DataFrame, sets: DataFrame) -> DataFrame:
+    """A key's holders in different components whose sizes and sketches allow a link, in pairs.
+
+    Sketches are compared inside the join, so only pairs within the bound come out of it. The
+    comparisons, a few machine words each, do grow with the square of the holders of one key that
+    are neither linked nor told apart by rare shingles.
+    """
+    sized = keep(split.join(sets.select("nid", "n", "bits").distinct(), F.col("rep") == F.col("nid")).select("key", "rep", "c", "n", "bits"))
+    other = sized.select("key", *[F.col(c).alias(f"{c}_2") for c in ("rep", "c", "n", "bits")])
+    near = _distance("bits", "bits_2") * 9 <= F.col("n") + F.col("n_2")
+    on = (sized["key"] == other["key"]) & (F.col("c") < F.col("c_2")) & _fits("n", "n_2") & near
+    return sized.join(other, on).select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
+
+
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id``, ``row`` (hash of the text), ``n_shingles``, ``component_id`` for each row of ``docs``.
 
     Copies of a set are one node, their smallest id. A node sends keys (see :func:`signatures`) for
     the size bands of all partners it can have. In a first round each key pairs its holders with
     the smallest one only; the pairs pass a size test, the Hamming bound of their parity sketches
-    and an exact comparison. Links make components. In a second round keys whose holders are still
-    in different components give all pairs across components, tested likewise. So every link is
+    and an exact comparison. Links make components. Keys whose holders are still in different
+    components then pair them with their most central holder, and what is left after that gives
+    all pairs across components; both are tested likewise. So every link is
     either seen or inside a component already, and groups of near copies give a star, not all pairs.
     Cells of frequent shingles come last in the order, so shared passages make few keys.
 
@@ -230,7 +269,7 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     body = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(some_id(F.col(doc_id)).alias("nid"), F.xxhash64(body).alias("row"), body.alias("text"))
     sets, rows = keep_counted(
-        slim.mapInArrow(_sets, "nid long, row long, n long, name binary, bits binary")
+        slim.mapInArrow(_sets, "nid long, row long, n long, name binary, bits array<long>")
     )
     full = sets.where("n > 0")
     firsts = full.groupBy("name").agg(F.min("nid").alias("rep"))
@@ -263,21 +302,20 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     links = verifier.links(represented(stars))
     joined = keep(connected(links.unionByName(copies)))
 
-    found = joined.withColumnRenamed("node", "_n").withColumnRenamed("component", "_c")
-    held = shared.select("key", "nid").join(found, F.col("nid") == F.col("_n"), "left").select(
-        "key", "nid", F.coalesce("_c", "nid").alias("c")
-    )
-    split = held.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_keys, left = keep_counted(held.join(split, "key", "left_semi").join(reps, "nid").select("key", "rep", "c").distinct())
-    if left:
-        size = full.groupBy("nid").agg(F.max("n").alias("n"))
-        sized = keep(open_keys.join(size, F.col("rep") == F.col("nid")).select("key", "rep", "c", "n"))
-        other = sized.select("key", F.col("rep").alias("rep2"), F.col("c").alias("c2"), F.col("n").alias("n2"))
-        across = sized.join(other, "key").where(
-            (F.col("c") < F.col("c2")) & (F.col("n") * 5 >= F.col("n2") * 4) & (F.col("n2") * 5 >= F.col("n") * 4)
+    for star in (True, False):
+        found = joined.withColumnRenamed("node", "_n").withColumnRenamed("component", "_c")
+        held = shared.select("key", "nid").join(found, F.col("nid") == F.col("_n"), "left").select(
+            "key", "nid", F.coalesce("_c", "nid").alias("c")
         )
-        more = verifier.links(across.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
-        joined = keep(connected(links.unionByName(more).unionByName(copies)))
+        split = held.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+        split_keys, left = keep_counted(
+            held.join(split, "key", "left_semi").join(reps, "nid").select("key", "rep", "c").distinct()
+        )
+        if not left:
+            break
+        pairs = _central(split_keys) if star else _across(split_keys, full)
+        links = links.unionByName(verifier.links(pairs))
+        joined = keep(connected(links.unionByName(copies)))
     found = joined.withColumnRenamed("node", "_n").withColumnRenamed("component", "_c")
     out = sets.join(found, F.col("nid") == F.col("_n"), "left")
     component = F.coalesce(F.when(F.col("n") > 0, F.col("_c")), F.col("nid"))
