@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,15 +25,29 @@ LENGTH = 1024
 BATCH = 512
 # Words whose ids a worker remembers.
 REMEMBERED = 250_000
-_TAIL = ".,!?;:%$*&#"
+_ODD = regex.compile(r"['\p{N}\p{M}<]")
+_MARKS = regex.compile(r"[^\s\p{L}\p{N}\p{M}]+")
+_RUNS = regex.compile(r"\p{L}+|[^ \p{L}]+")
+_ASCII_RUNS = re.compile(r"[a-z]+|[^ a-z]+")
+_PIECES = regex.compile(r"[^ ]*['\p{N}\p{M}<][^ ]*|\p{L}+|[^ \p{L}]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Letters that stand for bytes: printable ones for themselves, the others from 256 upwards."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class Encoder:
     """Ids of whole texts; a word's ids are worked out once.
 
-    The tokenizer parts texts at white space before anything else, so the ids of a text are those
-    of its words in a row. It also parts letters from marks and ignores case, so a word of letters
-    with a tail of marks is put together from both.
+    The tokenizer parts texts at white space and letters from marks, and ignores case. So a text is
+    cut into runs of letters and runs of marks, each one piece to the tokenizer, and words with
+    numbers, quotes, special tokens or loose accents, which are encoded whole.
     """
 
     def __init__(self, file: str):
@@ -39,40 +56,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    @staticmethod
-    def parts(word: str) -> tuple[str, ...]:
-        core = word.rstrip(_TAIL)
-        if not core.isalpha():
-            return (word,)
-        tail = word[len(core) :]
-        core = core.lower() if core.isascii() else core
-        return (core, tail) if tail else (core,)
-
-    def learn(self, texts: list[str]) -> None:
-        """Encode the words of these texts that are not known yet, all at once."""
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.known: dict[str, list[int]] = {}
+
+    def _uniform(self, part: str) -> list[int] | None:
+        """Ids of a run of letters or of marks; None if its letters turn into something else."""
+        if not part.isascii():
+            part = self.normalizer.normalize_str(part)
+            if not (part.isalpha() or _MARKS.fullmatch(part)):
+                return None
+            part = part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        elif not part.isprintable():
+            return None
+        elif not part.islower() and part.isalpha():
+            part = part.lower()
+        return [t.id for t in self.model.tokenize(part)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, with the end id."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        words = set()
+        cut = []
         for text in texts:
-            words.update(text.split(" "))
-        words = [w for w in words if w not in self.known]
-        missing = list({p for w in words for p in self.parts(w)} - self.known.keys())
-        for part, found in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            self.known[part] = tuple(found.ids)
-        for word in words:
-            if word not in self.known:
-                self.known[word] = tuple(i for p in self.parts(word) for i in self.known[p])
-
-    def encode(self, plain: str) -> np.ndarray:
-        """Ids of a text whose words are parted by single blanks, and the end id."""
-        ids: list[int] = []
-        known = self.known
-        for word in plain.split(" "):
-            ids += known[word]
-        ids.append(END)
-        return np.array(ids, np.uint32)
+            plain = b" ".join(text.encode().split()).decode()
+            # Case goes at once, unless it could make a special token or a letter with its accent.
+            plain = plain.lower() if plain.isascii() and "<|" not in plain else plain
+            if _ODD.search(plain):
+                cut.append(_PIECES.findall(plain))
+            else:
+                cut.append((_ASCII_RUNS if plain.isascii() else _RUNS).findall(plain))
+        known, whole = self.known, []
+        for part in set(itertools.chain.from_iterable(cut)) - known.keys():
+            found = None if _ODD.search(part) else self._uniform(part)
+            if found is None:
+                whole.append(part)
+            else:
+                known[part] = found
+        for part, found in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False)):
+            known[part] = found.ids
+        out = []
+        for pieces in cut:
+            ids = list(itertools.chain.from_iterable(map(known.__getitem__, pieces)))
+            ids.append(END)
+            out.append(np.array(ids, np.uint32))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -171,13 +198,11 @@ def _written(folder: str, file: str, length: int):
         for batch in batches:
             column = batch.column("text")
             for lo in range(0, len(batch), 200):
-                plain = [b" ".join(t.encode().split()).decode() for t in column[lo : lo + 200].to_pylist()]
-                code.learn(plain)
+                texts = code.encode(column[lo : lo + 200].to_pylist())
                 if writer is None:
                     sink = store.open_output_stream(own + ".arrow")
                     writer = SequenceWriter(sink, kind, length)
-                for doc_id, text in zip(batch.column("doc_id")[lo : lo + 200].to_pylist(), plain):
-                    tokens = code.encode(text)
+                for doc_id, tokens in zip(batch.column("doc_id")[lo : lo + 200].to_pylist(), texts):
                     writer.add(tokens)
                     ids.append(doc_id)
                     starts.append(at)
