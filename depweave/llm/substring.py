@@ -169,7 +169,11 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     )
     window = ["anchor", "off", "h"]
     earliest = single.groupBy(*window).agg(F.min("nid").alias("owner"), F.max("nid").alias("other"))
-    again = single.join(earliest.where(F.col("owner") < F.col("other")), window).where(F.col("nid") > F.col("owner"))
+    recurring, n = keep_counted(earliest.where(F.col("owner") < F.col("other")).select(*window, "owner"))
+    digest_of = F.xxhash64(*window)
+    table, parts = bloom.build(recurring.select(digest_of.alias("w")), "w", n)
+    likely = bloom.possible(single, digest_of, table, parts, "_likely").where("_likely").drop("_likely")
+    again = likely.join(recurring, window).where(F.col("nid") > F.col("owner"))
     cover = whole.select("nid", "row", "lo", (F.col("lo") + F.col("n") + WINDOW - 1).alias("hi")).unionByName(
         again.select("nid", "row", "lo", (F.col("lo") + WINDOW).alias("hi"))
     )
