@@ -57,10 +57,12 @@ def posix(path: Column) -> Column:
 
 def normalize_rename(path: Column) -> Column:
     """New path of a rename as the history log prints it (brace form or arrow form)."""
-    new = F.regexp_replace(path, r"\{[^}]*=>\s*([^}]*)\}", "$1")
-    new = F.regexp_replace(new, r"^.*=>\s*", "")
-    new = F.trim(F.replace(new, F.lit("//"), F.lit("/")))
-    return F.when(F.contains(path, F.lit("=>")), new).otherwise(path)
+    brace = r"^(.*)\{.* => (.*)\}(.*)$"
+    before, new, after = (F.regexp_extract(path, brace, i) for i in (1, 2, 3))
+    # An empty new part leaves the slash on both sides of it.
+    joined = F.concat(before, new, F.when((new == "") & before.endswith("/"), F.ltrim(after, F.lit("/"))).otherwise(after))
+    arrow = F.regexp_extract(path, r"^.* => (.*)$", 1)
+    return F.when(path.rlike(brace), joined).when(path.rlike(" => "), arrow).otherwise(path)
 
 
 def normalize_path(path: Column) -> Column:

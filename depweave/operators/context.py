@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depweave.functions.exprs import top_dir
@@ -12,7 +12,6 @@ from depweave.functions.tokens import STOP_WORDS
 from depweave.operators.reach import induced_edges, neighbourhood
 
 SYMBOL_LIMIT = 25
-SYMBOL_LIMIT_IN_CONTEXT = 30
 CONTEXT_FILES = 12
 
 
@@ -46,12 +45,10 @@ def related_files(analysis, symbols: DataFrame, words: list[str], limit: int = C
     points = F.lit(0)
     for word in words:
         points = points + F.when(F.contains(path, F.lit(word)), 2).otherwise(0)
-    lower = F.lower("name")
-    matched = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(w)), F.lit(w)) for w in words]))
-    found = symbols.select("id", "name", "path", F.explode(matched).alias("word"))
-    over = Window.partitionBy("word").orderBy((F.lower("name") == F.col("word")).desc(), F.length("name"), "id")
-    top = found.withColumn("_k", F.row_number().over(over)).where(F.col("_k") <= SYMBOL_LIMIT_IN_CONTEXT)
-    named = F.broadcast(top.select("path").distinct()).withColumn("_named", F.lit(1))
+    matching = F.lit(False)
+    for word in words:
+        matching = matching | F.contains(F.lower("name"), F.lit(word))
+    named = symbols.where(matching).select("path").distinct().withColumn("_named", F.lit(1))
     scored = analysis.degrees.join(named, "path", "left")
     scored = scored.withColumn("match", points + F.coalesce("_named", F.lit(0))).where("match > 0")
     best = scored.orderBy(F.desc("match"), "path").limit(limit)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from depweave.operators.skew import HotKeys, hot_join, hot_keys
 from depweave.operators.walks import Walks, build_walks, reversed_walks, single_steps
-from depweave.session import cut_counted, small
+from depweave.session import cut, cut_counted, small
 
 
 def reach_pairs(
@@ -55,18 +55,27 @@ def reach_pairs(
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, direction: str = "both", depth: int = 1) -> DataFrame:
-    """``id`` of the seeds and of every node at most ``depth`` hops away."""
+    """``id`` of the seeds and of every node at most ``depth`` hops away.
+
+    Each round joins only the nodes found last and is written, so the plan does not grow with the
+    depth; it ends early when nothing new is found.
+    """
     steps = []
     if direction in ("out", "both"):
         steps.append(edges.select("src", "dst"))
     if direction in ("in", "both"):
         steps.append(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     step = reduce(DataFrame.unionByName, steps)
-    found = seeds.select("id").distinct()
+    newest = cut(seeds.select("id").distinct())
+    levels = [newest]
     for _ in range(depth):
-        ahead = step.join(found.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"))
-        found = found.unionByName(ahead).distinct()
-    return found
+        ahead = step.join(newest.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
+        seen = reduce(DataFrame.unionByName, levels)
+        newest, fresh = cut_counted(ahead.join(seen, "id", "left_anti"))
+        if not fresh:
+            break
+        levels.append(newest)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -489,8 +489,7 @@ CTE["words"] = "SELECT unnest([" + ", ".join(f"'{w}'" for w in WORDS) + "]) AS w
 CTE["related"] = """
 SELECT d.id, d.path, d.lang, d.loc, d.in_degree, d.out_degree, h.score,
        2 * (SELECT count(*) FROM words WHERE contains(lower(d.path), word)) + (d.path IN (
-         SELECT path FROM sy JOIN words ON contains(lower(name), word)
-         QUALIFY row_number() OVER (PARTITION BY word ORDER BY (lower(name) = word) DESC, length(name), sy.id) <= 30))::INT AS match
+         SELECT path FROM sy JOIN words ON contains(lower(name), word)))::INT AS match
 FROM deg d JOIN hot h USING (id) WHERE match > 0 ORDER BY match DESC, d.path LIMIT 12"""
 
 CTE["near"] = """

@@ -260,7 +260,7 @@ class Repository:
     def file_stats(self) -> DataFrame:
         return keep(history.file_history(self.changes, "date_iso"))
 
-    def commits(self, limit: int | None = 500) -> DataFrame:
+    def commits(self, limit: int | None = None) -> DataFrame:
         return git.commits(self.spark, self.root, limit)
 
     def file_history(self, target: str) -> dict[str, DataFrame]:
@@ -288,7 +288,7 @@ class Repository:
             out["coupling"] = trends
         return out
 
-    def timeline(self, steps: int = 24, limit: int = 4000) -> DataFrame:
+    def timeline(self, steps: int = 24, limit: int | None = None) -> DataFrame:
         return history.sample_timeline(self.commits(limit), steps, [-F.col("position").cast("long")]).drop("position")
 
     def revisions(self, revs: list[str]) -> Analysis:
@@ -330,8 +330,8 @@ class Repository:
         hot = compare.hotspot_changes(a, base, head)
         return {
             "report": compare.branch_report(a, base, head),
-            "new_dependencies": deps.where("change = 'added'").orderBy("from", "to").limit(50),
-            "removed_dependencies": deps.where("change = 'removed'").orderBy("from", "to").limit(50),
+            "new_dependencies": deps.where("change = 'added'").orderBy("from", "to"),
+            "removed_dependencies": deps.where("change = 'removed'").orderBy("from", "to"),
             "cycles": compare.cycle_change_members(a, base, head),
             "violations": compare.violation_changes(a, base, head),
             "new_hotspots": hot.where("is_new").select("path"),

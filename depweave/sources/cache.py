@@ -15,8 +15,9 @@ FACTS_VERSION = 1
 
 
 def load_facts(spark, folder: str) -> DataFrame | None:
+    """Facts stored so far; a content that two scans stored at once counts once."""
     try:
-        return spark.read.schema(FACTS).parquet(f"{folder}/v{FACTS_VERSION}")
+        return spark.read.schema(FACTS).parquet(f"{folder}/v{FACTS_VERSION}").dropDuplicates(["key"])
     except AnalysisException:
         return None
 

@@ -71,7 +71,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     direct = wanted.join(known, "at").select("_spec", "rank", "resolved")
 
     parts = F.split("path", "/")
-    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, 100_000), "/"))
+    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     java = files.where(F.col("path").endswith(".java") & F.contains("path", F.lit("/")))
     ends = java.select("rev", "path", F.explode(tails).alias("tail"))
     ends = ends.groupBy(F.struct("rev", F.col("tail").alias("path")).alias("at")).agg(F.min("path").alias("resolved"))

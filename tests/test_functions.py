@@ -9,6 +9,7 @@ from depweave.functions.globs import glob_regex
 from depweave.functions.tokens import STOP_WORDS, keywords
 from depweave.operators import history
 from depweave.operators.context import request_keywords
+from depweave.sources.ignore import compile_rules, ignored
 
 
 def values(spark, inputs, fn, kind="string"):
@@ -113,3 +114,8 @@ def test_timeline(spark):
     commits = spark.range(11).select(F.col("id").alias("n"))
     pick = lambda k: sorted(r["n"] for r in history.sample_timeline(commits, k, [F.col("n")]).collect())
     assert pick(5) == [0, 3, 5, 8, 10] and pick(1) == [0] and pick(50) == list(range(11)) and pick(2) == [0, 10]
+
+
+def test_repeated_rule_keeps_its_place(spark):
+    rules = compile_rules(["*.log", "!a.log", "*.log", "!a.log"])
+    assert values(spark, ["a.log", "b.log"], lambda p: ignored(p, rules)) == [False, True]
