@@ -24,7 +24,7 @@ END = 2
 LENGTH = 1024
 BATCH = 512
 # Words whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 _ODD = regex.compile(r"['\p{N}\p{M}<]")
 _MARKS = regex.compile(r"[^\s\p{L}\p{N}\p{M}]+")
 _RUNS = regex.compile(r"\p{L}+|[^ \p{L}]+")
