@@ -7,6 +7,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +58,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
-        self.known: dict[str, list[int]] = {}
+        # Ids of a piece as the bytes of 32-bit numbers, which join without a Python number for each.
+        self.known: dict[str, bytes] = {}
 
     def _uniform(self, part: str) -> list[int] | None:
         """Ids of a run of letters or of marks; None if its letters turn into something else."""
@@ -87,19 +89,15 @@ class Encoder:
                 cut.append((_ASCII_RUNS if plain.isascii() else _RUNS).findall(plain))
         known, whole = self.known, []
         for part in set(itertools.chain.from_iterable(cut)) - known.keys():
-            found = None if _ODD.search(part) else self._uniform(part)
+            found = self._uniform(part) if part.isalpha() or not _ODD.search(part) else None
             if found is None:
                 whole.append(part)
             else:
-                known[part] = found
+                known[part] = array("I", found).tobytes()
         for part, found in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False)):
-            known[part] = found.ids
-        out = []
-        for pieces in cut:
-            ids = list(itertools.chain.from_iterable(map(known.__getitem__, pieces)))
-            ids.append(END)
-            out.append(np.array(ids, np.uint32))
-        return out
+            known[part] = array("I", found.ids).tobytes()
+        end = array("I", [END]).tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)) + end, np.uint32) for pieces in cut]
 
 
 _encoders: dict[str, Encoder] = {}
