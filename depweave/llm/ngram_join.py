@@ -230,9 +230,21 @@ def _central(split: DataFrame) -> DataFrame:
     counts = split.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
     scores = split.join(counts, "key").groupBy("rep").agg(F.avg("k").alias("score"))
     best = split.join(scores, "rep").groupBy("key").agg(
-        F.max(F.struct("score", (-F.col("rep")).alias("minus"))).alias("best")
-    ).select("key", (-F.col("best")["minus"]).alias("a"))
-    return split.join(best, "key").select("a", F.col("rep").alias("b")).distinct()
+        F.max(F.struct("score", (-F.col("rep")).alias("minus"), "c")).alias("best")
+    ).select("key", (-F.col("best")["minus"]).alias("a"), F.col("best")["c"].alias("ca"))
+    return split.join(best, "key").where(F.col("c") != F.col("ca")).select("a", F.col("rep").alias("b")).distinct()
+
+
+def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """``joined`` (node, component) after more links: only the components they connect go through rounds."""
+    ends = links
+    for side in ("a", "b"):
+        known = joined.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+        ends = ends.join(known, side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
+    outer = connected(ends.where("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    moved = outer.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    kept = joined.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return keep(kept.unionByName(outer.join(joined.select("node"), "node", "left_anti")))
 
 
 def _across(split: DataFrame, sets: DataFrame) -> DataFrame:
@@ -255,7 +267,7 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     Copies of a set are one node, their smallest id. A node sends keys (see :func:`signatures`) for
     the size bands of all partners it can have. In a first round each key pairs its holders with
     the smallest one only; the pairs pass a size test, the Hamming bound of their parity sketches
-    and an exact comparison. Links make components. Keys whose holders are still in different
+    and an exact comparison. Links make components of sets; copies follow their set. Keys whose holders are still in different
     components then pair them with their most central holder, and what is left after that gives
     all pairs across components; both are tested likewise. So every link is
     either seen or inside a component already, and groups of near copies give a star, not all pairs.
@@ -298,13 +310,20 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         return pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
 
     stars = shared.where(F.col("nid") != F.col("lead")).select(F.col("lead").alias("a"), F.col("nid").alias("b")).distinct()
-    copies = members.where(F.col("nid") != F.col("rep")).select(F.col("nid").alias("a"), F.col("rep").alias("b"))
-    links = verifier.links(represented(stars))
-    joined = keep(connected(links.unionByName(copies)))
+    # Rows that share an id are one node, so the sets they stand for belong together.
+    several = members.groupBy("nid").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
+    one_id = members.join(several, "nid").where("rep <> a").select("a", F.col("rep").alias("b"))
+    joined = keep(connected(verifier.links(represented(stars)).unionByName(one_id)))
+
+    def placed() -> DataFrame:
+        """Each document that is in the component of a smaller one."""
+        found = reps.join(joined, F.col("rep") == F.col("node"), "left").select(
+            F.col("nid").alias("_n"), F.coalesce("component", "rep").alias("_c")
+        )
+        return found.where("_n <> _c")
 
     for star in (True, False):
-        found = joined.withColumnRenamed("node", "_n").withColumnRenamed("component", "_c")
-        held = shared.select("key", "nid").join(found, F.col("nid") == F.col("_n"), "left").select(
+        held = shared.select("key", "nid").join(placed(), F.col("nid") == F.col("_n"), "left").select(
             "key", "nid", F.coalesce("_c", "nid").alias("c")
         )
         split = held.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
@@ -313,11 +332,8 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         )
         if not left:
             break
-        pairs = _central(split_keys) if star else _across(split_keys, full)
-        links = links.unionByName(verifier.links(pairs))
-        joined = keep(connected(links.unionByName(copies)))
-    found = joined.withColumnRenamed("node", "_n").withColumnRenamed("component", "_c")
-    out = sets.join(found, F.col("nid") == F.col("_n"), "left")
+        joined = _merged(joined, verifier.links(_central(split_keys) if star else _across(split_keys, full)))
+    out = sets.join(placed(), F.col("nid") == F.col("_n"), "left")
     component = F.coalesce(F.when(F.col("n") > 0, F.col("_c")), F.col("nid"))
     real = F.lit((1 << 63) - 1)
     return out.select(
