@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from depweave.llm import bloom
-from depweave.llm.common import mix, ngram_hashes, slices, some_id, word_hashes
+from depweave.llm.common import NO_ID, mix, ngram_hashes, slices, some_id, word_hashes
 from depweave.llm.components import connected
 from depweave.session import keep, keep_counted, ship_package
 
@@ -23,6 +23,8 @@ CELL_SHARE = 0.3
 # the cells: results do not depend on them.
 SAMPLE_ROWS = 20_000
 FREQUENT = 200_000
+# Bits of the numbers of sets.
+NODE_MASK = (1 << 63) - 1
 
 
 def shingles(text: str) -> np.ndarray:
@@ -103,43 +105,69 @@ def signatures(values: np.ndarray, frequent: np.ndarray, whole: frozenset[int])
     return np.concatenate(keys), short
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        sizes, names, bits = [], [], []
-        for text in batch.column("text").to_pylist():
-            values = shingles(text)
-            sizes.append(len(values))
-            names.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
-            bits.append(np.frombuffer(sketch(values), np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("nid"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
-            names=["nid", "row", "n", "name", "bits"],
-        )
+def set_name(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        values = [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("nid"), pa.array(values, pa.list_(pa.int64()))], names=["nid", "values"]
-        )
+def node_of(name: bytes, clashes: frozenset[int], mask: int = NODE_MASK) -> int:
+    """Number of a set: part of its name, or of further hashes of it where two sets would share one."""
+    node, turn = int.from_bytes(name[:8], "little") & mask, 0
+    while node in clashes:
+        turn += 1
+        again = hashlib.blake2b(name + turn.to_bytes(8, "little"), digest_size=8).digest()
+        node = int.from_bytes(again, "little") & NODE_MASK
+    return node
+
+
+def _sets(clashes: frozenset[int], mask: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sizes, names, bits = [], [], []
+            for text in batch.column("text").to_pylist():
+                values = shingles(text)
+                sizes.append(len(values))
+                names.append(set_name(values))
+                bits.append(np.frombuffer(sketch(values), np.int64))
+            nodes = [node_of(name, clashes, mask) for name in names]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("nid"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
+                    pa.array(nodes, pa.int64()), pa.array(bits, pa.list_(pa.int64())),
+                ],
+                names=["nid", "row", "n", "name", "node", "bits"],
+            )
+
+    return run
+
+
+def _values(clashes: frozenset[int], mask: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            values = [shingles(t) for t in batch.column("text").to_pylist()]
+            nodes = [node_of(set_name(v), clashes, mask) for v in values]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array([v.view(np.int64) for v in values], pa.list_(pa.int64()))],
+                names=["node", "values"],
+            )
+
+    return run
 
 
-def _keyed(frequent, whole: frozenset[int]):
+def _keyed(frequent, whole: frozenset[int], clashes: frozenset[int], mask: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = frequent.value, set()
         for batch in slices(batches):
             keys, ids, flags = [np.empty(0, np.uint64)], [], []
-            for nid, text in zip(batch.column("nid").to_pylist(), batch.column("text").to_pylist()):
+            for text in batch.column("text").to_pylist():
                 values = shingles(text)
-                name = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+                name = set_name(values)
                 if not len(values) or name in seen:  # copies in a task send their keys once
                     continue
                 if len(seen) < 200_000:
                     seen.add(name)
                 own, short = signatures(values, often, whole)
                 keys += [own, np.zeros(len(short), np.uint64)]
-                ids.append(np.full(len(own) + len(short), nid, np.int64))
+                ids.append(np.full(len(own) + len(short), node_of(name, clashes, mask), np.int64))
                 flags.append(np.concatenate([np.full(len(own), -1), short]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -147,7 +175,7 @@ def _keyed(frequent, whole: frozenset[int]):
                     pa.array(np.concatenate([np.empty(0, np.int64), *ids])),
                     pa.array(np.concatenate([np.empty(0, np.int32), *flags])),
                 ],
-                names=["key", "nid", "flag"],
+                names=["key", "node", "flag"],
             )
 
     return run
@@ -158,7 +186,7 @@ def _frequent(spark: SparkSession, slim: DataFrame, rows: int):
     every = max(1, -(-rows // SAMPLE_ROWS))
     sample = slim.where(F.pmod(F.xxhash64("nid", "row", F.lit("sample")), F.lit(every)) == 0)
     least = max(20, min(rows, SAMPLE_ROWS) // 500)
-    counts = sample.select("nid", "text").mapInArrow(_values, "nid long, values array<long>").select(
+    counts = sample.select("text").mapInArrow(_values(frozenset(), NODE_MASK), "node long, values array<long>").select(
         F.explode("values").alias("v")
     ).groupBy("v").count().where(F.col("count") >= least)
     top = counts.orderBy(F.desc("count"), "v").limit(FREQUENT).toPandas()["v"].to_numpy(np.int64)
@@ -177,17 +205,23 @@ def _distance(a: str, b: str) -> Column:
     return F.aggregate(differ, F.lit(0), lambda total, x: total + x)
 
 
+def _holder() -> Column:
+    """Tells rows apart well enough to choose one whose text is read for its set."""
+    return F.xxhash64("nid", "row")
+
+
 def _fits(a: str, b: str) -> Column:
     """Sizes that allow a link."""
     return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
 class _Verifier:
-    """Keeps the pairs ``a``, ``b`` of representatives that link."""
+    """Keeps the pairs ``a``, ``b`` of nodes that link."""
 
-    def __init__(self, slim: DataFrame, sets: DataFrame):
+    def __init__(self, slim: DataFrame, sets: DataFrame, values):
         self.slim = slim
-        self.sets = sets
+        self.sets = sets  # one row per node
+        self.values = values
 
     def links(self, pairs: DataFrame) -> DataFrame:
         pairs = pairs.where(F.col("a") != F.col("b")).select(
@@ -195,7 +229,7 @@ class _Verifier:
         ).distinct()
         for side in ("a", "b"):
             pairs = pairs.join(
-                self.sets.select(F.col("nid").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side
+                self.sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side
             )
         near = pairs.where(_fits("n_a", "n_b")).where(
             _distance("bits_a", "bits_b") * 9 <= F.col("n_a") + F.col("n_b")
@@ -203,18 +237,18 @@ class _Verifier:
         pairs, n = keep_counted(near.select("a", "b").distinct())
         if not n:
             return pairs
-        nodes, count = keep_counted(
-            pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        )
-        table, parts = bloom.build(nodes, "node", count)
-        likely = bloom.possible(self.slim, F.col("nid"), table, parts, "_likely").where("_likely")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        ends, count = keep_counted(ends.join(self.sets.select("node", "holder"), "node"))
+        table, parts = bloom.build(ends, "holder", count)
+        likely = bloom.possible(self.slim, _holder(), table, parts, "_likely").where("_likely")
+        # Copies of a row pass the filter together, so a node may come more than once.
         values = keep(
-            likely.select("nid", "text").mapInArrow(_values, "nid long, values array<long>").join(
-                nodes, F.col("nid") == F.col("node"), "left_semi"
-            )
+            likely.select("text").mapInArrow(self.values, "node long, values array<long>").join(
+                ends.select("node"), "node", "left_semi"
+            ).dropDuplicates(["node"])
         )
-        both = pairs.join(values.select(F.col("nid").alias("b"), F.col("values").alias("vb")), "b").join(
-            values.select(F.col("nid").alias("a"), F.col("values").alias("va")), "a"
+        both = pairs.join(values.select(F.col("node").alias("b"), F.col("values").alias("vb")), "b").join(
+            values.select(F.col("node").alias("a"), F.col("values").alias("va")), "a"
         )
         common = F.size(F.array_intersect("va", "vb"))
         total = F.size("va") + F.size("vb") - common
@@ -228,11 +262,11 @@ def _central(split: DataFrame) -> DataFrame:
     group joins up through one star before any pairs across components are made.
     """
     counts = split.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
-    scores = split.join(counts, "key").groupBy("rep").agg(F.avg("k").alias("score"))
-    best = split.join(scores, "rep").groupBy("key").agg(
-        F.max(F.struct("score", (-F.col("rep")).alias("minus"), "c")).alias("best")
+    scores = split.join(counts, "key").groupBy("node").agg(F.avg("k").alias("score"))
+    best = split.join(scores, "node").groupBy("key").agg(
+        F.max(F.struct("score", (-F.col("node")).alias("minus"), "c")).alias("best")
     ).select("key", (-F.col("best")["minus"]).alias("a"), F.col("best")["c"].alias("ca"))
-    return split.join(best, "key").where(F.col("c") != F.col("ca")).select("a", F.col("rep").alias("b")).distinct()
+    return split.join(best, "key").where(F.col("c") != F.col("ca")).select("a", F.col("node").alias("b")).distinct()
 
 
 def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
@@ -254,17 +288,19 @@ def _across(split: DataFrame, sets: DataFrame) -> DataFrame:
     comparisons, a few machine words each, do grow with the square of the holders of one key that
     are neither linked nor told apart by rare shingles.
     """
-    sized = keep(split.join(sets.select("nid", "n", "bits").distinct(), F.col("rep") == F.col("nid")).select("key", "rep", "c", "n", "bits"))
-    other = sized.select("key", *[F.col(c).alias(f"{c}_2") for c in ("rep", "c", "n", "bits")])
+    sized = keep(split.join(sets.select("node", "n", "bits"), "node").select("key", "node", "c", "n", "bits"))
+    other = sized.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "c", "n", "bits")])
     near = _distance("bits", "bits_2") * 9 <= F.col("n") + F.col("n_2")
     on = (sized["key"] == other["key"]) & (F.col("c") < F.col("c_2")) & _fits("n", "n_2") & near
-    return sized.join(other, on).select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
+    return sized.join(other, on).select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
 
 
-def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id``, ``row`` (hash of the text), ``n_shingles``, ``component_id`` for each row of ``docs``.
+def _linked(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (``nid``, ``row``, ``n``, ``node``), sets (``node``, ``n``, ``least``: the smallest id) and
+    the ``component`` of each set (``node``) that links.
 
-    Copies of a set are one node, their smallest id. A node sends keys (see :func:`signatures`) for
+    A node is a set of shingles, whatever the ids of its rows, so rows without an id or with the
+    same id link by their own texts only. A node sends keys (see :func:`signatures`) for
     the size bands of all partners it can have. In a first round each key pairs its holders with
     the smallest one only; the pairs pass a size test, the Hamming bound of their parity sketches
     and an exact comparison. Links make components of sets; copies follow their set. Keys whose holders are still in different
@@ -272,73 +308,79 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     all pairs across components; both are tested likewise. So every link is
     either seen or inside a component already, and groups of near copies give a star, not all pairs.
     Cells of frequent shingles come last in the order, so shared passages make few keys.
-
-    A null or wordless text has no shingles and links with nothing. A null id counts as the largest
-    id; its component is null unless it reaches another. Rows that share an id are one node.
     """
     spark = docs.sparkSession
     ship_package(spark)
     body = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(some_id(F.col(doc_id)).alias("nid"), F.xxhash64(body).alias("row"), body.alias("text"))
-    sets, rows = keep_counted(
-        slim.mapInArrow(_sets, "nid long, row long, n long, name binary, bits array<long>")
-    )
-    full = sets.where("n > 0")
-    firsts = full.groupBy("name").agg(F.min("nid").alias("rep"))
-    members = keep(
-        full.select("nid", "name").distinct().join(firsts, "name").groupBy("nid", "rep").agg(F.lit(1).alias("_")).select("nid", "rep")
-    )
-    frequent = _frequent(spark, slim, rows)
+    mask, clashes = NODE_MASK, frozenset()
+    while True:
+        rows, count = keep_counted(
+            slim.mapInArrow(
+                _sets(clashes, mask), "nid long, row long, n long, name binary, node long, bits array<long>"
+            )
+        )
+        full = rows.where("n > 0")
+        sets = keep(
+            full.groupBy("node").agg(
+                F.min("name").alias("name"), F.max("name").alias("last"), F.min("nid").alias("least"),
+                F.min(_holder()).alias("holder"), F.first("n").alias("n"), F.first("bits").alias("bits"),
+            )
+        )
+        again = {r["node"] for r in sets.where("name <> last").select("node").collect()}
+        if not again:
+            break
+        clashes = clashes | again  # names that share their first 63 bits, a handful in 10^10
+    frequent = _frequent(spark, slim, count)
 
     whole: frozenset[int] = frozenset()
     while True:
-        keys = slim.select("nid", "text").mapInArrow(_keyed(frequent, whole), "key long, nid long, flag int")
+        keys = slim.select("text").mapInArrow(_keyed(frequent, whole, clashes, mask), "key long, node long, flag int")
         holders = Window.partitionBy("key")
-        shared = keys.withColumns({"lead": F.min("nid").over(holders), "end": F.max("nid").over(holders)})
-        shared = keep(shared.where((F.col("lead") < F.col("end")) | (F.col("flag") >= 0)).select("key", "nid", "lead", "flag"))
+        shared = keys.withColumns({"lead": F.min("node").over(holders), "end": F.max("node").over(holders)})
+        shared = keep(shared.where((F.col("lead") < F.col("end")) | (F.col("flag") >= 0)).select("key", "node", "lead", "flag"))
         short = {r["flag"] for r in shared.where("flag >= 0").select("flag").distinct().collect()}
         if short <= whole:
             break
         whole = whole | short  # sets with too few cells: their bands take one cell per shingle
 
-    verifier = _Verifier(slim, full)
-    reps = members.groupBy("nid").agg(F.min("rep").alias("rep"))
-
-    def represented(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(reps.select(F.col("nid").alias(side), F.col("rep").alias(f"_{side}")), side).drop(side)
-        return pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
-
-    stars = shared.where(F.col("nid") != F.col("lead")).select(F.col("lead").alias("a"), F.col("nid").alias("b")).distinct()
-    # Rows that share an id are one node, so the sets they stand for belong together.
-    several = members.groupBy("nid").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
-    one_id = members.join(several, "nid").where("rep <> a").select("a", F.col("rep").alias("b"))
-    joined = keep(connected(verifier.links(represented(stars)).unionByName(one_id)))
-
-    def placed() -> DataFrame:
-        """Each document that is in the component of a smaller one."""
-        found = reps.join(joined, F.col("rep") == F.col("node"), "left").select(
-            F.col("nid").alias("_n"), F.coalesce("component", "rep").alias("_c")
-        )
-        return found.where("_n <> _c")
-
+    verifier = _Verifier(slim, sets, _values(clashes, mask))
+    stars = shared.where(F.col("node") != F.col("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    joined = keep(connected(verifier.links(stars)))
     for star in (True, False):
-        held = shared.select("key", "nid").join(placed(), F.col("nid") == F.col("_n"), "left").select(
-            "key", "nid", F.coalesce("_c", "nid").alias("c")
+        held = shared.select("key", "node").join(joined, "node", "left").select(
+            "key", "node", F.coalesce("component", "node").alias("c")
         )
         split = held.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        split_keys, left = keep_counted(
-            held.join(split, "key", "left_semi").join(reps, "nid").select("key", "rep", "c").distinct()
-        )
+        split_keys, left = keep_counted(held.join(split, "key", "left_semi").distinct())
         if not left:
             break
-        joined = _merged(joined, verifier.links(_central(split_keys) if star else _across(split_keys, full)))
-    out = sets.join(placed(), F.col("nid") == F.col("_n"), "left")
-    component = F.coalesce(F.when(F.col("n") > 0, F.col("_c")), F.col("nid"))
-    real = F.lit((1 << 63) - 1)
+        joined = _merged(joined, verifier.links(_central(split_keys) if star else _across(split_keys, sets)))
+    return rows.select("nid", "row", "n", "node"), sets.select("node", "n", "least"), joined
+
+
+def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id``, ``row`` (hash of the text), ``n_shingles``, ``component_id`` for each row of ``docs``.
+
+    Sets link as in :func:`_linked`; then rows that share an id are joined too, and a component is
+    named by its smallest id. A null or wordless text has no shingles and links with nothing. A row
+    without an id is a document of its own; its component is null unless it reaches an id.
+    """
+    rows, sets, joined = _linked(docs, text, doc_id)
+    held = rows.where((F.col("n") > 0) & (F.col("nid") != NO_ID)).select("nid", "node").distinct()
+    several = held.groupBy("nid").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+    one_id, many = keep_counted(held.join(several, "nid").where("node <> a").select("a", F.col("node").alias("b")))
+    if many:
+        joined = _merged(joined, one_id.distinct())
+    names = joined.join(sets, "node").groupBy("component").agg(F.min("least").alias("name"))
+    named = joined.join(names, "component").select("node", "name")
+    out = rows.join(
+        sets.join(named, "node", "left").select("node", F.coalesce("name", "least").alias("name")), "node", "left"
+    )
+    component = F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("nid"))
     return out.select(
-        F.when(F.col("nid") != real, F.col("nid")).alias("doc_id"), "row", F.col("n").alias("n_shingles"),
-        F.when(component != real, component).alias("component_id"),
+        F.when(F.col("nid") != NO_ID, F.col("nid")).alias("doc_id"), "row", F.col("n").alias("n_shingles"),
+        F.when(component != NO_ID, component).alias("component_id"),
     )
 
 
@@ -348,21 +390,22 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the smallest id, and of its rows the smallest text hash.
+    """``docs`` with one row of each group of texts that link: the smallest id, then the smallest text hash.
 
-    Rows without shingles, which link with nothing, all stay, as do rows without an id that link
-    with no other.
+    Rows without shingles, which link with nothing, all stay. Texts are judged by themselves: rows
+    that share an id but no text stay both, and so do different texts without an id. A row without
+    an id comes after those with one.
     """
-    groups = components(docs)
-    alone = F.col("component_id").isNull() | (F.col("n_shingles") == 0)
-    first = groups.where((F.col("doc_id") == F.col("component_id")) & ~alone).groupBy("doc_id").agg(F.min("row").alias("row"))
-    stay = groups.where(alone).select("doc_id", "row", F.lit(False).alias("_once")).distinct().unionByName(
-        first.select("doc_id", "row", F.lit(True).alias("_once"))
-    ).withColumnRenamed("doc_id", "_id").withColumnRenamed("row", "_row")
+    rows, _, joined = _linked(docs, "text", "doc_id")
+    own = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("nid", "row")).alias("first"))
+    group = F.coalesce("component", "node").alias("group")
+    first = own.join(joined, "node", "left").groupBy(group).agg(F.min("first").alias("first"))
+    stay = rows.where("n = 0").select("nid", "row", F.lit(False).alias("_once")).distinct().unionByName(
+        first.select("first.nid", "first.row", F.lit(True).alias("_once"))
+    ).withColumnRenamed("nid", "_id").withColumnRenamed("row", "_row")
     body = F.coalesce(F.col("text"), F.lit(""))
     kept = docs.join(
-        stay.hint("shuffle_hash"),
-        some_id(F.col("doc_id")).eqNullSafe(some_id(F.col("_id"))) & (F.xxhash64(body) == F.col("_row")),
+        stay.hint("shuffle_hash"), (some_id(F.col("doc_id")) == F.col("_id")) & (F.xxhash64(body) == F.col("_row"))
     )
     mark = F.when(F.col("_once"), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
     kept = kept.withColumn("_mark", mark).dropDuplicates(["_id", "_row", "_mark"])

@@ -275,6 +275,37 @@ def test_one_of_each(docs, rows):
     assert set(kept) == want and all(n == 1 for i, n in kept.items())
 
 
+def _near(i, edit):
+    """A text of its own for each ``i``; another ``edit`` changes its last word only."""
+    return " ".join(f"t{i}x{k}" for k in range(40)) + f" {edit}"
+
+
+def test_rows_without_an_id_or_with_one_id_link_by_their_own_text(spark, monkeypatch):
+    # Two rows without an id copy 7 and 9, two copy each other, one is like no other; 5 has two texts, of which 8
+    # nearly copies the one with the larger id of its set; 20 and 21 have no words.
+    table = [
+        (7, _near(0, "a")), (9, _near(1, "a")), (None, _near(0, "a")), (None, _near(1, "b")),
+        (None, _near(2, "a")), (None, _near(2, "b")), (None, _near(3, "a")),
+        (5, _near(4, "a")), (5, _near(5, "a")), (8, _near(5, "b")), (12, _near(4, "b")), (None, " ? "), (20, " "), (21, None),
+    ]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    n = 37
+    want = Counter([
+        (7, n, 7), (9, n, 9), (None, n, 7), (None, n, 9), (None, n, None), (None, n, None), (None, n, None),
+        (5, n, 5), (5, n, 5), (8, n, 5), (12, n, 5), (None, 1, None), (20, 0, 20), (21, 0, 21),
+    ])
+    assert got(ngram_join.digest(docs)) == want
+    kept = Counter((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(docs).collect())
+    twice = [k for k in kept if k[0] is None and k[1].startswith("t2x")]
+    assert len(twice) == 1
+    assert kept == Counter([
+        (7, _near(0, "a")), (9, _near(1, "a")), twice[0], (None, _near(3, "a")), (5, _near(4, "a")), (5, _near(5, "a")),
+        (None, " ? "), (20, " "), (21, None),
+    ])
+    monkeypatch.setattr(ngram_join, "NODE_MASK", 7)  # sets that share a number get others
+    assert got(ngram_join.digest(docs)) == want
+
+
 def test_pipeline(spark, rows, labels, items, tmp_path):
     import corpus_pipeline
 
