@@ -81,14 +81,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     rows, n = keep_counted(
         docs.select(
             F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
-            word_count(F.col(text)).alias("size"), rank.alias("rank"),
+            word_count(F.col(text)).alias("size"), rank.alias("rank"), F.xxhash64(text).alias("body"),
         )
     )
     return queue(rows, n)
 
 
 def queue(rows: DataFrame, n: int) -> Mix:
-    """The mix of kept ``rows`` (``doc_id``, ``source``, ``size``, ``rank``), ``n`` in number."""
+    """The mix of kept ``rows`` (``doc_id``, ``source``, ``size``, ``rank``, ``body``: hash of the text), ``n`` in number."""
     parts = max(1, -(-n // BUCKET_ROWS))
     sizes, sources = keep_counted(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     targets, budget = source_targets(sizes)
@@ -99,7 +99,7 @@ def queue(rows: DataFrame, n: int) -> Mix:
     starts = _before(placed, ["source"], "bucket", "size", "before").select(
         F.col("source").alias("_s"), F.col("bucket").alias("_b"), "before"
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("rank", F.col("doc_id"), "size")
+    inside = Window.partitionBy("source", "bucket").orderBy("rank", F.col("doc_id"), "size", "body")
     running = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = placed.withColumn("running", running)
     placed = placed.join(
@@ -185,17 +185,31 @@ def digest(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them: each row as often as it is taken, others not at all.
 
-    The texts meet the decisions by id and size; ids that occur once, as ids should, decide for
-    themselves. Rows that share an id and a size share the larger decision.
+    The texts meet the decisions by id, source, size and text hash. Of rows that agree in all of
+    these, as many are taken once, twice, ... as there are such decisions: where the decisions
+    differ, the rows get a running number, in one task for each such group of equal rows.
     """
-    taken = mix(docs).rows.where(F.col("copies") > 0).groupBy(
-        some_id(F.col("doc_id")).alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size")
-    ).agg(F.max("copies").alias("_mix_copies"))
+    key = ["_mix_id", "_mix_source", "_mix_size", "_mix_body"]
+    per = mix(docs).rows.groupBy(
+        some_id(F.col("doc_id")).alias("_mix_id"), F.col("source").alias("_mix_source"),
+        F.col("size").alias("_mix_size"), F.col("body").alias("_mix_body"),
+    ).agg(
+        F.count(F.lit(1)).alias("_mix_rows"),
+        F.array(*[F.count_if(F.col("copies") > c) for c in range(COPIES)]).alias("_mix_counts"),
+    )
+    taken = keep(per.where(F.col("_mix_counts")[0] > 0))
+    partly = F.exists("_mix_counts", lambda n: (n > 0) & (n < F.col("_mix_rows")))
     same = (
         (some_id(F.col("doc_id")) == F.col("_mix_id"))
-        & F.col("source").eqNullSafe(F.col("_mix_source"))
+        & F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))
         & (word_count(F.col("text")) == F.col("_mix_size"))
+        & (F.xxhash64("text") == F.col("_mix_body"))
     )
-    joined = docs.join(taken.hint("shuffle_hash"), same)
-    again = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
+    joined = docs.join(taken.where(~partly).hint("shuffle_hash"), same).withColumn("_mix_number", F.lit(1))
+    uneven, n = keep_counted(taken.where(partly))
+    if n:
+        number = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+        joined = joined.unionByName(docs.join(uneven.hint("shuffle_hash"), same).withColumn("_mix_number", number))
+    copies = F.size(F.filter("_mix_counts", lambda n: n >= F.col("_mix_number")))
+    again = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), copies)))
     return again.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -172,6 +172,18 @@ def test_mixing(docs, rows, monkeypatch):
     assert again == Counter({r["doc_id"]: r["taken"] // r["size"] * n for r, n in Counter(out).items() if r["taken"]})
 
 
+def test_each_row_without_an_id_keeps_its_own_decision(spark):
+    # Some of the equal rows of the second source are taken once, some twice.
+    table = [(None, f"{'aaxyza'[i % 6]} b c d e", s) for s, n in (("s0", 6), ("s1", 12)) for i in range(n)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(3)
+    want = Counter()
+    for r in mixing.mix(docs).rows.collect():
+        want[r["source"]] += r["copies"]
+    taken = Counter((r["source"], r["text"]) for r in mixing.mixed(docs).collect())
+    assert len({r["copies"] for r in mixing.mix(docs).rows.where("source = 's1'").collect()}) > 1
+    assert {s: sum(n for k, n in taken.items() if k[0] == s) for s in want} == dict(want)
+
+
 def test_urls(spark):
     some = ["http://Example.NET/en/a?x", "http://m.example.net/fr", "http://net", "https://a.ORG/fr/x#y", "no scheme", None,
             "http://x.example.com/de/q", "http://b.com/p/?ref=1", "http://www.b.com/p", "http://b.com/other"]
