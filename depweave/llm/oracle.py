@@ -201,6 +201,53 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n > 0 THEN coalesce(compo
 FROM d LEFT JOIN size USING (rid, doc_id) LEFT JOIN comp USING (doc_id)"""
 
 
+INFILL = """
+WITH d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, doc_id, coalesce(text, '') AS t FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || id) AS key FROM d),
+h AS (SELECT *, len(u) AS n, ('0x' || key[1:8])::BIGINT AS h1, ('0x' || key[9:16])::BIGINT AS h2,
+      ('0x' || key[17:24])::BIGINT AS h3, ('0x' || key[25:32])::BIGINT AS h4 FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+           WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+      ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS x FROM p),
+i AS (SELECT *, instr(x, '<P>') AS ip, instr(x, '<S>') AS js, instr(x, '<M>') AS km FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars, sha256(x) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN x
+              WHEN 'psm' THEN x[ip + 3:js - 1] || x[km + 3:] || x[js + 3:km - 1]
+              ELSE x[ip + 3:km - 1] || x[km + 3:] || x[js + 3:ip - 1] END) AS restored_sha256
+FROM i"""
+
+
+# crc32 is a fold over bytes with a table of 256 values, each eight steps of the reflected polynomial.
+# Runs have only letters up to U+00FF: a letter above ASCII is the bytes 195 and its code less 64.
+SPELLING = f"""
+WITH RECURSIVE bits AS (SELECT i AS x, 0 AS k, i::BIGINT AS v FROM range(256) r(i)
+  UNION ALL SELECT x, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT list(v ORDER BY x) AS tab FROM bits WHERE k = 8),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+many AS (SELECT id, run, count(*) AS c FROM runs GROUP BY ALL),
+h AS (SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+        string_split(id || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195::BIGINT, ord(x)::BIGINT - 64] END))),
+        lambda s, b: xor(s >> 8, tab[xor(s & 255, b) + 1]))) AS h FROM many, tab),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || run[h % length(run) + 2:] ELSE run END AS word, sum(c)::BIGINT AS n
+      FROM h GROUP BY 1 HAVING length(word) >= 7 AND n >= 2),
+k AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+gap AS (SELECT word, n, i, left(word, i - 1) || '_' || word[i + 1:] AS hole, left(word, i - 1) || word[i + 1:] AS less FROM k),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM gap a JOIN gap b ON a.hole = b.hole AND a.word <> b.word
+         UNION SELECT g.word, w.word, w.n FROM gap g JOIN w ON g.less = w.word
+         UNION SELECT w.word, g.word, g.n FROM gap g JOIN w ON g.less = w.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN other END AS form,
+      CASE WHEN m >= 10 * w.n THEN m END AS form_n FROM w LEFT JOIN best ON w.word = best.word),
+up AS (SELECT word, word AS top, 0 AS steps FROM f UNION ALL SELECT up.word, f.form, steps + 1 FROM up JOIN f ON up.top = f.word WHERE f.form IS NOT NULL),
+root AS (SELECT word, arg_max(top, steps) AS root FROM up GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scan": _secrets(),
@@ -211,4 +258,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_chat_formatting": CHAT,
         "op8_quality_rules": _rules(),
         "op9_ngram_jaccard_join": JOIN,
+        "op11_fill_in_middle": INFILL,
+        "op13_spelling_variants": SPELLING,
     }

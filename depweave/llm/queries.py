@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from depweave.llm import (
     chat,
     decontaminate,
+    infill,
     mixing,
+    neighbours,
     ngram_join,
     quality_model,
     quality_rules,
     secrets,
+    spelling,
     substring,
     token_files,
     urls,
@@ -40,4 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": documents(quality_rules.digest),
         "op9_ngram_jaccard_join": documents(ngram_join.digest),
         "op10_token_files": documents(token_files.digest),
+        "op11_fill_in_middle": documents(infill.digest),
+        "op12_nearest_neighbours": lambda spark, sf_dir: neighbours.nearest(read(spark, sf_dir, "embeddings")),
+        "op13_spelling_variants": documents(spelling.digest),
     }
