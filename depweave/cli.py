@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import sys
 from datetime import UTC, datetime
 from pathlib import Path
@@ -27,9 +28,9 @@ def _show(parts: dict[str, DataFrame] | DataFrame | None, rows: int = SHOWN) ->
     return 0
 
 
-def _report_data(repo: Repository, save: bool) -> dict:
-    trend = repo.record_health(datetime.now(UTC).isoformat(), save).orderBy(F.desc("timestamp")).first()
-    return reports.report_data(repo.analysis, trend.asDict())
+def _report(repo: Repository, save: bool) -> DataFrame:
+    newest = repo.record_health(datetime.now(UTC).isoformat(), save).orderBy(F.desc("timestamp")).limit(1)
+    return reports.report_rows(repo.analysis, newest)
 
 
 def scan(repo: Repository, args) -> int:
@@ -76,8 +77,8 @@ def replay(repo: Repository, args) -> int:
 
 
 def governance(repo: Repository, args) -> int:
-    data = _report_data(repo, save=True)
-    print(reports.markdown(data))
+    for line in reports.text_lines(reports.ordered(_report(repo, save=True))):
+        print(line)
     gate = repo.analysis.gate().first()
     return 0 if gate is None or gate["passes"] else 1
 
@@ -89,15 +90,12 @@ def analyze_branch(repo: Repository, args) -> int:
 
 
 def report(repo: Repository, args) -> int:
-    data = _report_data(repo, save=False)
-    if args.format == "html":
-        text = reports.html_page(data, repo.root)
-    else:
-        text = reports.json_report(data) if args.format == "json" else reports.markdown(data)
-    if args.out:
-        Path(args.out).write_text(text, encoding="utf-8")
-    else:
-        print(text)
+    rows = reports.ordered(_report(repo, save=False))
+    lines = {
+        "html": lambda: reports.html_lines(rows, f"Architecture of {repo.root}"), "json": lambda: reports.json_lines(rows),
+    }.get(args.format, lambda: reports.text_lines(rows))()
+    with Path(args.out).open("w", encoding="utf-8") if args.out else contextlib.nullcontext(sys.stdout) as out:
+        out.writelines(f"{line}\n" for line in lines)
     return 0
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from depweave.config import AnalysisConfig, GovernanceConfig
 from depweave.model import DepGraph
-from depweave.operators import components, health, reach, rules, scores
+from depweave.operators import bitreach, components, health, rules, scores
 from depweave.operators.centrality import pagerank
 from depweave.operators.degrees import with_degrees
 from depweave.operators.skew import HotKeys, hot_join, hot_keys
@@ -25,12 +25,14 @@ CONFIG_FREE = (
     "degrees",
     "walks",
     "pagerank",
-    "closure",
+    "bits",
     "scores",
     "hotspots",
     "components",
     "cycles",
     "cycle_members",
+    "cycle_signatures",
+    "depths",
     "node_metrics",
 )
 
@@ -96,9 +98,14 @@ class Analysis:
         return pagerank(self.files, self.edges, walks=self.walks)
 
     @cached_property
-    def closure(self) -> DataFrame:
-        """``(src, dst, hop)`` of all pairs; only for operators that need every pair."""
-        return reach.reach_pairs(self.edges, walks=self.walks)
+    def bits(self) -> bitreach.BitReach:
+        """Reach of every file from every file, 64 sources in a number."""
+        return bitreach.bit_reach(self.edges, bitreach.numbered(self.files, self.components))
+
+    @cached_property
+    def depths(self) -> DataFrame:
+        """``(id, transitive_imports, depth)`` of the files that import anything."""
+        return keep(self.bits.ahead())
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -120,6 +127,10 @@ class Analysis:
     def cycle_members(self) -> DataFrame:
         return components.cycle_members(self.files, self.components)
 
+    @cached_property
+    def cycle_signatures(self) -> DataFrame:
+        return components.cycle_signatures(self.files, self.components)
+
     @cached_property
     def god_modules(self) -> DataFrame:
         return scores.god_modules(self.degrees, self.config.thresholds)
@@ -133,19 +144,8 @@ class Analysis:
         return rules.layer_violations(self.edge_paths, self.config)
 
     def deep_files(self, limit: int) -> DataFrame:
-        """``(id, depth)`` of files deeper than ``limit``.
-
-        Only a file that starts a walk of more than ``limit`` steps can be that deep; the walk
-        table names them, and the closure is computed from those files alone.
-        """
-        if "closure" in self.__dict__:
-            pairs = self.closure
-        else:
-            reachable = min(self.walks.steps, limit + 1)
-            starts = self.walks.table.where(F.col("steps") == reachable)
-            starts = starts.select(F.col("src").alias("id")).distinct()
-            pairs = reach.reach_pairs(self.edges, starts, self.walks)
-        return reach.dependency_depth(pairs).where(F.col("depth") > limit)
+        """``(id, depth)`` of files deeper than ``limit``."""
+        return self.depths.select("id", "depth").where(F.col("depth") > limit)
 
     @cached_property
     def violations(self) -> DataFrame:
@@ -178,8 +178,8 @@ class Analysis:
     @cached_property
     def node_metrics(self) -> DataFrame:
         """Degrees, reach both ways, depth, centrality and score of every file."""
-        ahead, behind = reach.reach_counts(self.closure)
-        behind = behind.drop("max_hop")
+        ahead = self.depths
+        behind = self.bits.behind().select("id", "transitive_dependents")
         return (
             self.degrees.select("rev", "id", "path", "in_degree", "out_degree")
             .join(ahead, "id", "left")

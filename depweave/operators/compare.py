@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depweave.operators.components import cycle_signatures
 from depweave.operators.history import coupling_trends, top_coupling_trends
+from depweave.operators.skew import global_rank
 from depweave.functions.exprs import top_dir
+from depweave.session import cut
 
 
 def side(df: DataFrame, rev: str) -> DataFrame:
@@ -31,7 +32,7 @@ def dependency_changes(analysis, base: str = "base", head: str = "head") -> Data
 
 def cycle_changes(analysis, base: str = "base", head: str = "head") -> DataFrame:
     """Cycles of one revision whose set of files is no cycle of the other."""
-    signed = cycle_signatures(analysis.files, analysis.components)
+    signed = analysis.cycle_signatures
     keys = ["length", "first_file", "sig_a", "sig_b"]
     new = keyed_except(side(signed, head), side(signed, base), keys)
     gone = keyed_except(side(signed, base), side(signed, head), keys)
@@ -117,6 +118,33 @@ def file_changes(files: DataFrame, base: str = "base", head: str = "head") -> Da
     return changed.select(F.when(F.col("h"), "added").otherwise("removed").alias("change"), "path")
 
 
+def _ranked(files: DataFrame) -> DataFrame:
+    """``(key, rank, path)``: place of each path among those of equal content, for groups of any size."""
+    placed, _ = global_rank(files.select("key", "path"), [F.col("key"), F.col("path")], "no")
+    first = placed.groupBy("key").agg(F.min("no").alias("first"))
+    return placed.join(first, "key").select("key", (F.col("no") - F.col("first")).alias("rank"), "path")
+
+
+def tree_changes(base: DataFrame, head: DataFrame) -> DataFrame:
+    """``(status, path, old_path)`` between two listed trees ``(path, key)``, where ``key`` tells the content.
+
+    A path of both trees is M (modified) if its content differs. Of the other paths, those with equal
+    content are paired one to one in the order of their paths and are R (renamed); what is left is A (added) or D (deleted).
+    A null path takes no part; files without a key (unknown content) are never renamed.
+    """
+    base, head = (t.where("path IS NOT NULL").select("path", "key").dropDuplicates(["path"]) for t in (base, head))
+    both = base.join(head.withColumnRenamed("key", "new"), "path")
+    modified = both.where(~F.col("key").eqNullSafe(F.col("new"))).select(F.lit("M").alias("status"), "path", F.lit(None).cast("string").alias("old_path"))
+    gone, come = base.join(head, "path", "left_anti"), head.join(base, "path", "left_anti")
+    old = _ranked(gone.where("key IS NOT NULL")).withColumnRenamed("path", "old_path")
+    moved = _ranked(come.where("key IS NOT NULL")).join(old, ["key", "rank"])
+    moved = cut(moved.select(F.lit("R").alias("status"), "path", "old_path"))
+    none = F.lit(None).cast("string").alias("old_path")
+    added = come.join(moved, "path", "left_anti").select(F.lit("A").alias("status"), "path", none)
+    deleted = gone.join(moved.select(F.col("old_path").alias("path")), "path", "left_anti").select(F.lit("D").alias("status"), "path", none)
+    return modified.unionByName(moved).unionByName(added).unionByName(deleted)
+
+
 def architecture_diff(analysis, base: str = "base", head: str = "head") -> DataFrame:
     """Everything that differs, as rows ``(kind, subject, other, before, after)``."""
     none = F.lit(None).cast("long")

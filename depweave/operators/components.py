@@ -140,11 +140,10 @@ def cycle_signatures(files: DataFrame, members: DataFrame) -> DataFrame:
     member sets have equal signatures whatever their size.
     """
     named = members.join(files.select("id", "rev", "path"), "id")
-    part = F.xxhash64("path").cast("decimal(38,0)")
-    other = F.xxhash64(F.reverse("path"), "path").cast("decimal(38,0)")
+    parts = [F.conv(F.substring(F.md5("path"), at, 13), 16, 10).cast("decimal(38,0)") for at in (1, 14)]
     return named.groupBy("comp", "rev").agg(
         F.count(F.lit(1)).alias("length"),
         F.min("path").alias("first_file"),
-        F.sum(part).alias("sig_a"),
-        F.sum(other).alias("sig_b"),
+        F.sum(parts[0]).alias("sig_a"),
+        F.sum(parts[1]).alias("sig_b"),
     )

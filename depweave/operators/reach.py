@@ -86,39 +86,55 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def shortest_path(edges: DataFrame, start: DataFrame, goal: DataFrame, walks: Walks | None = None) -> DataFrame:
+def shortest_path(edges: DataFrame, start: DataFrame, goal: DataFrame) -> DataFrame:
     """One shortest path from the start node to the goal node as rows ``(hop, id)``.
 
-    No rows when the goal cannot be reached; one row when it is the start. Every reached node
-    points to its smallest predecessor one hop nearer to the start, and the path is the chain of
-    pointers from the goal, followed several at a time.
+    No rows when the goal cannot be reached; one row when it is the start. The search goes out from
+    both ends, each time by one level of the side with the smaller rim, until the sides meet; so it
+    sees two balls of half the distance and not everything the start reaches. From the nodes where
+    they meet, both ways back along falling distances give all nodes of shortest paths. Each of them points to
+    its smallest predecessor, and the path is the chain of pointers from the goal.
     """
-    begin = start.select("id", F.lit(0).alias("hop"))
-    reached = reach_pairs(edges, start, walks).select(F.col("dst").alias("id"), "hop")
-    hops, _ = cut_counted(reached.unionByName(begin))
-    nearer = hops.select(F.col("id").alias("src"), (F.col("hop") + 1).alias("hop"))
-    into = edges.select("src", "dst").join(nearer, "src").join(hops.toDF("dst", "hop"), ["dst", "hop"])
-    pointers = into.groupBy(F.col("dst").alias("src")).agg(F.min("src").alias("dst"))
-    pointers, _ = cut_counted(pointers)
+    steps = {"f": edges.select(F.col("src").alias("id"), F.col("dst").alias("to"))}
+    steps["b"] = edges.select(F.col("dst").alias("id"), F.col("src").alias("to"))
+    levels = {"f": [start.select("id").distinct()], "b": [goal.select("id").distinct()]}
+    levels = {side: [cut(found[0].withColumn("hop", F.lit(0)))] for side, found in levels.items()}
+    sizes = {"f": levels["f"][0].count(), "b": levels["b"][0].count()}
+    schema = levels["f"][0].select("hop", "id")
+    side, other = "f", "b"
+    while True:
+        seen = reduce(DataFrame.unionByName, levels[other]).withColumnRenamed("hop", "away")
+        length = levels[side][-1].join(seen, "id").agg(F.min(F.col("hop") + F.col("away"))).first()[0]
+        if length is not None:
+            break
+        side = "f" if sizes["f"] <= sizes["b"] else "b"
+        other = "b" if side == "f" else "f"
+        ahead = levels[side][-1].join(steps[side], "id").select(F.col("to").alias("id")).distinct()
+        known = reduce(DataFrame.unionByName, levels[side]).select("id")
+        found = ahead.join(known, "id", "left_anti").withColumn("hop", F.lit(len(levels[side])))
+        newest, sizes[side] = cut_counted(found)
+        if not sizes[side]:
+            return schema.where("false")
+        levels[side].append(newest)
+
+    whole = {s: reduce(DataFrame.unionByName, levels[s]) for s in "fb"}
+    both = whole["f"].join(whole["b"].withColumnRenamed("hop", "away"), "id").where(F.col("hop") + F.col("away") == length)
+    met = cut(both.select("id", "hop"))
+    on_path = [met]
+    for s, back, turn in (("f", "b", -1), ("b", "f", 1)):  # towards the start by edges backwards, towards the goal forwards
+        rim = met
+        for _ in range(len(levels[s]) - 1):
+            near = rim.join(steps[back], "id").select(F.col("to").alias("id"), (F.col("hop") + turn).alias("hop")).distinct()
+            distance = F.col("own") if s == "f" else F.lit(length) - F.col("own")
+            rim = cut(near.join(whole[s].withColumnRenamed("hop", "own"), "id").where(F.col("hop") == distance).select("id", "hop"))
+            on_path.append(rim)
+    nodes = cut(reduce(DataFrame.unionByName, on_path).distinct())
+    before = nodes.select(F.col("id").alias("src"), (F.col("hop") + 1).alias("hop"))
+    into = edges.select("src", "dst").join(before, "src").join(nodes.toDF("dst", "hop"), ["dst", "hop"])
+    pointers = cut(into.groupBy(F.col("dst").alias("src")).agg(F.min("src").alias("dst")))
     chain = reach_pairs(pointers, goal, build_walks(pointers)).select(F.col("dst").alias("id"))
-    found = hops.join(goal.select("id"), "id", "left_semi")
-    return found.unionByName(hops.join(chain, "id", "left_semi")).select("hop", "id")
-
-
-def dependency_depth(pairs: DataFrame) -> DataFrame:
-    """``(id, depth)``: greatest distance to anything a node depends on; zero rows left out."""
-    return pairs.groupBy(F.col("src").alias("id")).agg(F.max("hop").alias("depth"))
-
-
-def reach_counts(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sizes of the reach of every node, forward and backward."""
-    ahead = pairs.groupBy(F.col("src").alias("id")).agg(
-        F.count(F.lit(1)).alias("transitive_imports"), F.max("hop").alias("depth")
-    )
-    behind = pairs.groupBy(F.col("dst").alias("id")).agg(
-        F.count(F.lit(1)).alias("transitive_dependents"), F.max("hop").alias("max_hop")
-    )
-    return ahead, behind
+    ends = nodes.join(goal.select("id"), "id", "left_semi")
+    return ends.unionByName(nodes.join(chain, "id", "left_semi")).select("hop", "id")
 
 
 def reachable_from(edges: DataFrame, roots: DataFrame, walks: Walks | None = None) -> DataFrame:

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from depweave.config import AnalysisConfig, ForbiddenImport, GovernanceConfig, Limits
 from depweave.functions.globs import glob_regex, matches_any
 
-# Members spelled out in the text of a cycle violation. A larger cycle is named by its size and
-# first file; all of its files are rows of ``cycle_members``.
-LISTED_MEMBERS = 10_000
 
 VIOLATION_COLUMNS = ("rev", "rule", "severity", "file", "detail")
 
@@ -100,20 +97,23 @@ def depth_violations(depths: DataFrame, files: DataFrame, limits: Limits) -> Dat
     )
 
 
-def cycle_violations(cycles: DataFrame, members: DataFrame) -> DataFrame:
-    """One error per cycle; ``members`` are rows of ``cycle_members``."""
-    short = cycles.where(F.col("length") <= LISTED_MEMBERS).select("comp", F.lit(True).alias("_short"))
-    listed = members.join(short, "comp").groupBy("comp").agg(
-        F.array_join(F.sort_array(F.collect_list("path")), " → ").alias("_files")
+def cycle_violations(cycles: DataFrame, signatures: DataFrame) -> DataFrame:
+    """One error per cycle. Its text has the size, the first file and the signature of the members.
+
+    Cycles of every size have the same shape of text, and it changes when a single member does;
+    the members are rows of ``cycle_members``.
+    """
+    signed = cycles.join(signatures.select("comp", "sig_a", "sig_b"), "comp")
+    text = F.format_string(
+        "cycle (%s): %d files from %s, signature %s/%s", "severity", "length", "first_file",
+        F.col("sig_a").cast("string"), F.col("sig_b").cast("string"),
     )
-    text = F.concat(F.lit("cycle ("), F.col("severity"), F.lit("): "))
-    large = F.concat(F.col("length").cast("string"), F.lit(" files from "), F.col("first_file"))
-    return cycles.join(listed, "comp", "left").select(
+    return signed.select(
         "rev",
         F.lit("noCircularDependencies").alias("rule"),
         F.lit("error").alias("severity"),
         F.col("first_file").alias("file"),
-        F.concat(text, F.coalesce("_files", large)).alias("detail"),
+        text.alias("detail"),
     )
 
 
@@ -125,7 +125,7 @@ def evaluate_rules(analysis, config: GovernanceConfig) -> DataFrame:
         depth_violations(analysis.deep_files(limits.max_dependency_depth), analysis.files, limits),
     ]
     if not limits.allow_circular_dependencies:
-        parts.append(cycle_violations(analysis.cycles, analysis.cycle_members))
+        parts.append(cycle_violations(analysis.cycles, analysis.cycle_signatures))
     if config.forbidden_imports:
         banned = forbidden_imports(analysis.edge_paths, config.forbidden_imports)
         parts.append(

@@ -14,7 +14,7 @@ from depweave.functions.tokens import keywords
 from depweave.operators import codegraph, compare, context, health, history, impact, packages
 from depweave.operators import reach, rules, scores, store, summary
 from depweave.plans.workspace import PACKAGES, TableWorkspace, workspace
-from depweave.sinks import export
+from depweave.sinks import export, reports
 from depweave.sources.workspaces import package_frame
 
 Query = Callable[[TableWorkspace], DataFrame]
@@ -124,13 +124,13 @@ def filter_map(w):
 
 @query
 def subgraph_folder(w):
-    nodes, _ = store.subgraph(w.analysis.degrees, w.analysis.edges, folder="promo/")
+    nodes, _ = store.subgraph(w.analysis.degrees, w.analysis.edges, folder="orders/")
     return nodes.select("path", "degree")
 
 
 @query
 def subgraph_folder_edges(w):
-    _, edges = store.subgraph(w.analysis.degrees, w.analysis.edges, folder="promo/")
+    _, edges = store.subgraph(w.analysis.degrees, w.analysis.edges, folder="orders/")
     return edges.select("src", "dst")
 
 
@@ -181,19 +181,19 @@ def search_imports(w):
 
 @query
 def reach_out(w):
-    return w.analysis.closure.select("src", "dst", "hop")
+    """All that the ten files with most imports depend on."""
+    given = w.analysis.degrees.orderBy(F.desc("out_degree"), "path").limit(10).select("id")
+    return reach.reach_pairs(w.analysis.edges, given, w.analysis.walks).select("src", "dst", "hop")
 
 
 @query
 def reach_in(w):
-    _, behind = reach.reach_counts(w.analysis.closure)
-    return behind.join(w.analysis.files, "id").select("path", "transitive_dependents", "max_hop")
+    return w.analysis.bits.behind().join(w.analysis.files, "id").select("path", "transitive_dependents", "max_hop")
 
 
 @query
 def dependency_depth(w):
-    found = reach.dependency_depth(w.analysis.closure)
-    return found.join(w.analysis.files, "id").select("path", "depth")
+    return w.analysis.depths.join(w.analysis.files, "id").select("path", "depth")
 
 
 @query
@@ -210,18 +210,28 @@ def node_metrics(w):
     )
 
 
-@query
-def shortest_path(w):
-    """Length of the path to the top hub from the file farthest from it."""
+def _longest_way(w):
+    """The way to the top hub from the file farthest from it."""
     a = w.analysis
     farthest = F.min_by("id", F.struct(-F.col("hop"), F.col("id"))).alias("id")
     start = _affected(w).agg(farthest).where("id is not null")
-    steps = reach.shortest_path(a.edges, start, w.top_hub, a.walks)
-    return steps.agg(
+    return reach.shortest_path(a.edges, start, w.top_hub)
+
+
+@query
+def shortest_path(w):
+    """Ends and length of the longest of the shortest ways to the top hub."""
+    return _longest_way(w).agg(
         F.min_by("id", "hop").alias("source"), F.max_by("id", "hop").alias("target"), F.max("hop").alias("length")
     )
 
 
+@query
+def path_nodes(w):
+    """Every file on that way."""
+    return _longest_way(w).join(w.analysis.files, "id").select("hop", "path")
+
+
 @query
 def reachable_from_entries(w):
     a = w.analysis
@@ -339,13 +349,13 @@ def affected_directories(w):
 
 @query
 def blast_radius(w):
-    reached = w.analysis.closure.select(F.col("dst").alias("target"), F.col("src").alias("id"), "hop")
-    return impact.blast_radius(w.analysis, reached).drop("rev", "target")
+    return impact.blast_radius(w.analysis, impact.counts_of_all(w.analysis)).drop("rev", "target")
 
 
 @query
 def impact_report(w):
-    return impact.blast_radius(w.analysis, _affected(w), w.top_hub).drop("rev", "target")
+    counts = impact.counts_of_targets(w.analysis.files, w.analysis.edges, _affected(w))
+    return impact.blast_radius(w.analysis, counts, w.top_hub).drop("rev", "target")
 
 
 # --- history ---------------------------------------------------------------------------------
@@ -411,6 +421,11 @@ def dependency_changes(w):
     return compare.dependency_changes(w.compared)
 
 
+@query
+def file_changes(w):
+    return compare.file_changes(w.compared.files)
+
+
 @query
 def cycle_changes(w):
     return compare.cycle_change_members(w.compared)
@@ -691,9 +706,18 @@ def export_sections(w):
 
 @query
 def health_report(w):
-    from depweave.sinks import reports
+    return reports.report_rows(w.analysis).drop("rev")
+
 
-    return reports.markdown_lines(w.ruled)
+@query
+def tree_changes(w):
+    """The documents as two listed trees: by language, and by source without blanks at their ends."""
+    docs = w.table("documents")
+    name = F.concat(F.lit("/"), F.col("doc_id").cast("string"))
+    base = docs.select(F.concat("lang", name).alias("path"), F.md5("text").alias("key"))
+    moved = F.when(F.col("lang") == "en", F.concat("source", name)).otherwise(F.concat("lang", name))
+    head = docs.select(moved.alias("path"), F.md5(F.rtrim("text")).alias("key"))
+    return compare.tree_changes(base, head)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,16 +29,34 @@ SELECT p_partkey AS id,
                           WHEN 2 THEN 'python' ELSE 'java' END AS lang,
        p_size * 10 AS loc,
        CAST(p_partkey % 18 AS INT) AS n_exports, p_size % 45 AS n_functions,
-       CAST(p_partkey % 8 AS INT) AS n_classes
-FROM part"""
-
-CTE["e"] = """
+       CAST(p_partkey % 8 AS INT) AS n_classes, NULL::TIMESTAMP AS day
+FROM part
+UNION ALL SELECT -8 * k - kind, path, lang, CAST(k % 60 AS INT) * 10, CAST(k % 18 AS INT), CAST(k % 45 AS INT), CAST(k % 8 AS INT), day FROM (
+  SELECT o_orderkey AS k, 1 AS kind, 'orders/' || regexp_replace(lower(o_orderpriority[3:]), '[^a-z]+', '_', 'g') || '/o' || o_orderkey ||
+         CASE WHEN o_orderstatus = 'P' THEN '.test' ELSE '' END || '.ts' AS path, 'typescript' AS lang, o_orderdate AS day FROM orders
+  UNION ALL SELECT c_custkey, 2, 'customers/' || regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '_', 'g') || '/c' || c_custkey || '.py', 'python', NULL FROM customer
+  UNION ALL SELECT s_suppkey, 3, 'suppliers/n' || s_nationkey || '/s' || s_suppkey || '.java', 'java', NULL FROM supplier
+  UNION ALL SELECT n_nationkey, 4, 'nations/' || regexp_replace(lower(n_name), '[^a-z0-9]+', '_', 'g') || '/index.js', 'javascript', NULL FROM nation
+  UNION ALL SELECT r_regionkey, 5, 'regions/' || regexp_replace(lower(r_name), '[^a-z0-9]+', '_', 'g') || '/index.ts', 'typescript', NULL FROM region)"""
+
+
+def _keys(where: str) -> str:
+    """Imports by every key of the tables, over the orders of a period."""
+    return f"""
 SELECT DISTINCT src, dst FROM (
-  SELECT l_partkey AS src, l_quantity AS q,
-         LEAD(l_partkey) OVER (PARTITION BY l_orderkey
-           ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst
-  FROM lineitem)
-WHERE dst IS NOT NULL AND src <> dst AND q >= 49"""
+  SELECT -8 * o_orderkey - 1 AS src, -8 * o_custkey - 2 AS dst FROM orders WHERE {where}
+  UNION ALL SELECT -8 * o_orderkey - 1, -8 * lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 FROM orders WHERE {where}
+  UNION ALL SELECT -8 * o_custkey - 2, -8 * arg_max(o_orderkey, (o_orderdate, o_orderkey)) - 1 FROM orders WHERE {where} GROUP BY o_custkey
+  UNION ALL SELECT -8 * l_orderkey - 1, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE {where}
+  UNION ALL SELECT l_partkey, -8 * l_suppkey - 3 FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE {where}
+  UNION ALL SELECT -8 * c_custkey - 2, -8 * c_nationkey - 4 FROM customer
+  UNION ALL SELECT -8 * s_suppkey - 3, -8 * s_nationkey - 4 FROM supplier
+  UNION ALL SELECT -8 * n_nationkey - 4, -8 * n_regionkey - 5 FROM nation
+  UNION ALL SELECT -8 * n_regionkey - 5, -8 * n_nationkey - 4 FROM nation)
+WHERE dst IS NOT NULL"""
+
+
+CTE["e"] = _keys("true")
 
 CTE["deg"] = """
 SELECT f.*, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree,
@@ -52,15 +70,21 @@ FROM e JOIN f a ON a.id = e.src JOIN f b ON b.id = e.dst"""
 
 CTE["hub"] = "SELECT id, path FROM deg ORDER BY in_degree DESC, path LIMIT 1"
 
-# Walk lengths are bounded above the true depth of the graph.
+# Shortest distance of every pair: only pairs that are new to a round go on to the next.
 CTE["walk"] = """
-SELECT src AS s, dst AS t, 1 AS d FROM e
+SELECT src, dst, 1 FROM e
 UNION
-SELECT w.s, e.dst, w.d + 1 FROM walk w JOIN e ON e.src = w.t WHERE w.d < 40"""
+SELECT w.s, e.dst, min(w.d + 1) FROM walk w JOIN e ON e.src = w.t
+LEFT JOIN recurring.walk k ON k.s = w.s AND k.t = e.dst WHERE k.s IS NULL GROUP BY w.s, e.dst"""
 
-CTE["pairs"] = "SELECT s, t, min(d) AS hop FROM walk WHERE s <> t GROUP BY s, t"
+CTE["pairs"] = "SELECT s, t, d AS hop FROM walk WHERE s <> t"
 
-CTE["loops"] = "SELECT DISTINCT s AS id FROM walk WHERE s = t"
+# Distance of everything that depends on the hub.
+CTE["hubwalk"] = """
+SELECT id, 0 FROM hub
+UNION
+SELECT e.src, min(w.d + 1) FROM hubwalk w JOIN e ON e.dst = w.id
+LEFT JOIN recurring.hubwalk k ON k.id = e.src WHERE k.id IS NULL GROUP BY e.src"""
 
 CTE["comp"] = """
 SELECT a.s AS id, least(a.s, min(a.t)) AS comp
@@ -69,7 +93,7 @@ FROM pairs a JOIN pairs b ON a.s = b.t AND a.t = b.s GROUP BY a.s"""
 CTE["cyc"] = """
 SELECT comp, count(*) AS length, min(path) AS first_file,
        CASE WHEN count(*) <= 2 THEN 'low' WHEN count(*) <= 4 THEN 'medium' ELSE 'high' END AS severity,
-       string_agg(path, ' → ' ORDER BY path) AS listed
+       sum(('0x' || md5(path)[1:13])::BIGINT) || '/' || sum(('0x' || md5(path)[14:26])::BIGINT) AS sig
 FROM comp JOIN f USING (id) GROUP BY comp"""
 
 CTE["links_out"] = "SELECT src, count(*) AS n FROM e GROUP BY src"
@@ -159,14 +183,14 @@ SELECT from_path, to_path, string_split(from_path, '/')[1] AS a, string_split(to
 
 CTE["layer_hits"] = """
 SELECT from_path AS "from", to_path AS "to", a AS from_layer, b AS to_layer, a || ' cannot import ' || b AS rule
-FROM layered WHERE (a = 'economy' AND b IN ('promo', 'large')) OR (a = 'small' AND b = 'economy')"""
+FROM layered WHERE (a = 'orders' AND b IN ('promo', 'large')) OR (a = 'customers' AND b = 'orders') OR (a = 'regions' AND b = 'nations')"""
 
 CTE["banned"] = """
 SELECT from_path AS file, to_path, from_path || ' must not import ' || to_path AS detail FROM ep
-WHERE regexp_matches(from_path, '^[^/]*/core/.*$') AND regexp_matches(to_path, '^[^/]*/tests/.*$')
+WHERE regexp_matches(from_path, '^[^/]*/low/.*$') AND regexp_matches(to_path, '^[^/]*/tests/.*$')
 UNION ALL
-SELECT from_path, to_path, 'configuration stays below the web layer' FROM ep
-WHERE regexp_matches(from_path, '^(.*/)?config/[^/]*\\.java$') AND regexp_matches(to_path, '^(.*/)?[^/]*\\.ts$')"""
+SELECT from_path, to_path, 'configuration stays below the suppliers' FROM ep
+WHERE regexp_matches(from_path, '^(.*/)?config/[^/]*\\.java$') AND regexp_matches(to_path, '^suppliers/n1[^/]*/[^/]*\\.java$')"""
 
 CTE["depths"] = "SELECT s AS id, max(hop) AS depth FROM pairs GROUP BY s"
 
@@ -179,7 +203,7 @@ UNION ALL SELECT 'maxFunctionCount', 'warning', path, n_functions || ' functions
 UNION ALL SELECT 'maxFileSize', 'warning', path, loc || ' LOC (> 500)' FROM deg WHERE loc > 500
 UNION ALL SELECT 'maxDependencyDepth', 'warning', path, 'dependency depth ' || depth || ' (> 10)'
 FROM depths JOIN f USING (id) WHERE depth > 10
-UNION ALL SELECT 'noCircularDependencies', 'error', first_file, 'cycle (' || severity || '): ' || listed FROM cyc"""
+UNION ALL SELECT 'noCircularDependencies', 'error', first_file, 'cycle (' || severity || '): ' || length || ' files from ' || first_file || ', signature ' || sig FROM cyc"""
 
 CTE["broken"] = """
 SELECT * FROM limits
@@ -219,14 +243,35 @@ SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM e) AS edges,
        (SELECT count(*) FROM limits WHERE severity = 'error') AS errors,
        (SELECT count(*) FROM limits WHERE severity = 'warning') AS warnings""")
 
-CTE["hits"] = f"""
-SELECT p.t AS target, p.s AS id, p.hop, f.path, {_p(IS_TEST, "f.path")} AS test, {_p(KIND, "f.path")} AS kind,
-       {_p(STEM, "f.path")} AS stem
-FROM pairs p JOIN f ON f.id = p.s"""
+CTE["kinds"] = f"""
+SELECT id, path, {_p(IS_TEST)} AS test, {_p(KIND)} AS kind, {_p(STEM)} AS stem FROM f"""
+
+CTE["named"] = """
+SELECT a.id AS target, b.id, b.path FROM kinds a JOIN kinds b ON a.stem = b.stem AND a.id <> b.id WHERE b.test"""
+
+CTE["hubhits"] = "SELECT hub.id AS target, k.*, w.d AS hop FROM hubwalk w JOIN kinds k USING (id) CROSS JOIN hub WHERE w.d > 0"
+
+CTE["hubtests"] = """
+SELECT target, id, path, 'import' AS via FROM hubhits WHERE test
+UNION ALL
+SELECT n.target, n.id, n.path, 'naming' FROM named n JOIN hub ON hub.id = n.target
+WHERE n.id NOT IN (SELECT id FROM hubhits WHERE test)"""
+
+CTE["far"] = "SELECT id, d FROM hubwalk WHERE d > 0 ORDER BY d DESC, id LIMIT 1"
+
+# Distances from the farthest file, and the way to it from the hub by the smallest file one step nearer.
+CTE["farwalk"] = """
+SELECT id, 0 FROM far
+UNION
+SELECT e.dst, min(w.d + 1) FROM farwalk w JOIN e ON e.src = w.id
+LEFT JOIN recurring.farwalk k ON k.id = e.dst WHERE k.id IS NULL GROUP BY e.dst"""
+
+CTE["farway"] = """
+SELECT hub.id, far.d FROM hub CROSS JOIN far
+UNION ALL
+SELECT min(e.src), c.d - 1 FROM farway c JOIN e ON e.dst = c.id JOIN farwalk w ON w.id = e.src AND w.d = c.d - 1 GROUP BY c.d"""
 
-CTE["named"] = f"""
-SELECT a.id AS target, b.id, b.path FROM f a JOIN f b ON {_p(STEM, "a.path")} = {_p(STEM, "b.path")} AND a.id <> b.id
-WHERE {_p(IS_TEST, "b.path")}"""
+CTE["hits"] = "SELECT p.t AS target, p.hop, k.* FROM pairs p JOIN kinds k ON k.id = p.s"
 
 CTE["tests_of"] = """
 SELECT target, id, path, 'import' AS via FROM hits WHERE test
@@ -268,34 +313,30 @@ FROM st GROUP BY module"""
 
 # --- two revisions ---------------------------------------------------------------------------
 
-CTE["lines"] = """
-SELECT l_partkey AS src, l_quantity AS q, l_shipdate AS d,
-       LEAD(l_partkey) OVER (PARTITION BY l_orderkey
-         ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS dst
-FROM lineitem"""
+PERIODS = {"base": "o_orderdate < TIMESTAMP '1998-07-01'", "head": "o_orderdate >= TIMESTAMP '1998-01-01'"}
 
-CTE["re"] = """
-SELECT DISTINCT 'base' AS rev, src, dst FROM lines
-WHERE dst IS NOT NULL AND src <> dst AND q >= 49 AND d < TIMESTAMP '2000-01-01'
-UNION ALL
-SELECT DISTINCT 'head', src, dst FROM lines
-WHERE dst IS NOT NULL AND src <> dst AND q >= 49 AND d >= TIMESTAMP '1996-01-01'"""
+CTE["re"] = " UNION ALL ".join(f"SELECT '{rev}' AS rev, * FROM ({_keys(where)})" for rev, where in PERIODS.items())
+
+CTE["rf"] = " UNION ALL ".join(
+    f"SELECT '{rev}' AS rev, * FROM f WHERE day IS NULL OR {where.replace('o_orderdate', 'day')}" for rev, where in PERIODS.items()
+)
 
-CTE["revs"] = "SELECT 'base' AS rev UNION ALL SELECT 'head'"
+CTE["revs"] = "SELECT rev, count(*) AS n FROM rf GROUP BY rev"
 
 CTE["rdeg"] = """
-SELECT r.rev, f.*, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree,
+SELECT rf.*, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree,
        coalesce(i.n, 0) + coalesce(o.n, 0) AS degree
-FROM revs r CROSS JOIN f
-LEFT JOIN (SELECT rev, dst, count(*) AS n FROM re GROUP BY ALL) i ON i.rev = r.rev AND i.dst = f.id
-LEFT JOIN (SELECT rev, src, count(*) AS n FROM re GROUP BY ALL) o ON o.rev = r.rev AND o.src = f.id"""
+FROM rf
+LEFT JOIN (SELECT rev, dst, count(*) AS n FROM re GROUP BY ALL) i ON i.rev = rf.rev AND i.dst = rf.id
+LEFT JOIN (SELECT rev, src, count(*) AS n FROM re GROUP BY ALL) o ON o.rev = rf.rev AND o.src = rf.id"""
 
 CTE["rwalk"] = """
-SELECT rev, src AS s, dst AS t, 1 AS d FROM re
+SELECT rev, src, dst, 1 FROM re
 UNION
-SELECT w.rev, w.s, re.dst, w.d + 1 FROM rwalk w JOIN re ON re.rev = w.rev AND re.src = w.t WHERE w.d < 40"""
+SELECT w.rev, w.s, re.dst, min(w.d + 1) FROM rwalk w JOIN re ON re.rev = w.rev AND re.src = w.t
+LEFT JOIN recurring.rwalk k ON k.rev = w.rev AND k.s = w.s AND k.t = re.dst WHERE k.s IS NULL GROUP BY w.rev, w.s, re.dst"""
 
-CTE["rpairs"] = "SELECT rev, s, t, min(d) AS hop FROM rwalk WHERE s <> t GROUP BY ALL"
+CTE["rpairs"] = "SELECT rev, s, t, d AS hop FROM rwalk WHERE s <> t"
 
 CTE["rcomp"] = """
 SELECT a.rev, a.s AS id, least(a.s, min(a.t)) AS comp
@@ -304,18 +345,16 @@ FROM rpairs a JOIN rpairs b ON a.rev = b.rev AND a.s = b.t AND a.t = b.s GROUP B
 CTE["rcyc"] = """
 SELECT rev, comp, count(*) AS length, min(path) AS first_file,
        CASE WHEN count(*) <= 2 THEN 'low' WHEN count(*) <= 4 THEN 'medium' ELSE 'high' END AS severity,
-       string_agg(path, ' → ' ORDER BY path) AS listed
+       sum(('0x' || md5(path)[1:13])::BIGINT) || '/' || sum(('0x' || md5(path)[14:26])::BIGINT) AS sig
 FROM rcomp JOIN f USING (id) GROUP BY rev, comp"""
 
 CTE["rout"] = "SELECT rev, src, count(*) AS n FROM re GROUP BY ALL"
 
 CTE["rrounds"] = """
-SELECT 0 AS it, rev, id, 1.0::DOUBLE / (SELECT count(*) FROM f) AS r FROM revs CROSS JOIN f
+SELECT 0 AS it, rev, id, 1.0::DOUBLE / n AS r FROM rf JOIN revs USING (rev)
 UNION ALL
-SELECT p.it + 1, p.rev, p.id,
-       0.15 / (SELECT count(*) FROM f)
-       + 0.85 * (coalesce(m.w, 0) + coalesce(l.lost, 0) / (SELECT count(*) FROM f))
-FROM rrounds p
+SELECT p.it + 1, p.rev, p.id, 0.15 / v.n + 0.85 * (coalesce(m.w, 0) + coalesce(l.lost, 0) / v.n)
+FROM rrounds p JOIN revs v ON v.rev = p.rev
 LEFT JOIN (SELECT q.rev, re.dst, sum(q.r / o.n) AS w FROM rrounds q JOIN re ON re.rev = q.rev AND re.src = q.id
            JOIN rout o ON o.rev = q.rev AND o.src = q.id GROUP BY ALL) m ON m.rev = p.rev AND m.dst = p.id
 LEFT JOIN (SELECT q.rev, sum(q.r) AS lost FROM rrounds q ANTI JOIN rout o ON o.rev = q.rev AND o.src = q.id
@@ -345,14 +384,14 @@ UNION ALL SELECT rev, 'maxFunctionCount', 'warning', path, n_functions || ' func
 UNION ALL SELECT rev, 'maxFileSize', 'warning', path, loc || ' LOC (> 500)' FROM rdeg WHERE loc > 500
 UNION ALL SELECT rev, 'maxDependencyDepth', 'warning', path, 'dependency depth ' || max(hop) || ' (> 10)'
 FROM rpairs JOIN f ON f.id = rpairs.s GROUP BY rev, path HAVING max(hop) > 10
-UNION ALL SELECT rev, 'noCircularDependencies', 'error', first_file, 'cycle (' || severity || '): ' || listed FROM rcyc"""
+UNION ALL SELECT rev, 'noCircularDependencies', 'error', first_file, 'cycle (' || severity || '): ' || length || ' files from ' || first_file || ', signature ' || sig FROM rcyc"""
 
 CTE["rgod"] = CTE["god"].replace("SELECT path, in_degree, concat_ws", "SELECT rev, path, in_degree, concat_ws").replace(
     "FROM (SELECT path, in_degree,", "FROM (SELECT rev, path, in_degree,").replace("FROM deg)", "FROM rdeg)")
 
 CTE["rhealth"] = _health(f"""
-SELECT r.rev, (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM re WHERE re.rev = r.rev) AS edges,
-       (SELECT avg(loc) FROM f) AS loc_mean, (SELECT avg(n_functions) FROM f) AS functions_mean,
+SELECT r.rev, r.n AS files, (SELECT count(*) FROM re WHERE re.rev = r.rev) AS edges,
+       (SELECT avg(loc) FROM rf WHERE rf.rev = r.rev) AS loc_mean, (SELECT avg(n_functions) FROM rf WHERE rf.rev = r.rev) AS functions_mean,
        (SELECT count(*) FROM rcyc c WHERE c.rev = r.rev) AS cycles,
        (SELECT count(*) FROM rcomp c WHERE c.rev = r.rev) AS cycle_files,
        (SELECT count(*) FROM rgod g WHERE g.rev = r.rev) AS god_modules,
@@ -373,7 +412,7 @@ FROM rnamed GROUP BY "from", "to" HAVING count(*) = 1"""
 def _cycle_changes(base: str, head: str) -> str:
     one = """SELECT '{change}' AS change, c.first_file, f.path FROM rcyc c
       JOIN rcomp m ON m.rev = c.rev AND m.comp = c.comp JOIN f ON f.id = m.id
-      WHERE c.rev = '{here}' AND c.listed NOT IN (SELECT listed FROM rcyc WHERE rev = '{there}')"""
+      WHERE c.rev = '{here}' AND c.sig NOT IN (SELECT sig FROM rcyc WHERE rev = '{there}')"""
     new = one.format(change="new", here=head, there=base)
     return new + "\nUNION ALL\n" + one.format(change="resolved", here=base, there=head)
 
@@ -383,7 +422,7 @@ SELECT path, coalesce(max(score) FILTER (rev = 'base'), 0) AS before, coalesce(m
 FROM rhot GROUP BY path"""
 
 CTE["deg_sides"] = """
-SELECT path, CAST(sum(degree) FILTER (rev = 'base') AS BIGINT) AS before, CAST(sum(degree) FILTER (rev = 'head') AS BIGINT) AS after
+SELECT path, coalesce(CAST(sum(degree) FILTER (rev = 'base') AS BIGINT), 0) AS before, coalesce(CAST(sum(degree) FILTER (rev = 'head') AS BIGINT), 0) AS after
 FROM rdeg GROUP BY path"""
 
 CTE["module_sides"] = """
@@ -424,7 +463,7 @@ UNION ALL SELECT path, brand, 2, brand, lang FROM p WHERE lang = 'python'
 UNION ALL SELECT path, '.m' || near, 3, kind || '/' || folder || '/m' || near, lang FROM p WHERE lang = 'python'
 UNION ALL SELECT path, kind || '.' || folder || '.m' || near, 3, kind || '/' || folder || '/m' || near, lang FROM p WHERE lang = 'java'
 UNION ALL SELECT path, 'java.util.' || brand, 4, NULL, lang FROM p WHERE lang = 'java') i
-LEFT JOIN f t ON (i.lang IN ('typescript', 'javascript') AND t.path IN (i.base || '.ts', i.base || '.js'))
+LEFT JOIN p t ON (i.lang IN ('typescript', 'javascript') AND t.path IN (i.base || '.ts', i.base || '.js'))
   OR (i.lang = 'python' AND t.path = i.base || '.py') OR (i.lang = 'java' AND t.path = i.base || '.java')"""
 
 
@@ -471,7 +510,7 @@ FROM cn LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT source AS id FROM ce WH
 WHERE cn.type IN ('File', 'Directory', 'Package')"""
 
 CTE["placed"] = """
-SELECT *, CASE WHEN starts_with(path, 'small/api/') THEN 'small/api' WHEN starts_with(path, 'small/') THEN '(root)'
+SELECT *, CASE WHEN starts_with(path, 'small/api/') THEN 'small/api' WHEN starts_with(path, 'small/') OR starts_with(path, 'regions/') THEN '(root)'
           ELSE string_split(path, '/')[1] END AS package FROM f"""
 
 CTE["pkg_deps"] = """
@@ -536,8 +575,8 @@ SQL: dict[str, str] = {
     "filter_map": """SELECT id, type, degree FROM mn WHERE type IN ('File', 'Directory')
         AND (language IN ('python', 'java') OR (language IS NULL AND type = 'Directory'))
         AND (path = 'promo' OR starts_with(path, 'promo/'))""",
-    "subgraph_folder": "SELECT path, degree FROM deg WHERE starts_with(path, 'promo/')",
-    "subgraph_folder_edges": "SELECT src, dst FROM ep WHERE starts_with(from_path, 'promo/') AND starts_with(to_path, 'promo/')",
+    "subgraph_folder": "SELECT path, degree FROM deg WHERE starts_with(path, 'orders/')",
+    "subgraph_folder_edges": "SELECT src, dst FROM ep WHERE starts_with(from_path, 'orders/') AND starts_with(to_path, 'orders/')",
     "subgraph_min_degree": "SELECT path, degree FROM deg WHERE degree >= 4",
     "subgraph_limit": "SELECT path, degree FROM deg WHERE starts_with(path, 'large/') AND degree >= 2 ORDER BY degree DESC, path LIMIT 25",
     "neighbors_out_2": f"SELECT path FROM f WHERE id IN ({_hops(OUT, 2)})",
@@ -547,7 +586,8 @@ SQL: dict[str, str] = {
     "resolve_target": "SELECT id, path FROM f WHERE ends_with(path, '/core/m16.js') ORDER BY path LIMIT 1",
     "search_imports": """SELECT 'dependency' AS relation, to_path AS path FROM ep WHERE src IN (SELECT id FROM hub)
         UNION ALL SELECT 'dependent', from_path FROM ep WHERE dst IN (SELECT id FROM hub)""",
-    "reach_out": "SELECT s AS src, t AS dst, hop FROM pairs",
+    "reach_out": """SELECT s AS src, t AS dst, hop FROM pairs
+        WHERE s IN (SELECT id FROM deg ORDER BY out_degree DESC, path LIMIT 10)""",
     "reach_in": """SELECT path, count(*) AS transitive_dependents, max(hop) AS max_hop FROM pairs JOIN f ON f.id = pairs.t GROUP BY path""",
     "dependency_depth": "SELECT path, depth FROM depths JOIN f USING (id)",
     "deep_files": "SELECT path, depth FROM depths JOIN f USING (id) WHERE depth > 10",
@@ -555,9 +595,11 @@ SQL: dict[str, str] = {
         coalesce(b.n, 0) AS transitive_dependents, coalesce(a.depth, 0) AS depth, round(h.r, 9) AS centrality, h.score AS hotspot_score
         FROM hot h LEFT JOIN (SELECT s, count(*) AS n, max(hop) AS depth FROM pairs GROUP BY s) a ON a.s = h.id
         LEFT JOIN (SELECT t, count(*) AS n FROM pairs GROUP BY t) b ON b.t = h.id""",
-    "shortest_path": "SELECT s AS source, t AS target, hop AS length FROM pairs JOIN hub ON hub.id = t ORDER BY hop DESC, s LIMIT 1",
-    "reachable_from_entries": """SELECT path FROM f WHERE contains(path, '/tests/')
-        OR id IN (SELECT t FROM pairs JOIN f r ON r.id = pairs.s WHERE contains(r.path, '/tests/'))""",
+    "shortest_path": """SELECT w.id AS source, hub.id AS target, w.d AS length FROM hubwalk w CROSS JOIN hub WHERE w.d > 0
+        ORDER BY w.d DESC, w.id LIMIT 1""",
+    "path_nodes": "SELECT d::INT AS hop, path FROM farway JOIN f USING (id)",
+    "reachable_from_entries": """SELECT path FROM f WHERE contains(path, '/tests/') OR contains(path, '.test.')
+        OR id IN (SELECT t FROM pairs JOIN f r ON r.id = pairs.s WHERE contains(r.path, '/tests/') OR contains(r.path, '.test.'))""",
     "cycles": """SELECT c.first_file, c.length, c.severity, b.from_path AS break_from, b.to_path AS break_to FROM cyc c JOIN (
         SELECT x.comp, ep.from_path, ep.to_path FROM ep JOIN comp x ON x.id = ep.src JOIN comp y ON y.id = ep.dst AND y.comp = x.comp
         JOIN deg d ON d.id = ep.src
@@ -578,17 +620,22 @@ SQL: dict[str, str] = {
     "analysis_summary": """SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM cyc) AS cycles,
         (SELECT count(*) FROM top10) AS hotspots, (SELECT count(*) FROM god) AS god_modules, (SELECT count(*) FROM unused) AS unused,
         0::BIGINT AS layer_violations, (SELECT path FROM pr JOIN f USING (id) ORDER BY round(r, 12) DESC, path LIMIT 1) AS most_central""",
-    "impact_hops": """SELECT h.path, h.hop, 'imports ' || min(v.path) AS reason FROM hits h JOIN hub ON hub.id = h.target
-        JOIN e ON e.src = h.id JOIN f v ON v.id = e.dst
-        WHERE (h.hop = 1 AND v.id = h.target) OR EXISTS (SELECT 1 FROM pairs q WHERE q.s = v.id AND q.t = h.target AND q.hop = h.hop - 1)
-        GROUP BY h.path, h.hop""",
-    "affected_tests": "SELECT t.path, t.via FROM tests_of t JOIN hub ON hub.id = t.target",
-    "affected_entry_points": "SELECT h.path, h.kind FROM hits h JOIN hub ON hub.id = h.target WHERE h.kind IS NOT NULL",
-    "affected_directories": "SELECT DISTINCT regexp_replace(h.path, '/[^/]*$', '') AS dir FROM hits h JOIN hub ON hub.id = h.target",
+    "impact_hops": """SELECT h.path, h.hop, 'imports ' || min(v.path) AS reason FROM hubhits h
+        JOIN e ON e.src = h.id JOIN hubwalk w ON w.id = e.dst AND w.d = h.hop - 1 JOIN f v ON v.id = e.dst GROUP BY h.path, h.hop""",
+    "affected_tests": "SELECT path, via FROM hubtests",
+    "affected_entry_points": "SELECT path, kind FROM hubhits WHERE kind IS NOT NULL",
+    "affected_directories": "SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM hubhits",
     "blast_radius": """SELECT path, affected, direct, max_hop, tests, entries, in_cycle, round(raw, 6) AS raw_score,
         CAST(floor(round(raw, 9) + 0.5) AS BIGINT) AS score FROM blast""",
     "impact_report": """SELECT path, affected, direct, max_hop, tests, entries, in_cycle, round(raw, 6) AS raw_score,
-        CAST(floor(round(raw, 9) + 0.5) AS BIGINT) AS score FROM blast WHERE id IN (SELECT id FROM hub)""",
+        CAST(floor(round(raw, 9) + 0.5) AS BIGINT) AS score FROM (SELECT *, CASE WHEN affected = 0 THEN 0.0 ELSE
+          100.0 * (0.35 * sqrt(affected / (SELECT count(*) FROM f)) + 0.15 * least(1.0, max_hop / 6) + 0.2 * least(1.0, entries / 5)
+          + 0.1 * least(1.0, tests / 8) + 0.1 * (r / (SELECT max(r) FROM pr)) + 0.1 * in_cycle::INT) END AS raw
+        FROM (SELECT path, r, (SELECT count(*) FROM hubhits) AS affected, (SELECT count(*) FROM hubhits WHERE hop = 1) AS direct,
+                     (SELECT coalesce(max(hop), 0) FROM hubhits) AS max_hop, (SELECT count(*) FROM hubtests) AS tests,
+                     (SELECT count(kind) FROM hubhits) AS entries,
+                     EXISTS (SELECT 1 FROM e JOIN hubhits h ON h.id = e.dst WHERE e.src = hub.id) AS in_cycle
+              FROM hub JOIN pr USING (id)))""",
     "file_history": f"""SELECT path, commits, insertions, deletions, authors, {_stamp('first_date')}, {_stamp('last_date')}, churn FROM st""",
     "churn": """SELECT path, commits, churn, authors, score, CASE WHEN score < 10 THEN 'Very Low' WHEN score < 30 THEN 'Low'
         WHEN score < 55 THEN 'Medium' WHEN score < 80 THEN 'High' ELSE 'Extreme' END AS level
@@ -608,8 +655,10 @@ SQL: dict[str, str] = {
     "rename_paths": """SELECT p_partkey AS id, CASE p_partkey % 3
         WHEN 0 THEN 'src/' || lower(replace(p_brand, '#', '')) || '/m' || p_partkey
         WHEN 1 THEN lower(replace(p_brand, '#', '')) || '/m' || p_partkey ELSE 'lib/m' || p_partkey END AS path FROM part""",
-    "revision_sizes": "SELECT r.rev, (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM re WHERE re.rev = r.rev) AS edges FROM revs r",
+    "revision_sizes": "SELECT r.rev, r.n AS files, (SELECT count(*) FROM re WHERE re.rev = r.rev) AS edges FROM revs r",
     "dependency_changes": "SELECT * FROM dep_changes",
+    "file_changes": """SELECT CASE WHEN min(rev) = 'head' THEN 'added' ELSE 'removed' END AS change, path
+        FROM rf GROUP BY path HAVING count(*) = 1""",
     "cycle_changes": _cycle_changes("base", "head"),
     "cycle_changes_backward": _cycle_changes("head", "base"),
     "violation_changes": """SELECT CASE rev WHEN 'head' THEN 'new' ELSE 'resolved' END AS change, rule, severity, file, detail FROM rlimits v
@@ -623,7 +672,9 @@ SQL: dict[str, str] = {
     "coupling_trends": """(SELECT *, after - before AS delta, 'increasing' AS direction FROM module_sides WHERE after > before ORDER BY delta DESC, module LIMIT 5)
         UNION ALL (SELECT *, after - before AS delta, 'decreasing' FROM module_sides WHERE after < before ORDER BY delta, module LIMIT 5)""",
     "coupling_delta": "SELECT 2 * (SELECT sum(CASE rev WHEN 'head' THEN 1 ELSE -1 END) FROM re)::BIGINT AS blast_radius_increase",
-    "architecture_diff": f"""SELECT change || ' dependency' AS kind, "from" AS subject, "to" AS other, NULL::BIGINT AS before, NULL::BIGINT AS after FROM dep_changes
+    "architecture_diff": f"""SELECT CASE WHEN min(rev) = 'head' THEN 'added file' ELSE 'removed file' END AS kind, path AS subject,
+        NULL AS other, NULL::BIGINT AS before, NULL::BIGINT AS after FROM rf GROUP BY path HAVING count(*) = 1
+        UNION ALL SELECT change || ' dependency' AS kind, "from" AS subject, "to" AS other, NULL::BIGINT AS before, NULL::BIGINT AS after FROM dep_changes
         UNION ALL SELECT change || ' cycle', first_file, path, NULL, NULL FROM ({_cycle_changes("base", "head")})
         UNION ALL SELECT 'hotspot', path, NULL, before, after FROM hot_sides WHERE before <> after
         UNION ALL SELECT 'coupling', path, NULL, before, after FROM deg_sides WHERE before <> after""",
@@ -681,6 +732,22 @@ SQL: dict[str, str] = {
         regexp_matches(path, '(^|/)(models?|entities|entity|schema|schemas|repositor(y|ies)|migrations|dao|orm|db)/|\\.(model|entity|schema|repository|dao)\\.[^.]+$', 'i')""",
     "find_config": """SELECT path, lang, n_exports FROM f WHERE
         regexp_matches(path, '(^|/)(config|configs|settings)/|(^|/)(config|configuration|settings|constants)\\.[^.]+$|\\.config\\.[^.]+$', 'i')""",
+    "health_report": f"""SELECT 'score' AS part, item, value::VARCHAR AS value FROM
+        (SELECT overall, maintainability, stability, modularity, coupling, complexity FROM health)
+        UNPIVOT (value FOR item IN (overall, maintainability, stability, modularity, coupling, complexity))
+        UNION ALL SELECT 'score', 'grade', {GRADE} FROM health
+        UNION ALL SELECT 'count', item, value::VARCHAR FROM
+        (SELECT files, edges, cycles, cycle_files, god_modules, unused, errors, warnings FROM health)
+        UNPIVOT (value FOR item IN (files, edges, cycles, cycle_files, god_modules, unused, errors, warnings))
+        UNION ALL SELECT severity, rule || ' ' || file, detail FROM limits
+        UNION ALL SELECT 'hotspot', path, score || ': ' || reasons FROM top10""",
+    "tree_changes": """WITH base AS (SELECT lang || '/' || doc_id AS path, md5(text) AS key FROM documents),
+        head AS (SELECT CASE lang WHEN 'en' THEN source ELSE lang END || '/' || doc_id AS path, md5(rtrim(text, ' ')) AS key FROM documents),
+        gone AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY path) AS k FROM base ANTI JOIN head USING (path)),
+        come AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY path) AS k FROM head ANTI JOIN base USING (path))
+        SELECT 'M' AS status, path, NULL AS old_path FROM base JOIN head h USING (path) WHERE base.key IS DISTINCT FROM h.key
+        UNION ALL SELECT CASE WHEN g.path IS NULL THEN 'A' WHEN c.path IS NULL THEN 'D' ELSE 'R' END, coalesce(c.path, g.path),
+        CASE WHEN c.path IS NOT NULL THEN g.path END FROM gone g FULL JOIN come c ON g.key = c.key AND g.k = c.k""",
     "export_sections": """SELECT 'header' AS section, 1::BIGINT AS lines UNION ALL SELECT 'nodes', count(*) FROM p
         UNION ALL SELECT 'edges', count(DISTINCT path || resolved) FROM im WHERE resolved IS NOT NULL
         UNION ALL SELECT 'symbols', count(*) FROM sy WHERE parent IS NULL AND kind IN ('function', 'class')
@@ -693,6 +760,16 @@ SQL: dict[str, str] = {
 }
 
 
+# Recursive tables that keep one row for each key.
+HEADS = {
+    "walk": "walk(s, t, d) USING KEY (s, t)",
+    "hubwalk": "hubwalk(id, d) USING KEY (id)",
+    "farwalk": "farwalk(id, d) USING KEY (id)",
+    "farway": "farway(id, d)",
+    "rwalk": "rwalk(rev, s, t, d) USING KEY (rev, s, t)",
+}
+
+
 def _needs(text: str, known: list[str]) -> list[str]:
     return [n for n in known if re.search(rf"(?<![\w.']){n}(?![\w'])", text)]
 
@@ -709,8 +786,8 @@ def _sql(body: str) -> str:
 
     add(body)
     ordered = [n for n in CTE if n in used]
-    once = {n for n in ordered if n in ("walk", "rwalk", "rank_rounds", "rrounds")}
-    parts = [f"{n} AS {'' if n in once else 'MATERIALIZED '}({CTE[n]})" for n in ordered]
+    once = {"rank_rounds", "rrounds"}
+    parts = [HEADS[n] + f" AS ({CTE[n]})" if n in HEADS else f"{n} AS {'' if n in once else 'MATERIALIZED '}({CTE[n]})" for n in ordered]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body if parts else body
 
 

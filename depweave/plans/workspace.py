@@ -14,18 +14,18 @@ from depweave.operators.analysis import Analysis
 from depweave.session import cut, keep
 from depweave.sources import derived, tables
 
-# Rules of the example project that the part table stands for.
+# Rules of the example project that the tables stand for.
 LAYERED = AnalysisConfig(
-    layers=tuple(Layer(name, (f"{name}/**",)) for name in ("economy", "promo", "large", "small")),
-    rules=(LayerRule("economy", ("promo", "large")), LayerRule("small", ("economy",))),
+    layers=tuple(Layer(name, (f"{name}/**",)) for name in ("orders", "customers", "promo", "large", "nations", "regions")),
+    rules=(LayerRule("orders", ("promo", "large")), LayerRule("customers", ("orders",)), LayerRule("regions", ("nations",))),
 )
 STRICT = GovernanceConfig(
     forbidden_imports=(
-        ForbiddenImport("*/core/**", "*/tests/**"),
-        ForbiddenImport("**/config/*.java", "**/*.ts", "configuration stays below the web layer"),
+        ForbiddenImport("*/low/**", "*/tests/**"),
+        ForbiddenImport("**/config/*.java", "suppliers/n1*/*.java", "configuration stays below the suppliers"),
     )
 )
-PACKAGES = ("economy", "medium", "standard", "promo", "large", "small/api")
+PACKAGES = ("economy", "medium", "standard", "promo", "large", "small/api", "orders", "customers", "suppliers", "nations")
 
 
 class TableWorkspace:
@@ -37,7 +37,7 @@ class TableWorkspace:
 
     @cached_property
     def analysis(self) -> Analysis:
-        return Analysis(tables.part_graph(self.spark, self.sf_dir))
+        return Analysis(tables.table_graph(self.spark, self.sf_dir))
 
     @cached_property
     def ruled(self) -> Analysis:
@@ -46,7 +46,7 @@ class TableWorkspace:
 
     @cached_property
     def compared(self) -> Analysis:
-        return Analysis(stack_revisions(tables.part_snapshots(self.spark, self.sf_dir)))
+        return Analysis(stack_revisions(tables.table_snapshots(self.spark, self.sf_dir)))
 
     @cached_property
     def changes(self) -> DataFrame:

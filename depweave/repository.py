@@ -168,7 +168,7 @@ class Repository:
         affected = cut(impact.affected_files(a.edges, found, a.walks))
         on_cycle = a.cycle_members.join(found, "id", "left_semi").select("comp")
         return {
-            "report": impact.blast_radius(a, affected, found).drop("rev", "target"),
+            "report": impact.blast_radius(a, impact.counts_of_targets(a.files, a.edges, affected), found).drop("rev", "target"),
             "affected": impact.affected_with_reason(a.files, a.edges, affected)
             .select("path", "hop", "reason")
             .orderBy("hop", "path"),
@@ -181,7 +181,7 @@ class Repository:
     def dependency_path(self, source: str, target: str) -> DataFrame:
         a = self.analysis
         start, goal = self.resolve(source).select("id"), self.resolve(target).select("id")
-        steps = reach.shortest_path(a.edges, start, goal, a.walks)
+        steps = reach.shortest_path(a.edges, start, goal)
         return steps.join(a.files.select("id", "path"), "id").select("hop", "path").orderBy("hop")
 
     def packages(self) -> DataFrame:
@@ -324,7 +324,7 @@ class Repository:
         }
 
     def analyze_branch(self, base: str | None = None) -> dict[str, DataFrame]:
-        base, head = git.base_revision(self.root, base), "HEAD"
+        base, head = git.comparison_base(self.root, base), "HEAD"
         a = self.revisions([base, head])
         deps = compare.dependency_changes(a, base, head)
         hot = compare.hotspot_changes(a, base, head)

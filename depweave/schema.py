@@ -137,14 +137,6 @@ CHANGES = T.StructType(
     ]
 )
 
-CHANGED_FILES = T.StructType(
-    [
-        T.StructField("status", T.StringType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("old_path", T.StringType()),
-    ]
-)
-
 HEALTH_SNAPSHOT = T.StructType(
     [T.StructField("timestamp", T.StringType())]
     + [

@@ -1,92 +1,72 @@
-"""Health reports: Markdown, HTML and JSON. Lists are cut to what a reader sees."""
+"""The health report as rows, and those rows as text, HTML or JSON lines.
+
+``report_rows`` is one DataFrame with everything a report says, whole lists included. The writers take
+its rows one after the other, so a long list never stands in memory.
+"""
 
 from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-CATEGORIES = ("maintainability", "stability", "modularity", "coupling", "complexity")
-
-
-def report_data(analysis, trend: dict | None = None, violations: int = 40, hotspots: int = 10) -> dict:
-    """Everything a report shows; each list is cut before it leaves the cluster."""
-    health = analysis.health.first().asDict()
-    critical = analysis.violations.where(F.col("severity") == "error").orderBy("rule", "file", "detail")
-    top = analysis.hotspots.orderBy(F.desc("score"), "path").limit(hotspots)
-    return {
-        "health": health,
-        "critical": [r.asDict() for r in critical.limit(violations).collect()],
-        "hotspots": [r.asDict() for r in top.select("path", "score", "reasons").collect()],
-        "trend": trend,
-    }
-
-
-def _arrow(change: float) -> str:
-    return f"▲ +{change}" if change > 0 else f"▼ {change}" if change < 0 else "±0"
-
-
-def markdown(data: dict) -> str:
-    h, t = data["health"], data["trend"]
-    title = f"**Health Score: {h['overall']}/100 (grade {h['grade']})**"
-    if t and t["direction"] != "first-scan":
-        title += f" — trend: {t['direction']} ({_arrow(t['health_delta'])})"
-    out = ["# Architecture Report", "", title, "", "| Category | Score |", "| --- | ---: |"]
-    out += [f"| {c.capitalize()} | {h[c]} |" for c in CATEGORIES]
-    out += [
-        "",
-        "## Summary",
-        "",
-        f"- {h['files']} files, {h['edges']} dependencies",
-        f"- {h['cycles']} cycles · {h['god_modules']} God modules · {h['unused']} possibly-unused",
-        f"- Violations: **{h['errors']} error**, {h['warnings']} warning",
-    ]
-    if t and t["direction"] != "first-scan":
-        moves = (("Health", "health"), ("Coupling", "coupling"), ("Cycles", "cycles"), ("God modules", "god_modules"))
-        out += ["", "## Trend since last scan", ""]
-        out += ["- " + " · ".join(f"{name} {_arrow(t[key + '_delta'])}" for name, key in moves)]
-    if data["critical"]:
-        out += ["", "## Critical violations", ""]
-        out += [f"- `{v['rule']}` — {v['detail']}" for v in data["critical"][:20]]
-    if data["hotspots"]:
-        out += ["", "## Top hotspots", ""]
-        out += [f"- **{x['score']}** {x['path']} — {', '.join(x['reasons'])}" for x in data["hotspots"][:8]]
-    return "\n".join(out) + "\n"
-
-
-def html_page(data: dict, root: str) -> str:
-    """A page without outside parts; the hue of a score runs from red at 0 to green at 100."""
-    h, esc = data["health"], html.escape
-    hue = lambda score: f"hsl({int(score * 1.2 + 0.5)},70%,45%)"
-    bars = "".join(
-        f"<dt>{c.capitalize()}</dt><dd><meter min=0 max=100 value={h[c]}></meter> "
-        f'<b style="color:{hue(h[c])}">{h[c]}</b></dd>'
-        for c in CATEGORIES
-    )
-    facts = ("files", "edges", "cycles", "god_modules", "unused", "avg_degree", "errors", "warnings")
-    rows = "".join(f"<tr><td>{f.replace('_', ' ')}<td>{h[f]}" for f in facts)
-    broken = "".join(f"<li><code>{esc(v['rule'])}</code> {esc(v['detail'])}" for v in data["critical"])
-    hot = "".join(
-        f"<li><b>{x['score']}</b> {esc(x['path'])} <small>{esc(', '.join(x['reasons']))}</small>"
-        for x in data["hotspots"]
+SCORES = ("overall", "maintainability", "stability", "modularity", "coupling", "complexity", "grade")
+COUNTS = ("files", "edges", "cycles", "cycle_files", "god_modules", "unused", "errors", "warnings")
+CHANGES = ("direction", "health_delta", "coupling_delta", "cycles_delta", "god_modules_delta")
+SCHEMA = "rev string, part string, item string, value string"
+
+
+def _facts(df: DataFrame, part: str, names: Iterable[str]) -> DataFrame:
+    """A row for each of the named columns."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("item"), F.col(n).cast("string").alias("value")) for n in names])
+    return df.select("rev", F.lit(part).alias("part"), F.explode(pairs).alias("p")).select("rev", "part", "p.item", "p.value")
+
+
+def report_rows(analysis, trend: DataFrame | None = None) -> DataFrame:
+    """``(rev, part, item, value)``: scores, counts, every violation and the hotspots.
+
+    ``trend`` adds the changes since the last scan, a row of :func:`depweave.operators.health.trend`.
+    """
+    broken = analysis.violations.select(
+        "rev", F.col("severity").alias("part"), F.concat_ws(" ", "rule", "file").alias("item"), F.col("detail").alias("value")
     )
-    return (
-        "<!doctype html><meta charset=utf-8><title>Architecture Report</title>"
-        f"<h1>Architecture Report: {esc(root)}</h1>"
-        f'<p style="font-size:3em;color:{hue(h["overall"])}">{h["overall"]} <small>grade {h["grade"]}</small></p>'
-        f"<dl>{bars}</dl><table>{rows}</table>"
-        + (f"<h2>Critical violations</h2><ul>{broken}</ul>" if broken else "")
-        + (f"<h2>Hotspots</h2><ul>{hot}</ul>" if hot else "")
+    hot = analysis.hotspots.select(
+        "rev", F.lit("hotspot").alias("part"), F.col("path").alias("item"),
+        F.concat(F.col("score").cast("string"), F.lit(": "), F.array_join("reasons", "; ")).alias("value"),
     )
+    rows = _facts(analysis.health, "score", SCORES).unionByName(_facts(analysis.health, "count", COUNTS))
+    if trend is not None:
+        rows = rows.unionByName(_facts(trend.withColumnRenamed("timestamp", "rev"), "change", CHANGES))
+    return rows.unionByName(broken).unionByName(hot)
+
+
+def ordered(rows: DataFrame) -> Iterator[Row]:
+    """The rows in reading order, a partition at a time."""
+    return rows.orderBy("rev", "part", "item", "value").toLocalIterator()
+
+
+def text_lines(rows: Iterable[Row]) -> Iterator[str]:
+    part = None
+    for row in rows:
+        if row["part"] != part:
+            part = row["part"]
+            yield f"[{part}]"
+        yield f"  {row['item']} = {row['value']}"
 
 
-def json_report(data: dict) -> str:
-    return json.dumps(data, indent=2, ensure_ascii=False, default=str)
+def html_lines(rows: Iterable[Row], title: str) -> Iterator[str]:
+    """A page of one table; scores are drawn as meters."""
+    yield f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table>"
+    for row in rows:
+        part, item, value = (html.escape(str(row[c])) for c in ("part", "item", "value"))
+        drawn = f"<meter min=0 max=100 value={value}></meter> {value}" if part == "score" and value.isdigit() else value
+        yield f"<tr class={part}><td>{part}<td>{item}<td>{drawn}"
+    yield "</table>"
 
 
-def markdown_lines(analysis) -> DataFrame:
-    """The Markdown report as rows ``(line, text)``."""
-    lines = list(enumerate(markdown(report_data(analysis)).split("\n")))
-    return analysis.files.sparkSession.createDataFrame(lines, "line int, text string")
+def json_lines(rows: Iterable[Row]) -> Iterator[str]:
+    for row in rows:
+        yield json.dumps({c: row[c] for c in ("part", "item", "value")}, ensure_ascii=False)

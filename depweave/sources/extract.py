@@ -17,59 +17,59 @@ from pyspark.sql import DataFrame
 
 from depweave.schema import FACTS
 from depweave.session import ship_package
+from depweave.sources.indented import indented_facts
+from depweave.sources.lexer import VALUE_SIGNS, Lexer, closers
 
-_TOKEN = re.compile(
+_JAVA_TOKEN = re.compile(
     r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))"
-    r"|(?P<str>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')"
+    r"|(?P<str>\"{3}.*?\"{3}|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')"
     r"|(?P<id>[#@]?[A-Za-z_$\u0080-￿][\w$]*)"
     r"|(?P<num>\d[\w.]*)"
-    r"|(?P<tpl>`)"
     r"|(?P<p>=>|\.\.\.|[^\s])",
     re.S,
 )
-_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
-_BEFORE_VALUE = set("= ( , ? : => { [ ! & | + - * % < > ~ ^ ; return typeof new void case in of await throw".split())
+_BEFORE_VALUE = VALUE_SIGNS - {"/"} | set("return typeof new void case in of await throw".split())
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
 
 
 class _Tokens(list):
-    """Tokens ``(kind, text, line)`` of a brace language and its comments."""
+    """Tokens ``(kind, text, line)`` of a brace language and its comments, last first."""
 
-    def __init__(self, text: str, quotes: bool):
-        self.comments: list[str] = []
+    def __init__(self, tokens: list, spans: list, source: str, comments: list[str]):
+        super().__init__(tokens)
+        self.spans, self.source, self.comments = spans, source, comments[::-1]
+        self.ends = closers(tokens, spans, source)
+
+    @classmethod
+    def script(cls, text: str, typed: bool) -> _Tokens:
+        read = Lexer(text, typed)
+        return cls(read.tokens, read.spans, text, read.comments)
+
+    @classmethod
+    def java(cls, text: str) -> _Tokens:
+        tokens, spans, comments = [], [], []
         at, line = 0, 1
-        while (m := _TOKEN.search(text, at)) is not None:
+        while (m := _JAVA_TOKEN.search(text, at)) is not None:
             line += text.count("\n", at, m.start())
-            kind, piece, end = m.lastgroup, m.group(), m.end()
-            last = self[-1][1] if self else ";"
-            if kind == "tpl":
-                end = _template_end(text, end) if quotes else end
-                kind, piece = "str", text[m.start() : end]
-            elif piece == "/" and quotes and last in _BEFORE_VALUE:
-                if (r := _REGEX.match(text, m.start())) is not None:
-                    kind, piece, end = "re", r.group(), r.end()
-            if kind == "comment":
-                self.comments.append(piece)
+            if m.lastgroup == "comment":
+                comments.append(m.group())
             else:
-                self.append((kind, piece, line))
-            line += piece.count("\n")
-            at = end
-        self.comments.reverse()
+                tokens.append((m.lastgroup, m.group(), line))
+                spans.append(m.span())
+            line += m.group().count("\n")
+            at = m.end()
+        return cls(tokens, spans, text, comments)
 
     def text(self, i: int) -> str:
         return self[i][1] if 0 <= i < len(self) else ""
 
+    def raw(self, i: int, stop: int) -> str:
+        """The source of the tokens from ``i`` up to ``stop``, as it is written."""
+        return self.source[self.spans[i][0] : self.spans[stop - 1][1]] if i < stop <= len(self) else ""
+
     def after(self, i: int) -> int:
         """Index after the bracket group opened at ``i``."""
-        depth = 0
-        while i < len(self):
-            kind, piece, _ = self[i]
-            if kind == "p":
-                depth += (piece in "([{") - (piece in ")]}")
-            i += 1
-            if depth <= 0:
-                break
-        return i
+        return self.ends[i] if i < len(self) else i + 1
 
     def until(self, i: int, stops: str) -> int:
         """Index of the first of ``stops`` outside brackets."""
@@ -77,20 +77,24 @@ class _Tokens(list):
             i = self.after(i) if self[i][1] in _CLOSE and self[i][0] == "p" else i + 1
         return i
 
+    def angle(self, i: int) -> int:
+        """Index after the type parameters or arguments opened by ``<`` at ``i``; ``i`` if it compares."""
+        depth, at = 0, i
+        while at < len(self):
+            kind, piece, _ = self[at]
+            if piece == "<":
+                depth += 1
+            elif piece == ">":
+                depth -= 1
+                if not depth:
+                    return at + 1
+            elif kind == "p" and piece not in _IN_TYPES:
+                return i
+            at = self.after(at) if piece in _CLOSE and kind == "p" else at + 1
+        return i
+
 
-def _template_end(text: str, at: int) -> int:
-    depth = 0
-    while at < len(text):
-        if text[at] == "\\":
-            at += 1
-        elif text.startswith("${", at):
-            depth += 1
-        elif text[at] == "}" and depth:
-            depth -= 1
-        elif text[at] == "`" and not depth:
-            return at + 1
-        at += 1
-    return at
+_IN_TYPES = set(", . | & ? : = => [ ( { ...".split())
 
 
 def _symbol(name, kind, line, exported, parent=None, extends=None, implements=None, doc=None):
@@ -113,7 +117,7 @@ def _facts(symbols=(), imports=(), exports=(), comments=()):
 
 
 def script_facts(text: str, typed: bool) -> dict:
-    t = _Tokens(text, quotes=True)
+    t = _Tokens.script(text, typed)
     symbols, imports, exports = [], [], []
 
     def heritage(i: int, end: int) -> tuple[list[str], list[str]]:
@@ -168,9 +172,9 @@ def script_facts(text: str, typed: bool) -> dict:
         while True:
             if t.text(i) in _CLOSE:
                 stop = t.after(i)
-                name = "".join(t.text(k) for k in range(i, stop))
+                name = t.raw(i, stop)  # a pattern is named as it is written
             else:
-                name, stop = t.text(i), i + 1
+                name, stop = (t.text(i) if i < len(t) and t[i][0] == "id" else ""), i + 1
             value, stop = _declarator_value(t, stop)
             kind = "function" if value is not None and _is_function(t, value) else "variable"
             if on and name:
@@ -193,7 +197,7 @@ def script_facts(text: str, typed: bool) -> dict:
             if kind != "id" or prev == "." or (t.text(i) == ":" and word in _DECLARING):
                 exported = exported and kind == "id"
                 continue
-            plain = prev not in _BEFORE_VALUE or prev in (";", "{", ":", "")
+            plain = prev not in _BEFORE_VALUE or prev in (";", "{", ":", "") or word in _STARTS and line > t[start - 1][2]
             if word == "import" and t.text(i) == "(" or word == "require" and t.text(i) == "(":
                 if i + 1 < len(t) and t[i + 1][0] == "str" and t.text(i + 1)[0] != "`":
                     imports.append((t.text(i + 1)[1:-1], line))
@@ -298,7 +302,7 @@ def _declarator_value(t: _Tokens, i: int) -> tuple[int | None, int]:
     while i < len(t) and t.text(i) not in ("=", ",", ";", "}", "of", "in"):
         if t[i][2] != t[i - 1][2] and t.text(i - 1) not in (":", "|", "&", "<", ",", "=>"):
             return None, i
-        i = t.after(i) if t.text(i) in _CLOSE else i + 1
+        i = max(t.angle(i), i + 1) if t.text(i) == "<" else t.after(i) if t.text(i) in _CLOSE else i + 1
     return (i + 1 if t.text(i) == "=" else None), i
 
 
@@ -307,7 +311,7 @@ def _is_function(t: _Tokens, i: int) -> bool:
     if t.text(i) == "function":
         return t.text(i + 1) != "*"
     if t.text(i) == "<":
-        i = t.until(i, "(")
+        i = t.angle(i)
     if t.text(i) == "(":
         i = t.after(i)
         return t.text(i) == "=>" or (t.text(i) == ":" and "=>" in [t.text(k) for k in range(i, t.until(i, ";{}"))])
@@ -322,18 +326,28 @@ def _statement_end(t: _Tokens, i: int, end: int, commas: bool = False) -> int:
         if t[i][0] == "p" and (word in ";)]}" or (commas and word == ",")):
             return i
         if i > first and t[i][2] > t[i - 1][2] + t[i - 1][1].count("\n"):
+            if word in _STARTS and (word != "import" or t.text(i + 1) not in ("(", ".")):
+                return i
             goes_on = t.text(i - 1) in _BEFORE_VALUE or t[i - 1][1] in (".", "/", "as", "extends")
             if not goes_on and (t[i][0] in ("id", "str", "num") and word not in ("as", "in", "instanceof", "of") or word == "@"):
                 return i
-        i = t.after(i) if word in _CLOSE and t[i][0] == "p" else i + 1
+        if word == "<" and t[i][0] == "p" and (behind := t.angle(i)) > i and t.text(behind) in _AFTER_TYPES:
+            i = behind  # commas between type arguments part nothing
+        else:
+            i = t.after(i) if word in _CLOSE and t[i][0] == "p" else i + 1
     return end
 
 
+# Words that never go on an expression.
+_STARTS = {"export", "import", "const", "let", "var"}
+_AFTER_TYPES = set("( ) , ; [ ] } . ` =>".split()) | {""}
+
+
 # --- Java ------------------------------------------------------------------------------------
 
 
 def java_facts(text: str) -> dict:
-    t = _Tokens(text, quotes=False)
+    t = _Tokens.java(text)
     symbols, imports, exports = [], [], []
 
     def declared_at(i: int) -> int:
@@ -449,7 +463,7 @@ def python_facts(text: str) -> dict:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
-        return _broken_python(text)
+        return python_by_indentation(text)
     symbols, imports, exports = [], [], []
     for node in tree.body:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -482,6 +496,14 @@ def python_facts(text: str) -> dict:
     return _facts(symbols, imports, exports, _python_comments(text))
 
 
+def python_by_indentation(text: str) -> dict:
+    """As :func:`python_facts`, also for texts that do not parse."""
+    symbols, imports, comments = indented_facts(text)
+    plain = [s.pop("plain", True) for s in symbols]
+    exports = [s["name"] for s, p in zip(symbols, plain) if p and s["exported"] and s["kind"] in ("function", "class")]
+    return _facts([_symbol(**s) for s in symbols], imports, exports, comments)
+
+
 def _defined(node, kind: str, parent=None, extends=None) -> dict:
     doc = ast.get_docstring(node, clean=False)
     doc = doc.strip() if doc is not None else None
@@ -499,26 +521,6 @@ def _python_comments(text: str) -> list[str]:
     return found[::-1]
 
 
-_BROKEN = re.compile(
-    r"^(?:(?:async[ \t]+)?def[ \t]+(?P<function>\w+)|class[ \t]+(?P<class>\w+)"
-    r"|import[ \t]+(?P<import>[\w.]+)|from[ \t]+(?P<source>[\w.]+)[ \t]+import\b)",
-    re.M,
-)
-
-
-def _broken_python(text: str) -> dict:
-    """Top-level declarations and imports of a text that does not parse."""
-    symbols, imports = [], []
-    for m in _BROKEN.finditer(text):
-        kind, name = m.lastgroup, m.group(m.lastgroup)
-        line = text.count("\n", 0, m.start()) + 1
-        if kind in ("function", "class"):
-            symbols.append(_symbol(name, kind, line, not name.startswith("_")))
-        else:
-            imports.append((name, line))
-    return _facts(symbols, imports, [s["name"] for s in symbols if s["exported"]], _python_comments(text))
-
-
 # --- The operator ----------------------------------------------------------------------------
 
 # One entry per language; another language is added here and nowhere else.

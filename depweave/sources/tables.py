@@ -1,15 +1,26 @@
-"""The given tables read as a repository: parts are files, orders link them, events change them."""
+"""The given tables read as a repository: rows are files, their keys the imports, events the changes.
+
+Every row of ``region``, ``nation``, ``customer``, ``supplier``, ``part`` and ``orders`` is a file, and every key
+between them, also those of each row of ``lineitem``, is an import. The orders of a customer form a chain
+in the order of their dates; the customer imports its latest one. So the graph has hubs (nations,
+suppliers), long chains, many cycles of some ten files, and layers.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweave.model import DepGraph
 from depweave.operators.skew import lead_by_group
 
-# Keeps the derived graph sparse: short cycles and long chains instead of one large component.
-MIN_QUANTITY = 49
+# Number of each kind in the ids of files; parts keep their keys, which are not negative.
+KINDS = {"orders": 1, "customers": 2, "suppliers": 3, "nations": 4, "regions": 5}
+# Two revisions: orders up to, and from, these days. They overlap by half a year.
+BASE_BEFORE = "1998-07-01"
+HEAD_FROM = "1998-01-01"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,39 +60,96 @@ def part_files(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     )
 
 
-def _next_on_order(spark: SparkSession, sf_dir: str, with_date: bool) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem")
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    if with_date:
-        order.append("l_shipdate")
-    rows = lines.count()  # answered from the file footers
-    slim = lines.select("l_orderkey", *order)
-    return lead_by_group(slim, "l_orderkey", order, "l_partkey", "dst", rows)
+def file_id(kind: str, key: Column) -> Column:
+    return -(key * 8 + KINDS[kind])
 
 
-def _edges(lines: DataFrame) -> DataFrame:
-    keep = F.col("dst").isNotNull() & (F.col("l_partkey") != F.col("dst")) & (F.col("l_quantity") >= MIN_QUANTITY)
-    return lines.where(keep).select(F.col("l_partkey").alias("src"), "dst").distinct()
+def _files(kind: str, rows: DataFrame, key: Column, path: Column, lang: str) -> DataFrame:
+    number = (key % 60).cast("int")
+    return rows.select(
+        F.lit("head").alias("rev"), file_id(kind, key).alias("id"), path.alias("path"), F.lit(lang).alias("lang"),
+        (number * 10).alias("loc"), (number * 400).cast("long").alias("size"), (key % 18).cast("int").alias("n_exports"),
+        (key % 45).cast("int").alias("n_functions"), (key % 8).cast("int").alias("n_classes"),
+    )
 
 
-def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A part imports the part on the next line of the same order."""
-    return _edges(_next_on_order(spark, sf_dir, with_date=False))
+def _named(prefix: str, name: Column, *rest: Column | str) -> Column:
+    plain = F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_")
+    return F.concat(F.lit(f"{prefix}/"), plain, *[F.lit(r) if isinstance(r, str) else r for r in rest])
+
+
+def table_files(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """One file per row of the six tables; ``orders`` may be those of a period."""
+    orders = read(spark, sf_dir, "orders") if orders is None else orders
+    urgency = F.regexp_replace(F.lower(F.col("o_orderpriority").substr(3, 20)), "[^a-z]+", "_")
+    test = F.when(F.col("o_orderstatus") == "P", ".test").otherwise("")
+    order = F.col("o_orderkey")
+    files = [
+        part_files(spark, sf_dir),
+        _files("orders", orders, order, F.concat(F.lit("orders/"), urgency, F.lit("/o"), order.cast("string"), test, F.lit(".ts")), "typescript"),
+    ]
+    for kind, table, path, lang in (
+        ("customers", "customer", _named("customers", F.col("c_mktsegment"), "/c", F.col("c_custkey").cast("string"), ".py"), "python"),
+        ("suppliers", "supplier", F.concat(F.lit("suppliers/n"), F.col("s_nationkey").cast("string"), F.lit("/s"), F.col("s_suppkey").cast("string"), F.lit(".java")), "java"),
+        ("nations", "nation", _named("nations", F.col("n_name"), "/index.js"), "javascript"),
+        ("regions", "region", _named("regions", F.col("r_name"), "/index.ts"), "typescript"),
+    ):
+        key = {"customer": "c_custkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey"}[table]
+        files.append(_files(kind, read(spark, sf_dir, table), F.col(key), path, lang))
+    return reduce(DataFrame.unionByName, files)
+
+
+def table_edges(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Distinct imports ``(src, dst)`` by every key of the tables; ``orders`` may be those of a period."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    if orders is None:
+        orders = read(spark, sf_dir, "orders")
+    else:
+        lines = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    dated = orders.select("o_custkey", "o_orderdate", "o_orderkey")
+    rows = dated.count()
+    newest_first = dated.withColumn("back", -F.unix_micros(F.col("o_orderdate").cast("timestamp"))).withColumn("minus", -F.col("o_orderkey"))
+    chain = lead_by_group(newest_first, "o_custkey", ["back", "minus"], "o_orderkey", "before", rows).where("before IS NOT NULL")
+    latest = dated.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
+
+    def link(df: DataFrame, source: Column, target: Column) -> DataFrame:
+        return df.select(source.alias("src"), target.alias("dst"))
+
+    def of(kind: str, key: str) -> Column:
+        return F.col(key) if kind == "parts" else file_id(kind, F.col(key))
+
+    nations = read(spark, sf_dir, "nation")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            link(orders, of("orders", "o_orderkey"), of("customers", "o_custkey")),
+            link(chain, of("orders", "o_orderkey"), of("orders", "before")),
+            link(latest, of("customers", "o_custkey"), of("orders", "latest")),
+            link(lines, of("orders", "l_orderkey"), of("parts", "l_partkey")).distinct(),
+            link(lines, of("parts", "l_partkey"), of("suppliers", "l_suppkey")).distinct(),
+            link(read(spark, sf_dir, "customer"), of("customers", "c_custkey"), of("nations", "c_nationkey")),
+            link(read(spark, sf_dir, "supplier"), of("suppliers", "s_suppkey"), of("nations", "s_nationkey")),
+            link(nations, of("nations", "n_nationkey"), of("regions", "n_regionkey")),
+            link(nations, of("regions", "n_regionkey"), of("nations", "n_nationkey")),
+        ],
+    )
 
 
-def part_graph(spark: SparkSession, sf_dir: str) -> DepGraph:
-    return DepGraph.of(part_files(spark, sf_dir), order_edges(spark, sf_dir), trusted=True)
+def table_graph(spark: SparkSession, sf_dir: str) -> DepGraph:
+    return DepGraph.of(table_files(spark, sf_dir), table_edges(spark, sf_dir), trusted=True)
 
 
-def part_snapshots(spark: SparkSession, sf_dir: str) -> dict[str, DepGraph]:
-    """Two revisions of the part graph, told apart by ship date."""
-    lines = _next_on_order(spark, sf_dir, with_date=True)
-    files = part_files(spark, sf_dir)
-    base = lines.where(F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
-    head = lines.where(F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz"))
+def table_snapshots(spark: SparkSession, sf_dir: str) -> dict[str, DepGraph]:
+    """Two revisions: the orders of an earlier and of a later period, with all that they may import."""
+    orders = read(spark, sf_dir, "orders")
+    day = F.col("o_orderdate")
+    periods = {
+        "base": orders.where(day < F.lit(BASE_BEFORE).cast("timestamp_ntz")),
+        "head": orders.where(day >= F.lit(HEAD_FROM).cast("timestamp_ntz")),
+    }
     return {
-        "base": DepGraph.of(files, _edges(base), "base", trusted=True),
-        "head": DepGraph.of(files, _edges(head), "head", trusted=True),
+        rev: DepGraph.of(table_files(spark, sf_dir, some), table_edges(spark, sf_dir, some), rev, trusted=True)
+        for rev, some in periods.items()
     }
 
 

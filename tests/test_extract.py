@@ -1,5 +1,11 @@
 """Golden facts of short sources in every language."""
 
+import ast
+import os
+import time
+from pathlib import Path
+
+from depweave.sources import extract
 from depweave.sources.extract import EXTRACTORS, facts_or_empty
 
 TS = '''
@@ -54,6 +60,58 @@ def test_typescript():
     assert facts["comments"] == ["/* c2 */", "// c1"]
 
 
+ODD_SCRIPT = """#!/usr/bin/env node
+export const a1 = `one ${`two ${ {x: "}"}.x } \\` three`} four`;
+export const a2 = <T,>(x: T) => x;
+export const { aa, bb } = make(), [c1 = 2] = list;
+export const half = (a1) / 2; // not / a pattern
+if (a1) /['"`]/.test(b);
+export const rx = /[/"]\\/`/g.exec("`");
+const m: Map<string, number> = new Map<string, Array<number>>(), n2 = 1;
+export const view = () => <div title="it's" on={() => { const q = `}`; return q; }}>
+  // not a comment, don't stop {list.map((x) => <li key={x}>{x}'s `tick</li>)}
+  <Foo.Bar /> <></>
+</div>;
+export function after<T extends { a: string }>(x: T) { return x < 3 && y > 2; }
+let i = 0; i++ / 2; const j = x! / 4 / 1;
+export const lazy = `${require("./in-template")}`;
+const cmp = a < b, d9 = c > d;
+export const cast = <number>half;
+function* gen() { yield /x"/; }
+export { last as named } from "./last";
+"""
+
+
+def test_templates_patterns_and_tags_hide_nothing():
+    facts = EXTRACTORS["typescript"](ODD_SCRIPT)
+    assert facts["exports"] == [
+        "a1", "a2", "{ aa, bb }", "[c1 = 2]", "half", "rx", "view", "after", "lazy", "cast", "last",
+    ]
+    kinds = {s["name"]: s["kind"] for s in facts["symbols"]}
+    assert kinds == {
+        "a1": "variable", "a2": "function", "{ aa, bb }": "variable", "[c1 = 2]": "variable", "half": "variable",
+        "rx": "variable", "m": "variable", "n2": "variable", "view": "function", "after": "function", "i": "variable",
+        "j": "variable", "lazy": "variable", "cmp": "variable", "d9": "variable", "cast": "variable", "gen": "function",
+    }
+    assert raws(facts) == ["./in-template", "./last"]
+    assert facts["comments"] == ["// not / a pattern", "#!/usr/bin/env node"]
+
+
+def test_what_never_ends_costs_only_itself():
+    for start in ("const t = `open", "const v = <div>text", "f(a, {", "/* open", "class A { m() {", "x = [1, ("):
+        facts = EXTRACTORS["javascript"](f'import "./first";\n{start}\nexport const kept = 1;\nexport function f2() {{}}\nimport "./end";\n')
+        assert facts["exports"] == ["kept", "f2"], start
+        assert raws(facts) == ["./first", "./end"], start
+
+
+def test_a_minified_line_is_read_in_time():
+    text = "export const k=`${[1].map(x=>`a${x}`)}`,f=(a)=>/[/]/.test(a)?<b>{a}</b>:a/2;" * 3000
+    start = time.perf_counter()
+    facts = EXTRACTORS["javascript"](text)
+    assert facts["exports"] == ["k", "f"] and len(facts["symbols"]) == 6000
+    assert time.perf_counter() - start < 20
+
+
 def test_members_are_never_exported_and_know_their_class():
     facts = EXTRACTORS["typescript"]("export class A { b = 1; c() {} }")
     assert [(s["name"], s["parent"], s["exported"]) for s in facts["symbols"][1:]] == [
@@ -115,6 +173,78 @@ def test_python_that_does_not_parse_keeps_its_top_level():
     assert raws(facts) == ["os", ".a"] and names(facts) == ["f", "C"]
 
 
+BROKEN = '''# old
+import os, sys as system, a.b
+from . import near; from ..far import (x,
+    y)
+LIMIT = 10; other: int = 3
+if LIMIT:
+    import inside
+    try: import urllib2
+    except ImportError, e: import urllib.request
+class Old(Base, mod.Mixin, metaclass=M, object):
+    """Kept."""
+    name = "no symbol"
+    def method(self, x=(1, 2)):
+        "Short"
+        print "import nothing"
+        def inner(): import hidden
+    @property
+    def _private(self): return self._x
+    class Inner: pass
+async def work(a, b={"k": [1]}):
+    ''' + "'''long\n    text'''" + '''
+    exec "code" in scope
+@wrapped
+def decorated(): pass
+def open_bracket(a, b
+    return call(1,
+class After:
+    def still(self): pass
+text = """def no(): pass
+import no"""
+total = 1 \\
+    + 2
+total += 1
+def _hidden(): pass
+'''
+
+
+def test_python_that_does_not_parse_loses_only_the_broken_line():
+    facts = EXTRACTORS["python"](BROKEN)
+    assert raws(facts) == ["os", "sys", "a.b", ".", "..far", "inside", "urllib2", "urllib.request"]
+    found = [(s["name"], s["kind"], s["parent"], s["doc"]) for s in facts["symbols"]]
+    assert found == [
+        ("LIMIT", "variable", None, None), ("other", "variable", None, None), ("Old", "class", None, "Kept."),
+        ("method", "method", "Old", "Short"), ("_private", "method", "Old", None), ("work", "function", None, "long\n    text"),
+        ("decorated", "function", None, None), ("open_bracket", "function", None, None), ("After", "class", None, None),
+        ("still", "method", "After", None), ("text", "variable", None, None), ("total", "variable", None, None),
+        ("_hidden", "function", None, None),
+    ]
+    assert next(s for s in facts["symbols"] if s["name"] == "Old")["extends"] == ["Base", "mod.Mixin", "object"]
+    assert facts["exports"] == ["Old", "work", "open_bracket", "After"]
+    assert facts["comments"] == ["# old"]
+
+
+def test_indentation_reader_agrees_with_the_parser_on_sound_texts():
+    """Modules of the standard library: every symbol, line, base, text, import and comment."""
+    folder = Path(os.__file__).parent
+    read = 0
+    for file in sorted([*folder.glob("*.py"), *folder.glob("*/*.py")])[::9]:
+        try:
+            text = file.read_text(encoding="utf-8")
+            ast.parse(text)
+        except (SyntaxError, UnicodeDecodeError):
+            continue
+        if "\\" in text and '"""' in text or len(text) > 60_000:  # escapes in texts are read as they are written
+            continue
+        mine, theirs = (extract.python_by_indentation(text), extract.python_facts(text))
+        for key in ("symbols", "imports", "exports", "comments"):
+            assert sorted(map(str, mine[key])) == sorted(map(str, theirs[key])), (file.name, key)
+        read += 1
+    assert read > 25
+
+
 JAVA = """package a.b;
 import static java.util.Map.of;
 import java.util.*;
