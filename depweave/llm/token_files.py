@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import os
-import re
 import uuid
 import zlib
 from array import array
@@ -12,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,31 +22,17 @@ END = 2
 # Ids of a sequence, and sequences of a record batch.
 LENGTH = 1024
 BATCH = 512
-# Words whose ids a worker remembers.
-REMEMBERED = 500_000
-_ODD = regex.compile(r"['\p{N}\p{M}<]")
-_MARKS = regex.compile(r"[^\s\p{L}\p{N}\p{M}]+")
-_RUNS = regex.compile(r"\p{L}+|[^ \p{L}]+")
-_ASCII_RUNS = re.compile(r"[a-z]+|[^ a-z]+")
-_PIECES = regex.compile(r"[^ ]*['\p{N}\p{M}<][^ ]*|\p{L}+|[^ \p{L}]+")
-
-
-def _byte_letters() -> dict[int, int]:
-    """Letters that stand for bytes: printable ones for themselves, the others from 256 upwards."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in plain]
-    return {b: 256 + i for i, b in enumerate(rest)}
-
-
-_BYTE_LETTERS = _byte_letters()
+# Words whose ids a worker remembers, in two generations of so many each.
+REMEMBERED = 400_000
 
 
 class Encoder:
-    """Ids of whole texts; a word's ids are worked out once.
+    """Ids of whole texts by the tokenizer library; a word's ids are worked out once.
 
-    The tokenizer parts texts at white space and letters from marks, and ignores case. So a text is
-    cut into runs of letters and runs of marks, each one piece to the tokenizer, and words with
-    numbers, quotes, special tokens or loose accents, which are encoded whole.
+    Words are what stands between ASCII white space. The tokenizer composes, lowers, and parts a text
+    inside such words only: white space neither composes with a letter nor is part of a token, and no
+    special token holds any. So the ids of a text are those of its words, one after the other, and each word is encoded
+    by the library as it stands.
     """
 
     def __init__(self, file: str):
@@ -57,47 +41,31 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
-        # Ids of a piece as the bytes of 32-bit numbers, which join without a Python number for each.
-        self.known: dict[str, bytes] = {}
-
-    def _uniform(self, part: str) -> list[int] | None:
-        """Ids of a run of letters or of marks; None if its letters turn into something else."""
-        if not part.isascii():
-            part = self.normalizer.normalize_str(part)
-            if not (part.isalpha() or _MARKS.fullmatch(part)):
-                return None
-            part = part.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        elif not part.isprintable():
-            return None
-        elif not part.islower() and part.isalpha():
-            part = part.lower()
-        return [t.id for t in self.model.tokenize(part)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, with the end id."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = []
-        for text in texts:
-            plain = b" ".join(text.encode().split()).decode()
-            # Case goes at once, unless it could make a special token or a letter with its accent.
-            plain = plain.lower() if plain.isascii() and "<|" not in plain else plain
-            if _ODD.search(plain):
-                cut.append(_PIECES.findall(plain))
-            else:
-                cut.append((_ASCII_RUNS if plain.isascii() else _RUNS).findall(plain))
-        known, whole = self.known, []
-        for part in set(itertools.chain.from_iterable(cut)) - known.keys():
-            found = self._uniform(part) if part.isalpha() or not _ODD.search(part) else None
-            if found is None:
-                whole.append(part)
+        # Ids of a word as the bytes of 32-bit numbers, which join without a Python number for each.
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _learn(self, words: set[bytes]) -> None:
+        new = []
+        for word in words:
+            ids = self.older.get(word)
+            if ids is None:
+                new.append(word)
             else:
-                known[part] = array("I", found).tobytes()
-        for part, found in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False)):
-            known[part] = array("I", found.ids).tobytes()
-        end = array("I", [END]).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)) + end, np.uint32) for pieces in cut]
+                self.known[word] = ids
+        for at in range(0, len(new), 5000):
+            some = new[at : at + 5000]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            self.known.update((word, array("I", x.ids).tobytes()) for word, x in zip(some, found))
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text (UTF-8), with the end id."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        cut = [text.split() for text in texts]
+        self._learn(set(itertools.chain.from_iterable(cut)) - self.known.keys())
+        known, end = self.known, array("I", [END]).tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)) + end, np.uint32) for words in cut]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -194,7 +162,7 @@ def _written(folder: str, file: str, length: int):
         ids, starts, sizes, at = [], [], [], 0
         writer = sink = None
         for batch in batches:
-            column = batch.column("text")
+            column = batch.column("text").cast(pa.binary())
             for lo in range(0, len(batch), 200):
                 texts = code.encode(column[lo : lo + 200].to_pylist())
                 if writer is None:

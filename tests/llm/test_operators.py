@@ -1,6 +1,7 @@
 """The training-data operators against plain Python, on a small table with every odd case."""
 
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -264,10 +265,33 @@ def test_token_files(docs, rows, spark, tmp_path):
     assert len(ids) == len(mask) == 64
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|> x<|startoftext|>y", "İstanbul ΟΔΥΣΣΕΎΣ,", "don't I'LL x²³", "J̌ \x00\x1f a\x85b_c", "🙂a"])
-def test_encoder_is_the_tokenizer(text):
+def same_ids(texts):
     code = token_files.encoder(token_files.TOKENIZER)
-    assert code.encode([text])[0].tolist() == [*code.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    theirs = code.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    for text, mine, ids in zip(texts, code.encode([t.encode() for t in texts]), theirs):
+        assert mine.tolist() == [*ids.ids, 2], text
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["<|endoftext|> x<|startoftext|>y", "İstanbul ΟΔΥΣΣΕΎΣ,", "don't I'LL x²³", "J̌ \x00\x1f a\x85b_c", "🙂a", "BELKİ, EVET İKİ. ÜÇ",
+     "क़, ड़, য়, ਸ਼.", "a\x1cb \u00a0c\u2003,d e\u0301", "\x0b,\x0c.\r\n", "", " \t"],
+)
+def test_encoder_is_the_tokenizer(text):
+    same_ids([text])
+
+
+def test_encoder_on_every_letter_beside_marks():
+    letters = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    same_ids([" ".join(f"{x},a {x.upper()}. ,{x}'s" for x in letters[at : at + 200]) for at in range(0, len(letters), 200)])
+
+
+def test_encoder_on_random_texts(monkeypatch):
+    rng = random.Random(8)
+    signs = "aZé İıß'’,.<|>0²½\u0301\u0327\u093cकড়ᄀ\u1161\u11a8\x1c\x85\u00a0\u3000 \n\t日🙂Σς"
+    monkeypatch.setattr(token_files, "REMEMBERED", 500)  # generations change
+    for _ in range(10):
+        same_ids(["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(2000)])
 
 
 def test_empty_tables_and_missing_ids(nothing, nameless, labels, items):
