@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depweave.operators.skew import global_rank
-from depweave.session import BROADCAST_ROWS, cut_counted, keep
+from depweave.session import BROADCAST_ROWS, cut, cut_counted, keep
 
 WORD_BITS = 64
+# Levels that are looked up one by one before they are merged.
+MERGE_AFTER = 6
 
 
 def _bit(position: Column) -> Column:
@@ -91,18 +93,23 @@ def bit_reach(edges: DataFrame, numbers: DataFrame) -> BitReach:
     """Search from all ``numbers(id, word, bit)`` along ``edges(src, dst)``; a source is not in its own reach."""
     start = numbers.select("id", "word", F.lit(0).alias("hop"), _bit(F.col("bit")).alias("bits"))
     onward = edges.select(F.col("src").alias("id"), "dst")
-    known = [start]
+    levels: list[DataFrame] = []
+    known = [start.select("id", "word", F.col("bits").alias("seen"))]
     newest, fresh, hop = start, 1, 0
     while fresh:
         hop += 1
         step = newest.select("id", "word", "bits").join(onward, "id")
         met, rows = cut_counted(step.groupBy(F.col("dst").alias("id"), "word").agg(F.bit_or("bits").alias("bits")))
+        if len(known) > MERGE_AFTER:
+            known = [cut(reduce(DataFrame.unionByName, known).groupBy("id", "word").agg(F.bit_or("seen").alias("seen")))]
         keys = met.select("id", "word")
         keys = F.broadcast(keys) if rows <= BROADCAST_ROWS else keys
         seen = reduce(DataFrame.unionByName, known).join(keys, ["id", "word"], "left_semi")
-        seen = seen.groupBy("id", "word").agg(F.bit_or("bits").alias("seen"))
+        seen = seen.groupBy("id", "word").agg(F.bit_or("seen").alias("seen"))
+        seen = F.broadcast(seen) if rows <= BROADCAST_ROWS else seen  # no more rows than met
         new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long"))))
         found = met.join(seen, ["id", "word"], "left").select("id", "word", F.lit(hop).alias("hop"), new.alias("bits"))
         newest, fresh = cut_counted(found.where("bits <> 0"))
-        known.append(newest)
-    return BitReach(keep(reduce(DataFrame.unionByName, known[1:])), numbers)
+        levels.append(newest)
+        known.append(newest.select("id", "word", F.col("bits").alias("seen")))
+    return BitReach(keep(reduce(DataFrame.unionByName, levels)), numbers)

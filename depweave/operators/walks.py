@@ -42,7 +42,7 @@ class Walks:
 
 
 def build_walks(
-    edges: DataFrame, max_steps: int = 8, growth: int = 16, floor: int = HOT_FLOOR
+    edges: DataFrame, max_steps: int = 8, growth: int = 3, floor: int = HOT_FLOOR
 ) -> Walks:
     """Double the length of the walks while the table stays within ``growth`` times the edges.
 

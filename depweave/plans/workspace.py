@@ -22,7 +22,7 @@ LAYERED = AnalysisConfig(
 STRICT = GovernanceConfig(
     forbidden_imports=(
         ForbiddenImport("*/low/**", "*/tests/**"),
-        ForbiddenImport("**/config/*.java", "suppliers/n1*/*.java", "configuration stays below the suppliers"),
+        ForbiddenImport("orders/**/*.test.ts", "suppliers/n1*/*.java", "tests stay away from the suppliers"),
     )
 )
 PACKAGES = ("economy", "medium", "standard", "promo", "large", "small/api", "orders", "customers", "suppliers", "nations")

@@ -126,7 +126,7 @@ def table_edges(spark: SparkSession, sf_dir: str, orders: DataFrame | None = Non
             link(chain, of("orders", "o_orderkey"), of("orders", "before")),
             link(latest, of("customers", "o_custkey"), of("orders", "latest")),
             link(lines, of("orders", "l_orderkey"), of("parts", "l_partkey")).distinct(),
-            link(lines, of("parts", "l_partkey"), of("suppliers", "l_suppkey")).distinct(),
+            link(lines, of("orders", "l_orderkey"), of("suppliers", "l_suppkey")).distinct(),
             link(read(spark, sf_dir, "customer"), of("customers", "c_custkey"), of("nations", "c_nationkey")),
             link(read(spark, sf_dir, "supplier"), of("suppliers", "s_suppkey"), of("nations", "s_nationkey")),
             link(nations, of("nations", "n_nationkey"), of("regions", "n_regionkey")),
