@@ -23,6 +23,8 @@ CELL_SHARE = 0.3
 # the cells: results do not depend on them.
 SAMPLE_ROWS = 20_000
 FREQUENT = 200_000
+# Sets a task remembers to have sent its keys for; a copy of a forgotten one only sends them again.
+SEEN = 20_000
 # Bits of the numbers of sets.
 NODE_MASK = (1 << 63) - 1
 
@@ -47,8 +49,11 @@ UPPERS = _uppers()
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """Each value flips one bit; equal values cancel. At least one bit for each value, a power of two."""
-    bits = max(64, 1 << max(0, int(len(values) - 1).bit_length()))
+    """Each value flips one bit; equal values cancel. At least four bits for each value, a power of two.
+
+    With so many, two values seldom meet in a bit, so the bound is close to the difference itself.
+    """
+    bits = max(256, 4 << max(0, int(len(values) - 1).bit_length()))
     counts = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -163,7 +168,7 @@ def _keyed(frequent, whole: frozenset[int], clashes: frozenset[int], mask: int):
                 name = set_name(values)
                 if not len(values) or name in seen:  # copies in a task send their keys once
                     continue
-                if len(seen) < 200_000:
+                if len(seen) < SEEN:
                     seen.add(name)
                 own, short = signatures(values, often, whole)
                 keys += [own, np.zeros(len(short), np.uint64)]
@@ -255,14 +260,16 @@ class _Verifier:
         return keep(both.where(common * 100 >= total * 80).select("a", "b").distinct())
 
 
-def _central(split: DataFrame) -> DataFrame:
-    """Each key's holders paired with the one whose keys have the most holders.
+def _central(split: DataFrame, turn: int) -> DataFrame:
+    """Each key's holders paired with one of them, another one in each turn.
 
-    Of copies with different edits that is the text they stem from, or one close to it, so a large
-    group joins up through one star before any pairs across components are made.
+    In the first turn that is the one whose keys have the most holders: of copies with different
+    edits the text they stem from, or one close to it, so a large group joins up through one star.
+    Later turns take the first by a hash of node and turn, the same one for all keys it holds.
     """
     counts = split.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
-    scores = split.join(counts, "key").groupBy("node").agg(F.avg("k").alias("score"))
+    score = F.avg("k") if turn == 0 else F.max(F.xxhash64("node", F.lit(turn))).cast("double")
+    scores = split.join(counts, "key").groupBy("node").agg(score.alias("score"))
     best = split.join(scores, "node").groupBy("key").agg(
         F.max(F.struct("score", (-F.col("node")).alias("minus"), "c")).alias("best")
     ).select("key", (-F.col("best")["minus"]).alias("a"), F.col("best")["c"].alias("ca"))
@@ -304,8 +311,8 @@ def _linked(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFra
     the size bands of all partners it can have. In a first round each key pairs its holders with
     the smallest one only; the pairs pass a size test, the Hamming bound of their parity sketches
     and an exact comparison. Links make components of sets; copies follow their set. Keys whose holders are still in different
-    components then pair them with their most central holder, and what is left after that gives
-    all pairs across components; both are tested likewise. So every link is
+    components then pair them with one central holder, turn after turn while that joins a tenth of them,
+    and what is left then gives all pairs across components; all are tested likewise. So every link is
     either seen or inside a component already, and groups of near copies give a star, not all pairs.
     Cells of frequent shingles come last in the order, so shared passages make few keys.
     """
@@ -347,7 +354,8 @@ def _linked(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFra
     verifier = _Verifier(slim, sets, _values(clashes, mask))
     stars = shared.where(F.col("node") != F.col("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     joined = keep(connected(verifier.links(stars)))
-    for star in (True, False):
+    turn, before = 0, None
+    while True:
         held = shared.select("key", "node").join(joined, "node", "left").select(
             "key", "node", F.coalesce("component", "node").alias("c")
         )
@@ -355,7 +363,11 @@ def _linked(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFra
         split_keys, left = keep_counted(held.join(split, "key", "left_semi").distinct())
         if not left:
             break
-        joined = _merged(joined, verifier.links(_central(split_keys) if star else _across(split_keys, sets)))
+        if before is not None and left * 10 > before * 9:  # stars join no more: the rest in pairs
+            joined = _merged(joined, verifier.links(_across(split_keys, sets)))
+            break
+        joined = _merged(joined, verifier.links(_central(split_keys, turn)))
+        turn, before = turn + 1, left
     return rows.select("nid", "row", "n", "node"), sets.select("node", "n", "least"), joined
 
 
