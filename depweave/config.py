@@ -93,7 +93,7 @@ def _snake(name: str) -> str:
     return "".join("_" + c.lower() if c.isupper() else c for c in name)
 
 
-def _object(path: Path) -> dict:
+def read_object(path: Path) -> dict:
     try:
         raw = json.loads(path.read_text(encoding="utf-8"))
     except (OSError, ValueError):
@@ -108,7 +108,7 @@ def _merged(default, raw):
 
 
 def load_scan_config(root: str) -> ScanConfig:
-    raw = _object(Path(root) / SCAN_FILE)
+    raw = read_object(Path(root) / SCAN_FILE)
     exclude, languages = raw.get("exclude"), raw.get("languages")
     return ScanConfig(
         tuple(map(str, exclude)) if isinstance(exclude, list) else (),
@@ -117,7 +117,7 @@ def load_scan_config(root: str) -> ScanConfig:
 
 
 def load_analysis_config(root: str) -> AnalysisConfig:
-    raw = _object(Path(root) / ANALYSIS_FILE)
+    raw = read_object(Path(root) / ANALYSIS_FILE)
     entry, layers, rules = raw.get("entryPoints"), raw.get("layers"), raw.get("rules")
     return AnalysisConfig(
         tuple(entry) if isinstance(entry, list) else DEFAULT_ENTRY_GLOBS,
@@ -128,7 +128,7 @@ def load_analysis_config(root: str) -> AnalysisConfig:
 
 
 def load_governance_config(root: str) -> GovernanceConfig:
-    raw = _object(Path(root) / GOVERNANCE_FILE)
+    raw = read_object(Path(root) / GOVERNANCE_FILE)
     banned = raw.get("forbiddenImports")
     return GovernanceConfig(
         _merged(Limits(), raw.get("rules")),

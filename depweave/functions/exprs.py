@@ -43,7 +43,7 @@ def stem(path: Column) -> Column:
 
 def extension(path: Column) -> Column:
     """Lower-case extension without its dot; a leading dot starts a name, not an extension."""
-    return F.lower(F.regexp_extract(basename(path), r"^.+\.([^.]*)$", 1))
+    return F.lower(F.regexp_extract(basename(path), r"(?s)^.+\.([^.]*)\z", 1))
 
 
 def line_count(text: Column) -> Column:

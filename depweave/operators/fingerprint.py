@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 def _content(df: DataFrame) -> tuple:
@@ -20,14 +19,22 @@ def _content(df: DataFrame) -> tuple:
 def graph_fingerprint(files: DataFrame, edges: DataFrame, settings: object = None) -> str:
     """Digest of everything an analysis depends on, settings included."""
     inputs = files.select("rev", "id", "path", "loc", "n_exports", "n_functions", "n_classes")
-    text = repr((_content(inputs), _content(edges.select("src", "dst")), settings))
+    text = repr((STORED_FORM, _content(inputs), _content(edges.select("src", "dst")), settings))
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+# Goes into every digest; a change of what is stored needs another one.
+STORED_FORM = 2
+
+
+def _complete(spark: SparkSession, folder: str) -> bool:
+    """Whether a write to the folder was finished; Spark leaves a marker then."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def stored_result(spark: SparkSession, folder: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The result in ``folder``, built and written there first if it is missing."""
-    try:
-        return spark.read.parquet(folder)
-    except AnalysisException:
+    """The result in ``folder``, built and written there first if it is missing or half written."""
+    if not _complete(spark, folder):
         build().write.mode("overwrite").parquet(folder)
-        return spark.read.parquet(folder)
+    return spark.read.parquet(folder)

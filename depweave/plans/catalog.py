@@ -15,6 +15,7 @@ from depweave.operators import codegraph, compare, context, health, history, imp
 from depweave.operators import reach, rules, scores, store, summary
 from depweave.plans.workspace import PACKAGES, TableWorkspace, workspace
 from depweave.sinks import export, reports
+from depweave.sources import derived, facts_table
 from depweave.sources.workspaces import package_frame
 
 Query = Callable[[TableWorkspace], DataFrame]
@@ -515,6 +516,17 @@ def source_symbols(w):
     return rows.select("path", "name", "kind", "line", "exported", "parent", _text("extends"), "doc")
 
 
+@query
+def source_facts(w):
+    """Every fact of every text, by the table function in SQL."""
+    facts_table.register(w.spark)
+    derived.part_sources(w.spark, w.sf_dir).createOrReplaceTempView("part_sources")
+    return w.spark.sql(
+        "SELECT s.path, f.fact, f.name, f.kind, f.line, f.exported, f.parent "
+        "FROM part_sources s, LATERAL source_facts(s.language, s.text) f"
+    )
+
+
 @query
 def source_exports(w):
     return w.records.select("path", F.explode("exports").alias("name"))
@@ -689,18 +701,12 @@ def context_modules(w):
 
 @query
 def export_document(w):
-    return export.export_lines(w.records, derived_root(w))
-
-
-def derived_root(w):
-    from depweave.sources import derived
-
-    return derived.ROOT
+    return export.export_lines(w.records, derived.ROOT)
 
 
 @query
 def export_sections(w):
-    lines = export.export_lines(w.records, derived_root(w))
+    lines = export.export_lines(w.records, derived.ROOT)
     return lines.groupBy("section").agg(F.count(F.lit(1)).alias("lines"))
 
 

@@ -699,6 +699,9 @@ SQL: dict[str, str] = {
         SELECT conv_id, turn, row_number() OVER () AS rowid_, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS keyword FROM conversations))
         WHERE length(keyword) >= 3 AND keyword NOT IN ({", ".join(repr(w) for w in STOP_WORDS)}) GROUP BY keyword""",
     "source_symbols": "SELECT path, name, kind, line, exported, parent, ext AS extends, doc FROM sy",
+    "source_facts": """SELECT path, 'symbol' AS fact, name, kind, line, exported, parent FROM sy
+        UNION ALL SELECT path, 'import', raw, NULL, line, NULL, NULL FROM im
+        UNION ALL SELECT path, 'export', name, NULL, NULL, NULL, NULL FROM sy WHERE parent IS NULL AND exported""",
     "source_exports": "SELECT path, name FROM sy WHERE parent IS NULL AND exported",
     "source_comments": "SELECT path, CASE lang WHEN 'python' THEN '# ' ELSE '// ' END || name AS comment FROM p",
     "source_files": """SELECT path, lang AS language, CAST(strlen(text) AS BIGINT) AS size,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 from pathlib import Path
@@ -16,9 +18,10 @@ from depweave.operators import reach, store, summary
 from depweave.functions import classify
 from depweave.operators.analysis import Analysis
 from depweave.operators.fingerprint import graph_fingerprint, stored_result
+from depweave.schema import HEALTH_SNAPSHOT
 from depweave.session import cut, keep
 from depweave.sources import git, tree
-from depweave.sources.workspaces import detect_workspaces, package_frame
+from depweave.sources.workspaces import package_folders
 
 OUTPUT = ".depweave"
 
@@ -154,7 +157,7 @@ class Repository:
         return self.analysis.cycles.drop("rev", "comp").orderBy(F.desc("length"), "first_file")
 
     def god_modules(self) -> DataFrame:
-        return self.analysis.god_modules.drop("rev", "id")
+        return self.analysis.god_modules.drop("rev", "id").orderBy(F.desc(F.size("reasons")), "path")
 
     def layer_violations(self) -> DataFrame:
         return self.analysis.layer_violations.drop("rev")
@@ -185,7 +188,7 @@ class Repository:
         return steps.join(a.files.select("id", "path"), "id").select("hop", "path").orderBy("hop")
 
     def packages(self) -> DataFrame:
-        placed = packages.package_of(self.analysis.files, package_frame(self.spark, detect_workspaces(self.root)))
+        placed = packages.package_of(self.analysis.files, package_folders(self.analysis.files, self.root))
         return packages.package_rollup(placed, self.analysis.edges).drop("rev").orderBy(F.desc("files"), "package")
 
     # --- navigation --------------------------------------------------------------------------
@@ -225,26 +228,38 @@ class Repository:
     # --- governance --------------------------------------------------------------------------
 
     @property
-    def health_file(self) -> str:
-        return str(self.output / "health-history")
+    def health_folder(self) -> str:
+        return str(self.output / "health-series")
 
     def health_history(self) -> DataFrame:
-        from depweave.schema import HEALTH_SNAPSHOT
-
+        """The series as of the last write that was finished."""
         reader = self.spark.read.schema(HEALTH_SNAPSHOT)
-        if not Path(self.health_file).exists():
+        current = Path(self.health_folder, "current")
+        if not current.exists():
             return self.spark.createDataFrame([], HEALTH_SNAPSHOT)
-        return reader.json(self.health_file)
+        return reader.json(str(current.parent / current.read_text(encoding="utf-8")))
+
+    def _keep_series(self, series: DataFrame) -> None:
+        """Write a new generation, then point to it in one step; the one before stays for its readers."""
+        folder = Path(self.health_folder)
+        current = folder / "current"
+        before = current.read_text(encoding="utf-8") if current.exists() else ""
+        name = f"generation-{uuid.uuid4().hex}"
+        series.coalesce(1).write.json(str(folder / name))
+        pointer = folder / f"next-{name}"
+        pointer.write_text(name, encoding="utf-8")
+        pointer.replace(current)
+        for old in folder.glob("generation-*"):
+            if old.name not in (name, before):
+                shutil.rmtree(old, ignore_errors=True)
 
     def record_health(self, timestamp: str, save: bool = True) -> DataFrame:
         """The trend up to now, as of this scan, and, with ``save``, the series with it."""
-        from depweave.schema import HEALTH_SNAPSHOT
-
         now = self.analysis.health.withColumn("timestamp", F.lit(timestamp))
         now = now.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HEALTH_SNAPSHOT.fields])
         series = cut(health.retained(self.health_history().unionByName(now)))
         if save:
-            series.coalesce(1).write.mode("overwrite").json(self.health_file)
+            self._keep_series(series)
         return health.trend(series)
 
     # --- history and revisions ---------------------------------------------------------------
@@ -304,9 +319,13 @@ class Repository:
         return codegraph.map_graph(codegraph.code_nodes(records, self.root), codegraph.code_edges(records, self.root))
 
     def replay(self, steps: int = 16) -> DataFrame:
-        """Files and imports of evenly spaced commits."""
-        picked = [r["hash"] for r in self.timeline(steps).collect()]
-        return summary.graph_stats(self.revisions(picked).degrees).select("rev", "files", "edges")
+        """Files and imports of evenly spaced commits, oldest first; a revision without sources has none."""
+        picked = cut(history.sample_timeline(self.commits(), steps, [-F.col("position").cast("long")]))
+        sizes = summary.graph_stats(self.revisions([r["hash"] for r in picked.collect()]).degrees)
+        sizes = sizes.select(F.col("rev").alias("hash"), "files", "edges")
+        found = picked.join(sizes, "hash", "left").fillna(0, ["files", "edges"])
+        day = F.substring("date_iso", 1, 10).alias("date")
+        return found.orderBy("position").select(F.col("hash").alias("rev"), "short_hash", day, "subject", "files", "edges")
 
     def compare(self, base: str, head: str) -> dict[str, DataFrame] | None:
         """Everything that differs between two revisions, or nothing when one is unknown."""

@@ -5,8 +5,11 @@ import os
 import time
 from pathlib import Path
 
+import pytest
+
 from depweave.sources import extract
 from depweave.sources.extract import EXTRACTORS, facts_or_empty
+from depweave.sources.facts_table import register
 
 TS = '''
 import type { A } from "./a";
@@ -278,3 +281,17 @@ def test_odd_texts_yield_facts_and_never_fail():
     for language in EXTRACTORS:
         for text in ("", "\x00", "'", "`${`", "/*", "}{)(", "class", "export", "import", "function(", "<" * 50, "@"):
             assert set(facts_or_empty(language, text)) == {"symbols", "imports", "exports", "comments"}
+
+
+def test_table_function(spark):
+    register(spark)
+    texts = [(1, "python", "import os\ndef f(): pass"), (2, "javascript", None), (3, "cobol", "import x"), (4, None, "x"), (5, "typescript", "")]
+    spark.createDataFrame(texts, "id int, language string, text string").createOrReplaceTempView("texts")
+    rows = spark.sql("SELECT id, f.* FROM texts, LATERAL source_facts(language, text) f").collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [
+        (1, "symbol", "f", "function", 2, True, None), (1, "import", "os", None, 1, None, None), (1, "export", "f", None, None, None, None),
+    ]))
+    with pytest.raises(Exception, match="no extractor for 'cobol'"):
+        spark.sql("SELECT * FROM source_facts('cobol', 'x')").collect()
+    with pytest.raises(Exception, match="text must be a string"):
+        spark.sql("SELECT * FROM source_facts('python', 3)").collect()

@@ -3,16 +3,18 @@
 import json
 import os
 import subprocess
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from depweave import Repository
-from depweave.operators import codegraph
+from depweave.operators import codegraph, compare
+from depweave.operators.fingerprint import graph_fingerprint, stored_result
 from depweave.sinks import export, reports
 from depweave.sources import git, tree
 from depweave.sources.ignore import compile_rules, ignored
-from depweave.sources.workspaces import detect_workspaces
+from depweave.sources.workspaces import package_folders, stated_patterns
 
 FILES = {
     "index.ts": 'import { foo } from "./src/a.js";\nfoo();\n',
@@ -155,11 +157,14 @@ def test_questions(repo):
 
 
 def test_reports_and_export(repo, spark, tmp_path):
-    data = reports.report_data(repo.analysis)
-    text = reports.markdown(data)
-    assert text.startswith("# Architecture Report") and "## Top hotspots" in text
-    assert "<h1>" in reports.html_page(data, "<root>") and "&lt;root&gt;" in reports.html_page(data, "<root>")
-    assert json.loads(reports.json_report(data))["health"]["files"] == len(READ)
+    rows = list(reports.ordered(reports.report_rows(repo.analysis)))
+    assert [r["part"] for r in rows] == sorted(r["part"] for r in rows)
+    facts = {r["item"]: r["value"] for r in rows if r["part"] == "count"}
+    assert facts["files"] == str(len(READ)) and int(facts["errors"]) == sum(r["part"] == "error" for r in rows)
+    assert "[score]" in list(reports.text_lines(rows)) and f"  files = {len(READ)}" in list(reports.text_lines(rows))
+    page = "".join(reports.html_lines(rows, "<root>"))
+    assert "&lt;root&gt;" in page and "<meter" in page and "<root>" not in page
+    assert [json.loads(x)["item"] for x in reports.json_lines(rows)] == [r["item"] for r in rows]
     export.write_export(repo.records, repo.root, str(tmp_path / "out"))
     nodes = spark.read.text(str(tmp_path / "out/section=nodes"))
     assert sorted(json.loads(r["value"])["path"] for r in nodes.collect()) == sorted(READ)
@@ -185,7 +190,6 @@ def test_endpoints(repo):
 
 def test_results_are_remembered_per_graph_and_settings(repo, spark, tmp_path):
     from depweave.config import AnalysisConfig, GovernanceConfig
-    from depweave.operators.fingerprint import graph_fingerprint, stored_result
 
     a = repo.analysis
     key = graph_fingerprint(a.files, a.edges, (a.config, a.governance))
@@ -219,15 +223,19 @@ def test_health_series(repo):
     assert [r["direction"] for r in second] == ["first-scan", "stable"]
 
 
-def test_workspaces(tmp_path):
+def test_workspaces(spark, tmp_path):
     fill(tmp_path, {
-        "package.json": '{"workspaces": {"packages": ["packages/*", "tools"]}}',
-        "pnpm-workspace.yaml": "packages:\n  - 'apps/*'\n",
-        "packages/web/package.json": "{}", "packages/none/readme.txt": "", "apps/api/package.json": "{}",
-        "tools/package.json": "{}",
+        "package.json": '{"workspaces": {"packages": ["./packages/*/", "tools", "!packages/old", 7]}}',
+        "pnpm-workspace.yaml": "# kinds\npackages:\n  - 'apps/*' # all\n  - \"libs/**\"\nother:\n  - no/*\n",
+        "packages/web/package.json": "{}", "packages/old/package.json": "{}", "apps/api/package.json": "{}",
+        "tools/package.json": "{}", "libs/a/b/package.json": "{}", "no/x/package.json": "{}",
     })
-    assert detect_workspaces(str(tmp_path)) == ["packages/web", "apps/api", "tools"]
-    assert detect_workspaces(str(tmp_path / "apps")) == []
+    assert stated_patterns(str(tmp_path)) == (["packages/*", "tools", "apps/*", "libs/**"], ["packages/old"])
+    paths = ["packages/web/src/x.ts", "packages/none/y.ts", "packages/old/z.ts", "apps/api/a.ts", "tools/t.py", "libs/a/b/c.ts", "no/x/n.ts", "top.ts"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    found = sorted(r["package"] for r in package_folders(files, str(tmp_path)).collect())
+    assert found == ["apps/api", "libs/a/b", "packages/web", "tools"]
+    assert package_folders(files, str(tmp_path / "apps")).count() == 0
 
 
 def run(folder, *args, when="2024-01-01T00:00:00+00:00", author="Ada"):
@@ -263,12 +271,84 @@ def test_git_history(history, spark):
     assert report["evolution"].first()["most_changed_module"] == "src"
     assert [(r["module"], r["before"], r["after"]) for r in report["coupling"].collect()] == [("src", 2, 4)]
     assert [r["subject"] for r in history.timeline(2).collect()] == ["first", "second"]
-    assert sorted((r["files"], r["edges"]) for r in history.replay(2).collect()) == [(2, 1), (3, 2)]
+    assert [tuple(r)[2:] for r in history.replay(2).collect()] == [("2024-01-01", "first", 2, 1), ("2024-02-01", "second", 3, 2)]
     assert history.file_history("src/a.ts")["commits"].count() == 2
     assert git.read_file(history.root, "HEAD~1", "src/a.ts").endswith("a = b;\n")
     assert git.read_file(history.root, "HEAD", "none.ts") is None
 
 
+def test_replay_keeps_revisions_without_sources(spark, tmp_path):
+    run(tmp_path, "init", "-b", "main")
+    fill(tmp_path, {"notes.txt": "nothing"})
+    run(tmp_path, "add", ".")
+    run(tmp_path, "commit", "-m", "words only", when="2023-05-06T00:00:00+00:00")
+    fill(tmp_path, {"a.ts": "export const a = 1;\n"})
+    run(tmp_path, "add", ".")
+    run(tmp_path, "commit", "-m", "code")
+    rows = [tuple(r)[2:] for r in Repository(spark, str(tmp_path)).replay(5).collect()]
+    assert rows == [("2023-05-06", "words only", 0, 0), ("2024-01-01", "code", 1, 0)]
+
+
+def test_health_series_survives_a_broken_write(spark, tmp_path, monkeypatch):
+    fill(tmp_path, {"a.ts": "export const a = 1;\n"})
+    repo = Repository(spark, str(tmp_path))
+    for day in ("2024-01-01", "2024-01-02", "2024-01-03"):
+        repo.record_health(day)
+    days = lambda: sorted(r["timestamp"] for r in repo.health_history().collect())
+    assert days() == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    assert len(list(Path(repo.health_folder).glob("generation-*"))) == 2  # the newest and the one before
+
+    def broken(self, target):
+        raise OSError("power cut")
+
+    monkeypatch.setattr(Path, "replace", broken)
+    with pytest.raises(OSError, match="power cut"):
+        repo.record_health("2024-01-04")
+    assert days() == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    monkeypatch.undo()
+    repo.record_health("2024-01-05")
+    assert days() == ["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-05"]
+
+
+def test_a_half_written_result_is_built_anew(spark, tmp_path):
+    make = lambda: spark.range(5)
+    folder = tmp_path / "result"
+    stored_result(spark, str(folder), make)
+    (folder / "_SUCCESS").unlink()
+    next(folder.glob("part-*")).unlink()
+    assert stored_result(spark, str(folder), make).count() == 5
+    assert stored_result(spark, str(folder), lambda: spark.range(9)).count() == 5
+
+
+def test_tree_changes(spark):
+    """One-to-one by content: two of three copies move, the third is deleted; unknown contents never move."""
+    base = [("same", "s"), ("edit", "1"), ("c1", "x"), ("c2", "x"), ("c3", "x"), ("gone", "g"), ("odd", None), (None, "n"), ("same", "s")]
+    head = [("same", "s"), ("edit", "2"), ("d1", "x"), ("d2", "x"), ("new", "h"), ("odd2", None)]
+    frame = lambda rows: spark.createDataFrame(rows, "path string, key string")
+    found = {tuple(r) for r in compare.tree_changes(frame(base), frame(head)).collect()}
+    assert found == {
+        ("M", "edit", None), ("R", "d1", "c1"), ("R", "d2", "c2"), ("D", "c3", None), ("D", "gone", None),
+        ("D", "odd", None), ("A", "new", None), ("A", "odd2", None),
+    }
+    none = frame([])
+    assert {r["status"] for r in compare.tree_changes(none, frame(head)).collect()} == {"A"}
+    assert compare.tree_changes(none, none).count() == 0
+
+
+def test_renamed_and_oddly_named_files(spark, tmp_path):
+    run(tmp_path, "init", "-b", "main")
+    fill(tmp_path, {"a.ts": "export const a = 1;\n", "b\nc.ts": "export const b = 1;\n"})
+    run(tmp_path, "add", ".")
+    run(tmp_path, "commit", "-m", "first")
+    run(tmp_path, "mv", "a.ts", "moved.ts")
+    run(tmp_path, "commit", "-m", "second")
+    changed = git.changed_files(spark, str(tmp_path), "HEAD~1", "HEAD").collect()
+    assert [tuple(r) for r in changed] == [("R", "moved.ts", "a.ts")]
+    sources = git.revision_sources(spark, str(tmp_path), "HEAD").collect()
+    assert {r["path"]: r["text"] for r in sources} == {"moved.ts": "export const a = 1;\n", "b\nc.ts": "export const b = 1;\n"}
+    assert git.comparison_base(str(tmp_path)) == "HEAD~1" and git.comparison_base(str(tmp_path), "v1") == "v1"
+
+
 def test_git_compare(history):
     diff = history.compare("HEAD~1", "HEAD")
     assert {(r["status"], r["path"]) for r in diff["changed_files"].collect()} == {("M", "src/a.ts"), ("A", "src/c.ts")}
