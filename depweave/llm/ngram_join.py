@@ -49,11 +49,11 @@ UPPERS = _uppers()
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """Each value flips one bit; equal values cancel. At least four bits for each value, a power of two.
+    """Each value flips one bit; equal values cancel. At least two bits for each value, a power of two.
 
     With so many, two values seldom meet in a bit, so the bound is close to the difference itself.
     """
-    bits = max(256, 4 << max(0, int(len(values) - 1).bit_length()))
+    bits = max(128, 2 << max(0, int(len(values) - 1).bit_length()))
     counts = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
