@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import os
-import re
 import uuid
 import zlib
 from array import array
@@ -25,8 +24,6 @@ LENGTH = 1024
 BATCH = 512
 # Words whose ids a worker remembers, in two generations of so many each.
 REMEMBERED = 400_000
-# ASCII letters between ASCII marks other than the apostrophe and what special tokens begin with.
-_PLAIN = re.compile(rb"([!-&(-/:;=-@\[-`{-~]*)([A-Za-z]+)([!-&(-/:;=-@\[-`{-~]*)")
 
 
 class Encoder:
@@ -34,9 +31,8 @@ class Encoder:
 
     Words are what stands between ASCII white space. The tokenizer composes, lowers, and parts a text
     inside such words only: white space neither composes with a letter nor is part of a token, and no
-    special token holds any. So the ids of a text are those of its words, one after the other. A word of ASCII letters
-    between ASCII marks is three pieces to the tokenizer, which ignores case, so its parts are looked up;
-    every other word is encoded by the library as it stands.
+    special token holds any. So the ids of a text are those of its words, one after the other, and each word is encoded
+    by the library as it stands.
     """
 
     def __init__(self, file: str):
@@ -49,27 +45,18 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def _encoded(self, words: set[bytes]) -> None:
-        """Encode words that are not known yet by the library."""
-        new = list(words - self.known.keys())
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((word, array("I", x.ids).tobytes()) for word, x in zip(some, found))
-
     def _learn(self, words: set[bytes]) -> None:
-        parts = {}
+        new = []
         for word in words:
             ids = self.older.get(word)
-            if ids is not None:
-                self.known[word] = ids
-            elif word.isascii() and (m := _PLAIN.fullmatch(word)) is not None:
-                parts[word] = [p for p in (m[1], m[2].lower(), m[3]) if p]
+            if ids is None:
+                new.append(word)
             else:
-                parts[word] = [word]
-        self._encoded({p for some in parts.values() for p in some})
-        for word, some in parts.items():
-            self.known[word] = b"".join(map(self.known.__getitem__, some))
+                self.known[word] = ids
+        for at in range(0, len(new), 5000):
+            some = new[at : at + 5000]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            self.known.update((word, array("I", x.ids).tobytes()) for word, x in zip(some, found))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text (UTF-8), with the end id."""
