@@ -58,7 +58,7 @@ def test_counts_and_depths(found):
 def test_rows_are_words_and_not_pairs(found):
     pairs, _, bits = found
     rows = bits.levels.count()
-    assert rows < len(pairs) / 2  # loose files and the chain fill their words thinly
+    assert 4 * rows < 3 * len(pairs)  # loose files and the chain fill their words thinly
     assert bits.levels.groupBy("id", "word").agg({"bits": "count"}).count() <= NODES * (NODES // 64 + 1)
 
 
