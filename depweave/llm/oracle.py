@@ -149,17 +149,24 @@ def _rules() -> str:
         f"SELECT rid, lang, source, '{m}' AS metric, ({s})::BIGINT AS step FROM m WHERE n_words > 0" for m, s in steps.items()
     )
 
-    def quartiles(keys: str) -> str:
+    qs = quality_rules.QUANTILES
+
+    def quantiles(keys: str) -> str:
         by = f"{keys}, metric" if keys else "metric"
+        picks = ", ".join(f"min(step) FILTER (100 * upto >= {p} * total) AS {q}" for q, p in qs.items())
         return (
-            f"SELECT {by}, min(step) FILTER (4 * upto >= total) AS q1, min(step) FILTER (4 * upto >= 3 * total) AS q3, max(total) AS total FROM "
+            f"SELECT {by}, {picks}, max(total) AS total FROM "
             f"(SELECT {by}, step, sum(count(*)) OVER (PARTITION BY {by} ORDER BY step) AS upto, sum(count(*)) OVER (PARTITION BY {by}) AS total "
             f"FROM e GROUP BY {by}, step) GROUP BY {by}"
         )
 
-    least_rows, reach = quality_rules.LEAST_ROWS, quality_rules.REACH
-    most = " ".join(f"WHEN '{m}' THEN {f[0]}" for m, f in quality_rules.FENCES.items())
-    least = " ".join(f"WHEN '{m}' THEN {f[1]}" for m, f in quality_rules.FENCES.items() if f[1] is not None)
+    prior, reach = quality_rules.PRIOR, quality_rules.REACH
+
+    def drawn(table: str, wider: str) -> str:
+        return ", ".join(f"(({table}.{q} * {table}.total + {prior} * {wider}.{q}) // ({table}.total + {prior}))::BIGINT AS {q}" for q in qs)
+
+    slack = " ".join(f"WHEN '{m}' THEN {x[0]}" for m, x in quality_rules.METRICS.items())
+    low = ", ".join(f"'{m}'" for m, x in quality_rules.METRICS.items() if x[1])
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t,
            regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
@@ -172,14 +179,13 @@ m AS (SELECT rid, doc_id, lang, source, len(w) AS n_words, length(array_to_strin
       len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
       FROM d JOIN l USING (rid) LEFT JOIN rep USING (rid)),
 e AS ({each}),
-own AS ({quartiles("lang, source")}), bylang AS ({quartiles("lang")}), whole AS ({quartiles("")}),
-used AS (SELECT own.lang, own.source, own.metric,
-         CASE WHEN own.total >= {least_rows} THEN own.q1 WHEN bylang.total >= {least_rows} THEN bylang.q1 ELSE whole.q1 END AS q1,
-         CASE WHEN own.total >= {least_rows} THEN own.q3 WHEN bylang.total >= {least_rows} THEN bylang.q3 ELSE whole.q3 END AS q3
-         FROM own JOIN bylang ON own.lang IS NOT DISTINCT FROM bylang.lang AND own.metric = bylang.metric JOIN whole ON own.metric = whole.metric),
+own AS ({quantiles("lang, source")}), tongue AS ({quantiles("lang")}), whole AS ({quantiles("")}),
+bylang AS (SELECT tongue.lang, tongue.metric, {drawn("tongue", "whole")} FROM tongue JOIN whole USING (metric)),
+used AS (SELECT own.lang, own.source, own.metric, CASE own.metric {slack} END AS slack, {drawn("own", "bylang")}
+         FROM own JOIN bylang ON own.lang IS NOT DISTINCT FROM bylang.lang AND own.metric = bylang.metric),
 bad AS (SELECT DISTINCT e.rid FROM e JOIN used u ON e.lang IS NOT DISTINCT FROM u.lang AND e.source IS NOT DISTINCT FROM u.source AND e.metric = u.metric
-        WHERE e.step > greatest(q3 + {reach} * (q3 - q1), CASE e.metric {most} END)
-           OR e.step < least(q1 - {reach} * (q3 - q1), CASE e.metric {least} END))
+        WHERE e.step > hi + greatest({reach} * (hi - mid), slack)
+           OR (e.metric IN ({low}) AND e.step < lo - greatest({reach} * (mid - lo), slack)))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND bad.rid IS NULL AS kept

@@ -10,13 +10,16 @@ from depweave.session import keep, keep_counted, small
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
-# A group with fewer rows takes the sketch of its language, and a small language that of all rows.
-LEAST_ROWS = 50
-# Metrics in whole steps, with the cutoff that is never undercut, and if low values fail as well.
+# A group's quantiles are means of its own and its language's, which count as so many rows; a language's
+# are drawn to those of all rows in the same way. So a small group is judged mostly by its language.
+PRIOR = 50
+# Per cent of the rows at or below the low, the middle and the high quantile.
+QUANTILES = {"lo": 5, "mid": 50, "hi": 95}
+# A cutoff lies so many times the distance of middle and outer quantile beyond the outer one.
+REACH = 2
+# Metrics in whole steps: least distance of a cutoff from the outer quantile, and if low values fail as well.
 # A step is a thousandth for shares and a tenth of a letter for the word length.
-FENCES = {"symbols": (150, None), "dup_lines": (400, None), "repeats": (300, None), "word_length": (130, 15)}
-# Cutoff: upper quartile and so many times the distance of the quartiles.
-REACH = 6
+METRICS = {"symbols": (50, False), "dup_lines": (100, False), "repeats": (100, False), "word_length": (10, True)}
 STEPS = 1000
 
 
@@ -89,41 +92,48 @@ def sketches(rows: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quartiles(counts: DataFrame, group: list[str]) -> DataFrame:
+def _quantiles(counts: DataFrame, group: list[str]) -> DataFrame:
     keys = [*group, "metric"]
     merged = counts.groupBy(*keys, "step").agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("step"))
     total = F.sum("n").over(Window.partitionBy(*keys))
     ranked = merged.select(*keys, "step", upto.alias("upto"), total.alias("total"))
     return ranked.groupBy(*keys).agg(
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("step"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("step"))).alias("q3"),
+        *[F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("step"))).alias(q) for q, p in QUANTILES.items()],
         F.max("total").alias("total"),
     )
 
 
+def _drawn(own: str, total: str, wider: str) -> Column:
+    """Whole-number mean of a quantile and that of the wider group, which counts as ``PRIOR`` rows."""
+    mixed = F.col(own) * F.col(total) + F.col(wider) * PRIOR
+    return F.floor(mixed / (F.col(total) + PRIOR)).cast("long")
+
+
 def thresholds(counts: DataFrame) -> DataFrame:
-    """Cutoffs by language and source: columns ``<metric>_most`` and ``word_length_least``."""
-    own = _quartiles(counts, ["lang", "source"])
-    by_lang = _quartiles(counts, ["lang"]).select(
-        F.col("lang").alias("_l"), F.col("metric").alias("_m"), F.struct("q1", "q3", "total").alias("of_lang")
+    """Cutoffs by language and source: columns ``<metric>_most`` and ``word_length_least``.
+
+    They follow the group's own quantiles and can be tighter or looser than any other group's.
+    """
+    qs = list(QUANTILES)
+    of_all = _quantiles(counts, []).select(F.col("metric").alias("_m"), *[F.col(q).alias(f"all_{q}") for q in qs])
+    # Four rows of all metrics.
+    by_lang = _quantiles(counts, ["lang"]).join(F.broadcast(of_all), F.col("metric") == F.col("_m")).select(
+        F.col("lang").alias("_l"), F.col("metric").alias("_n"),
+        *[_drawn(q, "total", f"all_{q}").alias(f"lang_{q}") for q in qs],
     )
-    of_all = _quartiles(counts, []).select(F.col("metric").alias("_a"), F.struct("q1", "q3", "total").alias("of_all"))
-    # Four rows of all metrics; languages are as few or fewer than the groups.
-    wide = own.join(by_lang, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("metric") == F.col("_m")))
-    wide = wide.join(F.broadcast(of_all), F.col("metric") == F.col("_a"))
-    use = F.when(F.col("total") >= LEAST_ROWS, F.struct("q1", "q3", "total")).when(
-        F.col("of_lang")["total"] >= LEAST_ROWS, F.col("of_lang")
-    ).otherwise(F.col("of_all"))
-    picked = wide.select("lang", "source", "metric", use.alias("u")).select("lang", "source", "metric", "u.q1", "u.q3")
-    spread = (F.col("q3") - F.col("q1")) * REACH
+    own = _quantiles(counts, ["lang", "source"])
+    wide = own.join(by_lang, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("metric") == F.col("_n")))
+    drawn = wide.select("lang", "source", "metric", *[_drawn(q, "total", f"lang_{q}").alias(q) for q in qs])
     out = []
-    for metric, (most, least) in FENCES.items():
+    for metric, (slack, low_fails) in METRICS.items():
         mine = F.col("metric") == metric
-        out.append(F.max(F.when(mine, F.greatest(F.col("q3") + spread, F.lit(most)))).alias(f"{metric}_most"))
-        if least is not None:
-            out.append(F.min(F.when(mine, F.least(F.col("q1") - spread, F.lit(least)))).alias(f"{metric}_least"))
-    return picked.groupBy("lang", "source").agg(*out)
+        most = F.col("hi") + F.greatest((F.col("hi") - F.col("mid")) * REACH, F.lit(slack))
+        out.append(F.max(F.when(mine, most)).alias(f"{metric}_most"))
+        if low_fails:
+            least = F.col("lo") - F.greatest((F.col("mid") - F.col("lo")) * REACH, F.lit(slack))
+            out.append(F.min(F.when(mine, least)).alias(f"{metric}_least"))
+    return drawn.groupBy("lang", "source").agg(*out)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -146,7 +156,7 @@ def judge(docs: DataFrame) -> DataFrame:
     fine = F.lit(True)
     for metric, step in _steps().items():
         fine = fine & (step <= F.col(f"{metric}_most"))
-        if FENCES[metric][1] is not None:
+        if METRICS[metric][1]:
             fine = fine & (step >= F.col(f"{metric}_least"))
     return joined.withColumn("base_failed", failed).withColumn(
         "kept", ~failed & F.coalesce(fine, F.lit(True))

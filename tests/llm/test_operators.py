@@ -220,6 +220,24 @@ def test_chat(spark, monkeypatch):
     assert chat.digest(df.limit(0)).count() == 0
 
 
+def test_quality_cutoffs_follow_their_group(spark):
+    """The same text with 9 % symbols is kept among such texts and fails among plain ones."""
+    plain = " ".join(f"word{i:04d}" for i in range(40))
+    marked = plain + " " + "#" * 32
+    noisy = plain + " " + "#" * 30
+    some = [(i, plain, "en", "plain") for i in range(400)] + [(1000 + i, noisy, "en", "noisy") for i in range(400)]
+    some += [(5000, marked, "en", "plain"), (5001, marked, "en", "noisy"), (5002, plain, None, None), (5003, None, "en", "plain")]
+    df = spark.createDataFrame(some, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.digest(df).collect()}
+    assert not kept[5000] and kept[5001] and kept[5002] and not kept[5003]
+    assert all(kept[i] and kept[1000 + i] for i in range(400))
+    cuts = {
+        r["source"]: r["symbols_most"]
+        for r in quality_rules.thresholds(quality_rules.sketches(quality_rules.measures(df))).collect()
+    }
+    assert cuts["plain"] < 9 * 10 <= cuts["noisy"]
+
+
 def test_quality_rules(docs, rows):
     out = quality_rules.digest(docs).collect()
     assert len(out) == len(rows)
