@@ -55,6 +55,12 @@ def test_counts_and_depths(found):
     assert max(depth.values()) > 60  # as long as the chain
 
 
+def test_pairs_of_every_source(found):
+    pairs, _, bits = found
+    rows = [tuple(r) for r in bits.pairs().select("src", "dst", "hop").collect()]
+    assert len(rows) == len(pairs) and {(s, t): d for s, t, d in rows} == pairs
+
+
 def test_rows_are_words_and_not_pairs(found):
     pairs, _, bits = found
     rows = bits.levels.count()
