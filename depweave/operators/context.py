@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ def symbol_references(hits: DataFrame, files: DataFrame, edges: DataFrame) -> Da
     return edges.join(at, "dst").join(importing, "src").select("id", "reference")
 
 
-def related_files(analysis, symbols: DataFrame, words: list[str], limit: int = CONTEXT_FILES) -> DataFrame:
-    """Best matching files: two points per keyword in the path, one for a matching symbol."""
+def matching_files(analysis, symbols: DataFrame, words: list[str], limit: int = CONTEXT_FILES) -> DataFrame:
+    """Best matching files with their degrees: two points per keyword in the path, one for a matching symbol."""
     path = F.lower("path")
     points = F.lit(0)
     for word in words:
@@ -51,7 +52,11 @@ def related_files(analysis, symbols: DataFrame, words: list[str], limit: int = C
     named = symbols.where(matching).select("path").distinct().withColumn("_named", F.lit(1))
     scored = analysis.degrees.join(named, "path", "left")
     scored = scored.withColumn("match", points + F.coalesce("_named", F.lit(0))).where("match > 0")
-    best = scored.orderBy(F.desc("match"), "path").limit(limit)
+    return scored.orderBy(F.desc("match"), "path").limit(limit)
+
+
+def related_files(analysis, best: DataFrame) -> DataFrame:
+    """The :func:`matching_files` with their hotspot scores, which take the ranks of the whole graph."""
     return best.join(analysis.scores.select("id", F.col("score").alias("hotspot_score")), "id").select(
         "id",
         "path",
@@ -71,31 +76,50 @@ def build_context(
     max_files: int = CONTEXT_FILES,
     churn: DataFrame | None = None,
     stability: DataFrame | None = None,
+    parts: tuple[str, ...] | None = None,
 ) -> dict[str, DataFrame]:
-    """The parts of the graph a change request concerns, one DataFrame per part."""
-    words = request_keywords(query)
-    if words:
-        related = related_files(analysis, symbols, words, max_files)
-    else:
-        related = related_files(analysis, symbols, ["\0"], max_files)
-    near = neighbourhood(analysis.edges, related, "both", 1)
+    """The parts of the graph a change request concerns, one DataFrame per part.
+
+    ``parts`` names those that are wanted (all otherwise). Scores and summary take the whole graph's ranks and
+    cycles, which the other parts do without.
+    """
+    best = matching_files(analysis, symbols, request_keywords(query) or ["\0"], max_files)
     paths = analysis.files.select("id", "path")
-    links = induced_edges(analysis.edges, near)
-    links = links.join(paths.toDF("src", "from"), "src").join(paths.toDF("dst", "to"), "dst").select("from", "to")
-    modules = paths.join(near, "id", "left_semi").select(top_dir(F.col("path")).alias("module")).distinct()
-    out = {
-        "related": related,
-        "dependency_edges": links,
-        "affected_modules": modules,
-        "hotspots": related.where("hotspot_score > 0").select("path", F.col("hotspot_score").alias("score")),
-        "summary": analysis.summary,
-    }
-    if churn is not None or stability is not None:
-        git = related.select("path")
+
+    @cache
+    def related() -> DataFrame:
+        return related_files(analysis, best)
+
+    @cache
+    def near() -> DataFrame:
+        return neighbourhood(analysis.edges, best, "both", 1)
+
+    def links() -> DataFrame:
+        found = induced_edges(analysis.edges, near())
+        return found.join(paths.toDF("src", "from"), "src").join(paths.toDF("dst", "to"), "dst").select("from", "to")
+
+    def modules() -> DataFrame:
+        return paths.join(near(), "id", "left_semi").select(top_dir(F.col("path")).alias("module")).distinct()
+
+    def hotspots() -> DataFrame:
+        return related().where("hotspot_score > 0").select("path", F.col("hotspot_score").alias("score"))
+
+    def git_history() -> DataFrame:
+        git = best.select("path")
         git = git.join(churn.select("path", "churn", "commits"), "path", "left") if churn is not None else git
         git = git.join(stability.select("path", "stability"), "path", "left") if stability is not None else git
         for name, default in (("churn", 0), ("commits", 0), ("stability", 100)):
             value = F.coalesce(name, F.lit(default)) if name in git.columns else F.lit(default)
             git = git.withColumn(name, value)
-        out["git"] = git.where("commits > 0")
-    return out
+        return git.where("commits > 0")
+
+    makers = {
+        "related": related,
+        "dependency_edges": links,
+        "affected_modules": modules,
+        "hotspots": hotspots,
+        "summary": lambda: analysis.summary,
+    }
+    if churn is not None or stability is not None:
+        makers["git"] = git_history
+    return {name: make() for name, make in makers.items() if parts is None or name in parts}
