@@ -81,7 +81,7 @@ def score_changes(analysis, base: str = "base", head: str = "head") -> DataFrame
 
 def coupling_changes(analysis, base: str = "base", head: str = "head") -> DataFrame:
     """``(path, before, after, delta)`` of files whose degree differs."""
-    sides = analysis.degrees.groupBy("path").agg(
+    sides = analysis.coupling.groupBy("path").agg(
         F.sum(F.when(F.col("rev") == base, F.col("degree")).otherwise(0)).alias("before"),
         F.sum(F.when(F.col("rev") == head, F.col("degree")).otherwise(0)).alias("after"),
         F.max(F.col("rev") == head).alias("in_head"),
@@ -96,13 +96,13 @@ def coupling_increased(analysis, base: str = "base", head: str = "head", k: int
 
 def module_coupling_trends(analysis, base: str = "base", head: str = "head", k: int = 5) -> DataFrame:
     module = top_dir(F.col("path")).alias("module")
-    coupled = analysis.degrees.where("degree > 0").groupBy("rev", module).agg(F.sum("degree").alias("coupling"))
+    coupled = analysis.coupling.where("degree > 0").groupBy("rev", module).agg(F.sum("degree").alias("coupling"))
     return top_coupling_trends(coupling_trends(side(coupled, base), side(coupled, head)), k)
 
 
 def coupling_delta(analysis, base: str = "base", head: str = "head") -> DataFrame:
     """One row: growth of the total coupling."""
-    return analysis.degrees.agg(
+    return analysis.coupling.agg(
         F.sum(
             F.when(F.col("rev") == head, F.col("degree")).when(F.col("rev") == base, -F.col("degree")).otherwise(0)
         ).alias("blast_radius_increase")
