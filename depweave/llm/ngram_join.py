@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from depweave.llm import bloom
-from depweave.llm.common import NO_ID, mix, ngram_hashes, slices, some_id, word_hashes
+from depweave.llm.common import NO_ID, distinct, mix, ngram_hashes, slices, some_id, word_hashes
 from depweave.llm.components import connected
 from depweave.session import keep, keep_counted, ship_package
 
@@ -34,7 +34,7 @@ def shingles(text: str) -> np.ndarray:
     hashes = word_hashes(text.encode().lower())[0]
     if not len(hashes):
         return hashes
-    return np.unique(ngram_hashes(hashes, min(SHINGLE, len(hashes))))
+    return distinct(ngram_hashes(hashes, min(SHINGLE, len(hashes))))
 
 
 def _uppers() -> np.ndarray:
@@ -71,20 +71,26 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _cells(values: np.ndarray, frequent: np.ndarray, cells: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Number and XOR of each cell that holds a value, rare values first."""
-    common = np.zeros(len(values), np.uint64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
-        common = (frequent[at] == values).astype(np.uint64)
-    spread = mix(values)
+def _common(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """1 for each value that is frequent, else 0."""
+    if not len(frequent):
+        return np.zeros(len(values), np.uint64)
+    at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
+    return (frequent[at] == values).astype(np.uint64)
+
+
+def _cells(spread: np.ndarray, common: np.ndarray, cells: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Number and XOR of each cell that holds a value, rare values first; any order inside a cell gives its XOR."""
     if cells is None:
         number = (spread >> np.uint64(1)) | (common << np.uint64(63))
     else:
         number = spread % np.uint64(cells) + common * np.uint64(cells)
-    order = np.argsort(number, kind="stable")
+    short = cells is not None and cells < 1 << 15  # 16-bit numbers are sorted by radix
+    order = np.argsort(number.astype(np.uint16), kind="stable") if short else np.argsort(number)
     number = number[order]
-    starts = np.flatnonzero(np.diff(number, prepend=number[:1] + np.uint64(1)))
+    first = np.ones(len(number), bool)
+    np.not_equal(number[1:], number[:-1], out=first[1:])
+    starts = np.flatnonzero(first)
     return number[starts], np.bitwise_xor.reduceat(spread[order], starts)
 
 
@@ -96,13 +102,14 @@ def signatures(values: np.ndarray, frequent: np.ndarray, whole: frozenset[int])
     order of their numbers, is one that agrees, and it is among them for both.
     """
     n = len(values)
+    spread, common = mix(values), _common(values, frequent)
     keys, short = [], []
     band = int(np.searchsorted(UPPERS, n))
     while band == 0 or UPPERS[band - 1] + 1 <= max(n, n * 5 // 4):
         upper = int(UPPERS[band])
         differ = (n + min(upper, n * 5 // 4)) // 9
         alone = upper < WHOLE_BELOW or band in whole
-        number, xor = _cells(values, frequent, None if alone else int(upper * CELL_SHARE))
+        number, xor = _cells(spread, common, None if alone else int(upper * CELL_SHARE))
         if not alone and len(number) <= differ:
             short.append(band)
         keys.append(mix(xor[: differ + 1] ^ mix(number[: differ + 1] + np.uint64(band << 40))))
@@ -210,6 +217,25 @@ def _distance(a: str, b: str) -> Column:
     return F.aggregate(differ, F.lit(0), lambda total, x: total + x)
 
 
+# Longs of two sketches that are compared first, in compiled code; array functions are not compiled.
+FIRST = 8
+
+
+def _near(a: str, b: str, n_a: str, n_b: str) -> Column:
+    """The bound on :func:`_distance`; a part of the sketches tells most pairs that are far apart."""
+    bits_a, bits_b, bound = F.col(a), F.col(b), F.col(n_a) + F.col(n_b)
+    n = F.least(F.size(a), F.size(b))
+
+    def word(x: Column, i: int) -> Column:
+        return F.when(F.size(x) > n, F.get(x, F.lit(i)).bitwiseXOR(F.get(x, n + i))).otherwise(F.get(x, F.lit(i)))
+
+    some = F.lit(0)
+    for i in range(FIRST):
+        differ = F.bit_count(word(bits_a, i).bitwiseXOR(word(bits_b, i)))
+        some = some + (differ if i < 2 else F.when(n > i, differ).otherwise(0))  # no sketch has fewer than two
+    return (some * 9 <= bound) & (_distance(a, b) * 9 <= bound)
+
+
 def _holder() -> Column:
     """Tells rows apart well enough to choose one whose text is read for its set."""
     return F.xxhash64("nid", "row")
@@ -236,9 +262,7 @@ class _Verifier:
             pairs = pairs.join(
                 self.sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side
             )
-        near = pairs.where(_fits("n_a", "n_b")).where(
-            _distance("bits_a", "bits_b") * 9 <= F.col("n_a") + F.col("n_b")
-        )
+        near = pairs.where(_fits("n_a", "n_b")).where(_near("bits_a", "bits_b", "n_a", "n_b"))
         pairs, n = keep_counted(near.select("a", "b").distinct())
         if not n:
             return pairs
@@ -297,8 +321,8 @@ def _across(split: DataFrame, sets: DataFrame) -> DataFrame:
     """
     sized = keep(split.join(sets.select("node", "n", "bits"), "node").select("key", "node", "c", "n", "bits"))
     other = sized.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "c", "n", "bits")])
-    near = _distance("bits", "bits_2") * 9 <= F.col("n") + F.col("n_2")
-    on = (sized["key"] == other["key"]) & (F.col("c") < F.col("c_2")) & _fits("n", "n_2") & near
+    on = (sized["key"] == other["key"]) & (F.col("c") < F.col("c_2")) & _fits("n", "n_2")
+    on = on & _near("bits", "bits_2", "n", "n_2")
     return sized.join(other, on).select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
 
 

@@ -264,6 +264,32 @@ def test_sketch_distance_is_a_lower_bound():
         assert ngram_join.hamming(ngram_join.sketch(a), ngram_join.sketch(b)) <= len(np.setxor1d(a, b))
 
 
+def test_sketches_compared_in_part_keep_the_bound(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in (1, 3, 63, 64, 65, 127, 129, 256, 300, 513):
+        for _ in range(4):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[rng.integers(0, n // 8 + 1) :], rng.integers(0, 1 << 63, rng.integers(0, n // 5 + 2)).astype(np.uint64)]))
+            x, y = ngram_join.sketch(a), ngram_join.sketch(b)
+            want = ngram_join.hamming(x, y) * 9 <= len(a) + len(b)
+            rows.append((*(np.frombuffer(v, np.int64).tolist() for v in (x, y)), len(a), len(b), bool(want)))
+    pairs = spark.createDataFrame(rows, "a array<long>, b array<long>, n long, m long, want boolean")
+    found = pairs.select(ngram_join._near("a", "b", "n", "m").alias("near"), "want").collect()
+    assert [r["near"] for r in found] == [r["want"] for r in found] and {r["want"] for r in found} == {True, False}
+
+
+def test_cells_from_16_bit_numbers():
+    rng = np.random.default_rng(6)
+    spread, common = rng.integers(0, 1 << 63, 3000).astype(np.uint64), rng.integers(0, 2, 3000).astype(np.uint64)
+    for cells in (1, 700, (1 << 15) - 1, 1 << 15, 1 << 20):
+        want = {}
+        for x, c in zip(spread.tolist(), common.tolist()):
+            want[x % cells + c * cells] = want.get(x % cells + c * cells, 0) ^ x
+        number, xor = ngram_join._cells(spread, common, cells)
+        assert list(zip(number.tolist(), xor.tolist())) == sorted(want.items())
+
+
 def test_connected(spark):
     edges = [(1, 2), (3, 2), (4, 3), (9, 8), (5, 5), (20, 9), (20, 21)]
     out = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
