@@ -229,6 +229,14 @@ def test_python_that_does_not_parse_loses_only_the_broken_line():
     assert facts["comments"] == ["# old"]
 
 
+def test_text_that_starts_with_a_letter_of_a_prefix():
+    """The letters before the quote tell a formatted text or bytes, not those behind it."""
+    docs = {"'Fetch it'": "Fetch it", '"be brief"': "be brief", 'R"""raw"""': "raw", "f'x'": None, "rb'x'": None, "Fr'x'": None}
+    for text, doc in docs.items():
+        (found,) = extract.python_by_indentation(f"def a():\n    {text}\n")["symbols"]
+        assert found["doc"] == doc, text
+
+
 def test_indentation_reader_agrees_with_the_parser_on_sound_texts():
     """Modules of the standard library: every symbol, line, base, text, import and comment."""
     folder = Path(os.__file__).parent
