@@ -1,11 +1,13 @@
 """PageRank along the graph of components, against plain Python and against the rounds."""
 
 import pytest
+from graphs import graph
 from pyspark.sql import functions as F
 from test_by_parts import LINKED, frame
-from test_kernels import ranks
+from test_kernels import distances, ranks
 
-from depweave.operators import centrality
+from depweave.operators import centrality, reach, walks
+from depweave.operators.analysis import Analysis
 
 
 def test_ranks_take_no_rounds(spark, monkeypatch):
@@ -38,3 +40,25 @@ def test_deep_graphs_and_large_components_go_by_rounds(spark, monkeypatch, name,
     files = spark.range(26).select(F.lit("head").alias("rev"), "id")
     found = {r["id"]: r["pagerank"] for r in centrality.pagerank(files, frame(spark, LINKED)).collect()}
     assert called and found == pytest.approx(ranks(26, LINKED), abs=1e-12)
+
+
+def test_large_edges_are_not_written_again_for_walks(spark, monkeypatch):
+    edges = frame(spark, LINKED)
+    monkeypatch.setattr(walks, "WALK_EDGES", 5)
+    monkeypatch.setattr(walks, "keep", None)
+    monkeypatch.setattr(walks, "keep_counted", None)
+    table = walks.build_walks(edges, rows=len(LINKED))
+    assert table.steps == 1 and not table.weighted
+    start = spark.createDataFrame([(0,)], "id long")
+    found = {r["dst"]: r["hop"] for r in reach.reach_pairs(edges, start, table, "in").collect()}
+    assert found == distances({(b, a) for a, b in LINKED}, 0)
+
+
+def test_rounds_over_a_large_graph_have_weights(spark, monkeypatch):
+    """Ids that are no numbers go by rounds, with weights although the shared walks of a large graph have none."""
+    monkeypatch.setattr(walks, "WALK_EDGES", 5)
+    names = [f"{n:02}.py" for n in range(26)]
+    whole = Analysis(graph(spark, names, [(names[a], names[b]) for a, b in LINKED]))
+    assert not whole.walks.weighted
+    found = {names.index(r["id"]): r["pagerank"] for r in whole.pagerank.collect()}
+    assert found == pytest.approx(ranks(26, LINKED), abs=1e-12)
